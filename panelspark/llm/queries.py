@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op9_language_id
+from .packing import op2_packing
+from .simhash import op4_simhash
 from .substring_dedup import op1_substring_dedup
+from .token_files import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
+    "op6_token_files": op6_token_files,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
