@@ -77,10 +77,11 @@ def cuts_of(ids: np.ndarray, ends: np.ndarray, spacing: int, size: int) -> tuple
     return places, kinds
 
 
-def best_cuts(places: list[int], kinds: list[int], size: int) -> list[int]:
-    """The places at which to cut a stream that starts at 0; the last place is one of them.
+def best_cuts(places: list[int], kinds: list[int], size: int, more: bool = False) -> list[int]:
+    """The places at which to cut a stream that starts at 0.
 
-    places ascend, no two more than size apart.
+    places ascend, no two more than size apart. The last one is a cut, unless more
+    is to come: then the path ends wherever in the last window it is cheapest.
     """
     where = {0: 0.0}
     came: dict[int, int] = {}
@@ -101,7 +102,7 @@ def best_cuts(places: list[int], kinds: list[int], size: int) -> list[int]:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, c))
-    out, c = [], places[-1]
+    out, c = [], min((p for p in places if p > places[-1] - size), key=where.__getitem__) if more else places[-1]
     while c:
         out.append(c)
         c = came[c]
@@ -151,7 +152,7 @@ class Stream:
         self.kinds += kinds
         self.n += len(ids)
         self.docs.append([doc, ids, 0])
-        return self.give(best_cuts(self.places, self.kinds, self.size)[:-2]) if self.n >= self.horizon else []
+        return self.give(best_cuts(self.places, self.kinds, self.size, True)[:-1]) if self.n >= self.horizon else []
 
     def close(self) -> list[tuple]:
         if not self.n:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op9_language_id
+from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
+from .secrets import op3_secret_scan
 from .simhash import op4_simhash
 from .substring_dedup import op1_substring_dedup
 from .token_files import op6_token_files
@@ -15,8 +17,10 @@ from .token_files import op6_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
     "op6_token_files": op6_token_files,
     "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
