@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op9_language_id
+from .line_dedup import op7_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
 from .secrets import op3_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
