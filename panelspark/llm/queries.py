@@ -14,6 +14,7 @@ from .secrets import op3_secret_scan
 from .simhash import op4_simhash
 from .substring_dedup import op1_substring_dedup
 from .token_files import op6_token_files
+from .topk import OP8_SQL, op8_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -22,7 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
+    "op8_topk": op8_topk,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
