@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op5_embedding_dedup
 from .language_id import op9_language_id
 from .line_dedup import op7_line_dedup
 from .mixing import OP10_SQL, op10_mixing
@@ -21,10 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_topk": op8_topk,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
