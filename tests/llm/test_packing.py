@@ -13,7 +13,7 @@ def plain(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", None, "a", "Ça va? <|endoftext|> x<|startoftext|>y", "é é   x y ΑΣ ΣΑΣ", "don't!! stop... I'll; 12345 ½ \x1c z", "word " * 9000, "日本語 text 🙂", "x" * 3000]
+ODD = ["", None, "a", "Ça va? <|endoftext|> x<|startoftext|>y", "é é   x y ΑΣ ΣΑΣ", "don't!! stop... I'll; 12345 ½ \x1c z", "word " * 9000, "日本語 text 🙂", "x" * 3000, "Été, ÉTÉ! İstanbul ŉ ǅ straße: ªº µ don't. a.b, .. , Word. wORD word; <|STARTOFTEXT|> A. É? ﬁ ½.", "A\u030angstrom I\u0307 e\u0301t, n\u0303"]
 
 
 def test_encoder_equals_the_library():
