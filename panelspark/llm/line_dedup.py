@@ -65,15 +65,19 @@ def windows(n: int, m: int, edits: int) -> list[tuple[int, int, int, int]]:
 
 
 def sketch(line: bytes) -> int:
-    """Counts of bytes in 15 classes, modulo 16, four bits each."""
-    n = np.bincount(np.frombuffer(line, np.uint8) % 15, minlength=15) & 15
-    return int((n.astype(np.uint64) << (np.arange(15, dtype=np.uint64) * np.uint64(4))).sum())
+    """Counts of bytes in 7 classes, modulo 16, four bits each."""
+    n = np.bincount(np.frombuffer(line, np.uint8) % 7, minlength=7) & 15
+    return int((n << _PLACES).sum())
+
+
+_PLACES = 4 * np.arange(7)
+_PROBE = 1 << 28
 
 
 def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """At most twice the edits between lines of these sketches."""
     total = np.zeros(np.broadcast(a, b).shape, np.int16)
-    for k in range(0, 60, 4):
+    for k in _PLACES.tolist():
         d = ((a >> k) - (b >> k)) & 15
         total += np.minimum(d, 16 - d).astype(np.int16)
     return total
@@ -146,44 +150,94 @@ def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row_key long, line int, h long, g long")
 
 
-def _asked_lines(docs: DataFrame, asked: DataFrame, extra: str = "") -> DataFrame:
-    """docs with a list of the asked (line, h, g)."""
-    lists = asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line", "h", "g")).alias("asked"))
-    return docs.dropDuplicates(["doc_id", "row_key"]).join(lists, ["doc_id", "row_key"])
-
-
-def entries(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """(key, h, g, place, sketch, probe) of each class: its segments, and where it probes. place: (doc_id, row_key, line)."""
+def entries(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, h, s) of lines: their segments, and where they probe; s is the sketch, with a bit set for probes. Lines that a worker met lately are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple] = {}
-        digest = xxhash.xxh3_64_intdigest
+        seen: set[bytes] = set()
+        digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for b in C.slices(batches, most=1_000_000):
-            out: list[tuple] = []
-            for text, asks in zip(C.texts(b), C.column(b, "asked"), strict=True):
-                rows = (text or b"").split(b"\n")
-                for ask in asks:
-                    line = rows[ask["line"]]
+            keys: list[int] = []
+            names: list[bytes] = []
+            marks: list[int] = []
+            counts: list[int] = []
+            if len(seen) > 200_000:
+                seen.clear()
+            for text in C.texts(b):
+                for line in (text or b"").split(b"\n"):
                     n = len(line)
+                    if n < least or (name := whole(line)) in seen:
+                        continue
+                    seen.add(name)
                     if n not in plans:
-                        probes = [(i, size, at, digest(f"{m},{i}")) for m in range(max(1, n - edits), n + 1) for i, size, low, high in windows(n, m, edits) for at in range(low, high + 1)]
-                        plans[n] = [(at, at + size, digest(f"{n},{i}")) for i, (at, size) in enumerate(segments(n, edits)) if size], [(at, at + size, seed) for i, size, at, seed in probes]
+                        own = [(at, at + size, digest(f"{n},{i}")) for i, (at, size) in enumerate(segments(n, edits)) if size]
+                        probes = {(at, at + size, digest(f"{m},{i}")) for m in range(max(1, n - edits), n + 1) for i, size, low, high in windows(n, m, edits) for at in range(low, high + 1)}
+                        plans[n] = own, sorted(probes - set(own))
                     own, probes = plans[n]
                     s = sketch(line)
-                    keys = {digest(line[x:y], seed) for x, y, seed in own}
-                    out += [(k, ask["h"], ask["g"], s, False) for k in keys]
-                    out += [(k, ask["h"], ask["g"], s, True) for k in {digest(line[x:y], seed) for x, y, seed in probes} - keys]
-            if out:
-                key, h, g, s, probe = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(probe)], ["key", "h", "g", "sketch", "probe"])
+                    keys += [digest(line[x:y], seed) for x, y, seed in own]
+                    keys += [digest(line[x:y], seed) for x, y, seed in probes]
+                    names.append(name)
+                    marks += (s, s | _PROBE)
+                    counts += (len(own), len(probes))
+            if keys:
+                h = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)[:, 0]
+                per = np.array(counts).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(h, per.sum(axis=1))), pa.array(np.repeat(np.array(marks, np.int32), per.reshape(-1)))], ["key", "h", "s"])
 
-    return _asked_lines(docs, firsts).select("text", "asked").mapInArrow(run, "key long, h long, g long, sketch long, probe boolean")
+    return docs.select("text").mapInArrow(run, "key long, h long, s int")
+
+
+def meetings(found: DataFrame) -> DataFrame:
+    """The entries whose key several lines have, at least one as its own segment.
+
+    One shuffle by key. Sketches stay below the probe bit, so sorted by s a key's own
+    segments come first, and one row is held at most.
+    """
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, (0, 0)  # the key of the last row, and its first row if nothing has met it yet
+        open_, good = False, False
+        for b in batches:
+            key, h, s = (b.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            start = np.append(True, key[1:] != key[:-1])
+            carried = last_key is not None and key[0] == last_key
+            if carried:
+                start[0] = False
+            group = np.cumsum(start)
+            at = np.flatnonzero(start)
+            # by group: whether its first row is an own segment, and its first line
+            first_own = np.append(good, s[at] < _PROBE)
+            first_h = np.append(last[0], h[at])
+            differs = h != first_h[group]
+            met = np.zeros(len(first_own), bool)
+            np.logical_or.at(met, group, differs)
+            was_open = carried and not open_ and good
+            met[0] = met[0] or (carried and open_)
+            keep = met[group] & first_own[group]
+            rows = [(key[keep], h[keep], s[keep])]
+            if was_open and met[0] and first_own[0]:
+                rows.append((np.array([last_key]), np.array([last[0]]), np.array([last[1]], np.int32)))
+            if len(rows[0][0]) or len(rows) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["key", "h", "s"])
+            g = int(group[-1])
+            open_, good = bool(met[g]), bool(first_own[g])
+            last_key = key[-1]
+            if g:
+                i = int(at[-1])
+                last = (h[i], s[i])
+
+    return found.repartition(n, "key").sortWithinPartitions("key", "s", "h").mapInArrow(run, "key long, h long, s int")
 
 
 def candidates(met: DataFrame, edits: int, first: int | None) -> DataFrame:
     """Pairs of classes (h, g, eh, eg), the second earlier, that share an index entry and may be close by their sketches; for each line and entry the `first` closest ones, or all.
 
-    met(key, h, g, rank, sketch, probe, ask): rank orders the classes by their first place, ask tells whose partners are wanted.
+    met(key, h, s, g, rank, ask): rank orders the classes by their first place, ask tells whose partners are wanted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +269,8 @@ def candidates(met: DataFrame, edits: int, first: int | None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["h", "g", "eh", "eg"])
 
-    lists = met.groupBy("key").agg(F.collect_list(F.struct("h", "g", "rank.doc_id", "rank.row_key", "rank.line", "sketch", "probe", "ask")).alias("m"))
+    probe = F.col("s") >= _PROBE
+    lists = met.groupBy("key").agg(F.collect_set(F.struct("h", "g", "rank.doc_id", "rank.row_key", "rank.line", (F.col("s") % _PROBE).alias("sketch"), probe.alias("probe"), "ask")).alias("m"))
     return lists.select("m").mapInArrow(run, "h long, g long, eh long, eg long").distinct()
 
 
@@ -231,8 +286,12 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return pairs.join(texts, ["h", "g"]).join(other, ["eh", "eg"]).select("h", "g", "t", "et").mapInArrow(run, "h long, g long").distinct()
 
 
+#: Places of lines that may be broadcast; more of them are joined.
+BROADCAST_LINES = 100_000
+
+
 def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, g, t): the lines of the asked classes."""
+    """(h, g, t): the lines of the asked classes. firsts(doc_id, row_key, line, h, g)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
@@ -245,18 +304,20 @@ def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                     t.append(rows[ask["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(t, pa.binary())], ["h", "g", "t"])
 
-    return _asked_lines(docs, firsts).select("text", "asked").mapInArrow(run, "h long, g long, t binary")
+    firsts = C.cut(firsts, "asked")
+    lists = firsts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line", "h", "g")).alias("asked"))
+    if firsts.count() <= BROADCAST_LINES:
+        lists = F.broadcast(lists)
+    return docs.join(lists, ["doc_id", "row_key"]).select("text", "asked").mapInArrow(run, "h long, g long, t binary").dropDuplicates(["h", "g"])
 
 
 def removed(rows: DataFrame, edits: int = EDITS, least: int = LEAST, first: int = FIRST) -> DataFrame:
     """(doc_id, row_key, line) of the lines to remove. rows: doc_id, row_key, text, see `_plain`."""
     every = C.cut(lines(rows, least), "lines")
-    classes = C.cut(every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("rank")), "classes")
+    classes = C.cut(every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("rank"), F.count("*").alias("copies")), "classes")
     places = classes.select("rank.*", "h", "g")
-    found = C.cut(entries(rows, places, edits), "entries")
-    # entries where two classes meet, at least one with its own segment
-    shared = found.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("all_probe")).filter("lo <> hi and not all_probe").select("key")
-    met = C.cut(found.join(shared, "key").join(classes, ["h", "g"]), "met")
+    # lines that share the first half of their hashes come apart here
+    met = C.cut(meetings(entries(rows, edits, least)).join(classes.drop("copies"), "h"), "met")
     pairs = C.cut(candidates(met.withColumn("ask", F.lit(True)), edits, first), "pairs")
     wanted = pairs.select("h", "g").union(pairs.select("eh", "eg")).distinct()
     texts = C.cut(texts_of(rows, places.join(wanted, ["h", "g"], "left_semi")), "texts")
@@ -269,7 +330,7 @@ def removed(rows: DataFrame, edits: int = EDITS, least: int = LEAST, first: int
     more = rest.select("h", "g").union(rest.select("eh", "eg")).distinct().join(texts, ["h", "g"], "left_anti")
     known = texts.union(texts_of(rows, places.join(more, ["h", "g"], "left_semi")))
     late = settled.union(verified(rest, known, edits)).distinct().withColumn("late", F.lit(True))
-    judged = classes.join(late, ["h", "g"], "left").select("h", "g", F.col("rank").alias("first_at"), F.coalesce("late", F.lit(False)).alias("late"))
+    judged = classes.join(late, ["h", "g"], "left").select("h", "g", F.col("rank").alias("first_at"), F.coalesce("late", F.lit(False)).alias("late"), "copies").filter("late or copies > 1")
     return every.join(judged, ["h", "g"]).filter(F.col("late") | (F.struct("doc_id", "row_key", "line") != F.col("first_at"))).select("doc_id", "row_key", "line")
 
 
