@@ -405,7 +405,7 @@ def net(spark, sf_dir, **kw):
     return book.run_book(long_book(spark, sf_dir, **kw), P.panel(spark, sf_dir))
 
 
-@query("weekly_portfolio", sql("SELECT bar, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(net, 6) + 0.0 AS net, n_held FROM net", *BOOK))
+@query("weekly_portfolio", sql("SELECT bar, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(net, 6) + 0.0 AS net, n_held::BIGINT AS n_held FROM net", *BOOK))
 def weekly_portfolio(spark, sf_dir):
     """The flagship: a reversal book of the best fifth by inverse volatility, with costs."""
     return net(spark, sf_dir)

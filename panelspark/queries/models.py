@@ -104,7 +104,7 @@ def book_blend(spark, sf_dir):
     return book.blend(long_book(spark, sf_dir), long_book(spark, sf_dir, sizing="eqw"), share)
 
 
-@query("transition_runs", sql("SELECT run, mode, min(bar) AS start, max(bar) AS \"end\", count(*) AS length FROM (SELECT *, sum(c) OVER (ORDER BY bar) AS run FROM (SELECT bar, mode, (mode IS DISTINCT FROM lag(mode) OVER (ORDER BY bar) OR row_number() OVER (ORDER BY bar) = 1)::INT AS c FROM (SELECT bar, CASE WHEN share >= 1 THEN 'full' WHEN share <= 0 THEN 'defensive' ELSE 'mixed' END AS mode FROM lam))) GROUP BY run, mode", SCORE, EXPCT, LAMBDA))
+@query("transition_runs", sql("SELECT run::BIGINT AS run, mode, min(bar) AS start, max(bar) AS \"end\", count(*) AS length FROM (SELECT *, sum(c) OVER (ORDER BY bar) AS run FROM (SELECT bar, mode, (mode IS DISTINCT FROM lag(mode) OVER (ORDER BY bar) OR row_number() OVER (ORDER BY bar) = 1)::INT AS c FROM (SELECT bar, CASE WHEN share >= 1 THEN 'full' WHEN share <= 0 THEN 'defensive' ELSE 'mixed' END AS mode FROM lam))) GROUP BY run, mode", SCORE, EXPCT, LAMBDA))
 def transition_runs(spark, sf_dir):
     s = risk_score(spark, sf_dir).select("bar", ramp("p").alias("share"))
     m = s.withColumn("mode", F.when(F.col("share") >= 1, "full").when(F.col("share") <= 0, "defensive").otherwise("mixed")).withColumn("one", F.lit(0))
@@ -372,7 +372,7 @@ def duration_ledger(spark, sf_dir):
     return leverage.duration(w.withColumn("krd", F.when(F.col("is_bond"), 1 + F.col("idx") % 7).otherwise(0).cast("double")))
 
 
-@query("performance_screen", sql("SELECT f.factor, count(*) AS n, round(sum(w * coalesce(fwd, 0.0)) / count(DISTINCT bar), 6) + 0.0 AS mean_gross FROM (SELECT factor, bar, code, fwd, (1 / sigma) / sum(1 / sigma) OVER (PARTITION BY factor, bar) AS w FROM (SELECT *, row_number() OVER (PARTITION BY factor, bar ORDER BY value DESC NULLS LAST, code) AS rk, ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY factor, bar)) AS k FROM factors WHERE value IS NOT NULL) WHERE rk <= k) f GROUP BY f.factor"))
+@query("performance_screen", sql("SELECT f.factor, count(*) AS n, round(sum(w * coalesce(fwd, 0.0)) / count(DISTINCT bar), 6) + 0.0 AS mean_gross FROM (SELECT factor, bar, code, fwd, (1 / sigma) / sum(1 / sigma) OVER (PARTITION BY factor, bar) AS w FROM (SELECT *, row_number() OVER (PARTITION BY factor, bar ORDER BY value DESC NULLS LAST, code) AS rk, ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY factor, bar)) AS k FROM factors WHERE value IS NOT NULL) WHERE rk <= k) f GROUP BY f.factor", base="factors"))
 def performance_screen(spark, sf_dir):
     """All factors' books in one plan, keyed by factor."""
     f = factors(spark, sf_dir).filter("value is not null")
@@ -382,7 +382,7 @@ def performance_screen(spark, sf_dir):
     return held.groupBy("factor").agg(F.count("*").alias("n"), (F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))) / F.count_distinct("bar")).alias("mean_gross"))
 
 
-@query("top_factor_per_block", sql(f"SELECT block, factor, round(m, 6) + 0.0 AS mean_ic FROM (SELECT block, factor, m, row_number() OVER (PARTITION BY block ORDER BY abs(m) DESC, factor) AS r FROM (SELECT block, factor, avg(ic) AS m FROM (SELECT factor, block, bar, {pearson('a', 'b', 5)} AS ic FROM (SELECT *, {ranks('value', 'factor, block, bar')} AS a, {ranks('fwd', 'factor, block, bar')} AS b FROM bth) GROUP BY factor, block, bar) GROUP BY block, factor) WHERE m IS NOT NULL) WHERE r <= 2", IC[0]))
+@query("top_factor_per_block", sql(f"SELECT block, factor, round(m, 6) + 0.0 AS mean_ic FROM (SELECT block, factor, m, row_number() OVER (PARTITION BY block ORDER BY abs(m) DESC, factor) AS r FROM (SELECT block, factor, avg(ic) AS m FROM (SELECT factor, block, bar, {pearson('a', 'b', 5)} AS ic FROM (SELECT *, {ranks('value', 'factor, block, bar')} AS a, {ranks('fwd', 'factor, block, bar')} AS b FROM bth) GROUP BY factor, block, bar) GROUP BY block, factor) WHERE m IS NOT NULL) WHERE r <= 2", IC[0], base="factors"))
 def top_factor_per_block(spark, sf_dir):
     g = ic.rank_ic(factors(spark, sf_dir), by=["factor", "block", "bar"]).groupBy("block", "factor").agg(F.avg("ic").alias("mean_ic")).filter("mean_ic is not null")
     return g.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc(F.abs("mean_ic")), "factor"))).filter("r <= 2").drop("r")
