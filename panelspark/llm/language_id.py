@@ -38,7 +38,6 @@ UNIT = 1024
 #: Unfolded tables of this many entries at most are held by a worker; more languages than that allows use order 2.
 MOST_ENTRIES = 8 << 24
 _ASCII, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
-_unfolded: dict[bytes, np.ndarray] = {}
 
 
 def has_letter(text: bytes) -> bool:
@@ -77,14 +76,14 @@ class Model:
     def __init__(self, languages: list[str], symbol_of: np.ndarray, language: np.ndarray, code: np.ndarray, count: np.ndarray, order: int):
         self.languages, self.symbol_of, self.order = languages, symbol_of, order
         self.language, self.code, self.count = language, code, count
+        self.table: np.ndarray | None = None
 
-    def key(self) -> bytes:
-        import hashlib
+    def __reduce__(self):
+        # what is unfolded stays where it is; a worker drops it with the first task that doesn't use the broadcast
+        return Model, (self.languages, self.symbol_of, self.language, self.code, self.count, self.order)
 
-        return hashlib.sha256(b"".join(x.tobytes() for x in (self.symbol_of, self.language, self.code, self.count)) + repr((self.languages, self.order)).encode()).digest()
-
-    def probabilities(self, k: int) -> np.ndarray:
-        """By context and symbol, for language k."""
+    def probabilities(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """First code and probabilities by context and symbol, for language k, in runs of contexts."""
         mine = self.language == k
         counts = np.zeros(SYMBOLS ** (self.order + 1), np.float32)
         counts[self.code[mine]] = self.count[mine]
@@ -92,32 +91,24 @@ class Model:
         for _ in range(self.order):
             levels.append(levels[-1].reshape(SYMBOLS, -1).sum(axis=0).reshape(-1, SYMBOLS))
         p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        for c in levels[::-1]:
-            p = np.tile(p, (len(c) // len(p), 1))
-            total, seen = c.sum(axis=1, keepdims=True), c > 0
-            distinct = seen.sum(axis=1, keepdims=True, dtype=np.float32)
-            rest = 1 - (p * seen).sum(axis=1, keepdims=True)
-            escape = np.where(distinct < SYMBOLS, distinct, 0) / np.maximum(total + distinct, 1) / np.maximum(rest, 1e-6)
-            fresh = total[:, 0] == 0
-            out = np.where(seen, c / np.maximum(total + np.where(distinct < SYMBOLS, distinct, 0), 1), p * escape)
-            out[fresh] = p[fresh]
-            p = out
-        return p
+        for c in levels[:0:-1]:
+            p = np.concatenate([_escaped(c[low : low + len(p)], p) for low in range(0, len(c), len(p))])
+        for low in range(0, len(levels[0]), len(p)):
+            yield low * SYMBOLS, _escaped(levels[0][low : low + len(p)], p)
 
     def costs(self) -> np.ndarray:
         """By code and language: code length in 1/UNIT bits."""
-        key = self.key()
-        if key not in _unfolded:
-            _unfolded.clear()
+        if self.table is None:
             table = np.empty((SYMBOLS ** (self.order + 1), len(self.languages)), np.uint16)
             for k in range(len(self.languages)):
-                p = self.probabilities(k).reshape(-1)
-                np.maximum(p, 1e-18, out=p)
-                np.log2(p, out=p)
-                p *= -UNIT
-                table[:, k] = np.minimum(np.rint(p, out=p), 65535)
-            _unfolded[key] = table
-        return _unfolded[key]
+                for first, p in self.probabilities(k):
+                    p = p.reshape(-1)
+                    np.maximum(p, 1e-18, out=p)
+                    np.log2(p, out=p)
+                    p *= -UNIT
+                    table[first : first + len(p), k] = np.minimum(np.rint(p, out=p), 65535)
+            self.table = table
+        return self.table
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
@@ -130,6 +121,16 @@ class Model:
         return out / UNIT
 
 
+def _escaped(c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of contexts with the counts c, and those of their shorter contexts, p, where they escape."""
+    total, seen = c.sum(axis=1, keepdims=True), c > 0
+    distinct = seen.sum(axis=1, keepdims=True, dtype=np.float32)
+    rest = 1 - (p * seen).sum(axis=1, keepdims=True)
+    escape = np.where(distinct < SYMBOLS, distinct, 0) / np.maximum(total + distinct, 1) / np.maximum(rest, 1e-6)
+    out = np.where(seen, c / np.maximum(total + np.where(distinct < SYMBOLS, distinct, 0), 1), p * escape)
+    return np.where(total == 0, p, out)
+
+
 def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     rows = C.cut(sample(docs, rows_per_language), "labelled")
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +41,8 @@ DOCUMENT, SENTENCE, FORCED = 0, 1, 2
 _COST = (0, SENTENCE_COST, FORCED_COST)
 
 
-@lru_cache(maxsize=2)
-def sentence_ends(path: str) -> np.ndarray:
+def sentence_ends(e: tokens.Encoder) -> np.ndarray:
     """By id: whether the token ends a sentence (punctuation with a stop in it, at a word's end)."""
-    e = tokens.encoder(path)
     out = np.zeros(e.vocabulary, bool)
     for text, i in e.tokenizer.get_vocab().items():
         if text.endswith("</w>"):
@@ -197,8 +194,11 @@ def in_order(docs: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON) -> DataFrame:
     """Pieces of all documents (doc_id, text); see PIECES. Sequence ids ascend with doc ids."""
 
+    held = docs.sparkSession.sparkContext.broadcast(tokens.Held(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = tokens.encoder(path), sentence_ends(path)
+        encoder = held.value.get()
+        ends = sentence_ends(encoder)
         stream = Stream(TaskContext.get().partitionId() << 40, size, spacing, horizon)
         out: list[tuple] = []
         for b in C.slices(batches, most=2_000_000):

@@ -32,9 +32,10 @@ _ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.l
 
 def write(docs: DataFrame, to: str, path: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encode every document (doc_id, text) and write the file set to `to`."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokens.Held(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = tokens.encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, seq = sent.value.get(), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         parts: list[np.ndarray] = []
         held = 0

@@ -13,7 +13,6 @@ tokenizers library for all new ones of a slice of texts in a few calls:
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -131,10 +130,23 @@ def plain_word(chunk: bytes) -> bool:
     return s.isalpha() and max(s) < "\u0180" and "\u0130" not in s
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(path)
+class Held:
+    """An encoder made where it is first asked for.
+
+    Sent as a broadcast, it is one for each Python worker, and the worker drops it with the first task that doesn't use the broadcast.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self.made: Encoder | None = None
+
+    def __reduce__(self):
+        return Held, (self.path,)
+
+    def get(self) -> Encoder:
+        if self.made is None:
+            self.made = Encoder(self.path)
+        return self.made
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
