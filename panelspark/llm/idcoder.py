@@ -24,6 +24,8 @@ import numpy as np
 
 MAGIC = b"PSI1"
 BLOCK = 8192
+#: Small segments are cut into up to LANES blocks of LEAST_BLOCK ids or more.
+LEAST_BLOCK, LANES = 1024, 128
 BITS = 15
 TOTAL = 1 << BITS
 SLOTS1, SLOTS2 = 2048, 8192
@@ -177,6 +179,11 @@ def _run(coder: Coder, lengths: np.ndarray, ids: np.ndarray) -> None:
         model.learn(live, s1, s2, f1, f2, a, b, flag, x.astype(np.int32))
 
 
+def block_of(n: int) -> int:
+    """Block length for a segment of n ids: BLOCK for full segments; shorter for small ones, which else are few lanes of many steps."""
+    return min(BLOCK, max(LEAST_BLOCK, -(-n // LANES)))
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment: magic, count, block length, for each block its words and the crc32 of its ids, then the words. ids are below 65536."""
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:

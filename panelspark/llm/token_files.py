@@ -41,7 +41,9 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = END_ID, segment: in
         held = 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard], [seq], [doc_ids], [[len(p) for p in parts]], [idcoder.encode(np.concatenate(parts))]), _ARROW, strict=True)], schema=_ARROW)
+            ids = np.concatenate(parts)
+            coded = idcoder.encode(ids, idcoder.block_of(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard], [seq], [doc_ids], [[len(p) for p in parts]], [coded]), _ARROW, strict=True)], schema=_ARROW)
 
         for b in C.slices(batches, most=2_000_000):
             for doc, ids in zip(C.column(b, "doc_id"), encoder.encode(C.texts(b)), strict=True):
