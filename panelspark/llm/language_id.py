@@ -11,7 +11,7 @@ shortest code; its score is that language's share of 2**-length over all languag
 Symbols: the 63 commonest bytes of the training texts (A-Z in lower case), one for all others.
 
 Training reads a bounded sample, `rows_per_language` labelled rows of each
-language (lowest hashes of doc_id and text); the trees are counted by Spark and
+language (lowest hashes of doc_id, then text); the trees are counted by Spark and
 their counts, bounded by the alphabet, go to the workers, which unfold them.
 
 Edge cases: a null text, one without a letter, and any text when nothing was
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ROWS_PER_LANGUAGE = 600
+#: The hashes of the rows of a language are counted in 2**BUCKET_BITS buckets.
+BUCKET_BITS = 16
 SYMBOLS, BITS = 64, 6
 #: Costs are kept in 1/1024 bits.
 UNIT = 1024
@@ -49,12 +51,20 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
-    """(lang, text): the rows to learn from."""
+    """(lang, text): the rows to learn from.
+
+    Counts by language and bucket of the hash of doc_id tell the last bucket needed, so that only
+    the few rows up to it are ranked in one task for each language, however many rows a language has.
+    """
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = F.xxhash64("doc_id", "text")
-    ranked = able.select("lang", "doc_id", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= rows_per_language)
-    chosen = ranked.select("lang", "doc_id", "h").distinct()
-    return able.select("lang", "doc_id", "text", order.alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"]).select("lang", "text")
+    able = able.select("lang", "text", F.xxhash64("doc_id").alias("h")).withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
+    sizes = able.groupBy("lang", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")) - F.col("n"))
+    last = before.filter(F.col("before") < rows_per_language).groupBy("lang").agg(F.max("bucket").alias("last"))
+    # one row for each language
+    few = able.join(F.broadcast(last), "lang").filter("bucket <= last").withColumn("t", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    return few.withColumn("r", rank).filter(F.col("r") <= rows_per_language).select("lang", "text")
 
 
 def codes(texts: list[bytes], symbol_of: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
