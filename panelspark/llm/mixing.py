@@ -13,7 +13,7 @@ and summed up, then rows within a bucket. So a source with a third of all rows i
 spread over all tasks.
 
 The mix is exact up to its horizon: the first slot whose source has no block
-left. Rows of later slots are marked, not dropped; `select` keeps those before it.
+left. Rows of later slots are marked, not dropped; `select` keeps those before it, `ordered` keeps all.
 
 Edge cases: null sources are a source of their own; the last block of a source may
 be short; rows with one id keep separate places; no rows give none. Target
@@ -102,6 +102,11 @@ def select(docs: DataFrame, **how) -> DataFrame:
     return schedule(docs, **how).filter("in_mix").select(*docs.columns)
 
 
+def ordered(docs: DataFrame, **how) -> DataFrame:
+    """All rows of docs whose source has a weight, with their columns, by slot and place: slots of empty sources are passed over."""
+    return schedule(docs, **how).filter("mix_slot is not null").orderBy("mix_slot", "mix_place").select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(C.documents(spark, sf_dir).select("doc_id", "source"))
 
