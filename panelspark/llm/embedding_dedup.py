@@ -9,8 +9,9 @@ smallest id stands for it. For the others a neighbour graph is refined:
 * an audit compares a bounded sample of vectors with all of their label. While recall is
   below `recall`, further trees and rounds follow.
 Neighbours at or over the threshold are links, and links give components. A vector all of whose k neighbours
-are links is saturated: its list is enlarged to its whole component, compared
-block by block, where only counts are kept, so no group gives its pairs and no partner is capped.
+are links is saturated: it is compared with all of its label, block by block, where one link for each two components is kept, and
+these join components that no list connects. Counts come from comparing enlarged components in blocks, so no group gives its pairs and
+no partner is capped. If the last audit is still below `recall`, all vectors are compared so, which is exact.
 
 Edge cases: vectors that are null, zero, empty, or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of other lengths never link; rows with
@@ -175,6 +176,34 @@ def block_counts(points: DataFrame, block: int = 512) -> DataFrame:
     return groups.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("linked"))
 
 
+def bridges(points: DataFrame, asked: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b): roots of components with a link between them, for links of the nodes in asked(node) with any of their label. points(label, dims, node, vec, root)."""
+    whole = ["label", "dims"]
+    some = points.join(asked, "node", "left_semi").select(*whole, "node", "vec", "root")
+    counts = [x.groupBy(*whole).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(c)) for x, c in ((some, "m"), (points, "n"))]
+    sizes = counts[0].join(counts[1], whole)
+
+    def dealt(rows: DataFrame, mine: str, other: str, blocks: str, others: str, side: int) -> DataFrame:
+        at = rows.join(sizes, whole).withColumn(mine, F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return at.select(*whole, "i", "j", "node", "vec", "root", F.lit(side).alias("side"))
+
+    both = dealt(some, "i", "j", "m", "n", 0).union(dealt(points.select(*whole, "node", "vec", "root"), "j", "i", "n", "m", 1))
+    groups = both.groupBy(*whole, "i", "j").agg(F.collect_list(F.struct("node", "vec", "root", "side")).alias("g")).select("g")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in b.column(0):
+                _, x, more = _vectors(group, ("root", "side"))
+                root, side = more["root"], more["side"]
+                a, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                i, j = np.nonzero((x[a] @ x[c].T >= THRESHOLD) & (root[a][:, None] != root[c][None]))
+                if len(i):
+                    met = np.unique(np.sort(np.stack([root[a[i]], root[c[j]]], axis=1), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(met[:, 0].copy()), pa.array(met[:, 1].copy())], ["a", "b"])
+
+    return groups.mapInArrow(compare, "a long, b long").distinct()
+
+
 def audit(points: DataFrame, counts: DataFrame, most: int = AUDIT) -> float:
     """Recall of the links of at most `most` classes (the lowest hashes) against brute force over all others; 1 if they have none."""
     asked = points.join(counts, "node").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(most).select("label", "dims", "node", "vec", "linked").collect()
@@ -207,29 +236,35 @@ def groups(vectors: DataFrame, k: int = K, trees: int = TREES, recall: float = R
     """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding, label)."""
     points = C.cut(classes(vectors), "points")
     found = None
-    for attempt in range(TRIES):
-        born = attempt * (ROUNDS + 1)
-        fresh = leaves(points, trees, k, SEED + attempt).withColumn("born", F.lit(born))
-        graph = C.cut(nearest(fresh if found is None else found.union(fresh), k), "graph")
-        links = graph.filter(F.col("sim") >= THRESHOLD).count()
-        for step in range(1, ROUNDS + 1):
-            more = refined(graph, points, k, born + step - 1).withColumn("born", F.lit(born + step))
-            graph = C.cut(nearest(graph.union(more), k), "graph")
-            before, links = links, graph.filter(F.col("sim") >= THRESHOLD).count()
-            if links - before <= 0.001 * links:
-                break
-        found = graph
+    for attempt in range(TRIES + 1):
+        exact = attempt == TRIES
+        if not exact:
+            born = attempt * (ROUNDS + 1)
+            fresh = leaves(points, trees, k, SEED + attempt).withColumn("born", F.lit(born))
+            graph = C.cut(nearest(fresh if found is None else found.union(fresh), k), "graph")
+            links = graph.filter(F.col("sim") >= THRESHOLD).count()
+            for step in range(1, ROUNDS + 1):
+                more = refined(graph, points, k, born + step - 1).withColumn("born", F.lit(born + step))
+                graph = C.cut(nearest(graph.union(more), k), "graph")
+                before, links = links, graph.filter(F.col("sim") >= THRESHOLD).count()
+                if links - before <= 0.001 * links:
+                    break
+            found = graph
         linked = graph.filter(F.col("sim") >= THRESHOLD)
-        roots = C.components(linked.select(F.col("node").alias("a"), F.col("nbr").alias("b")))
-        full = linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node")
+        edges = linked.select(F.col("node").alias("a"), F.col("nbr").alias("b"))
+        roots = C.components(edges)
+        full = points.select("node") if exact else linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node")
+        rooted = points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        across = C.cut(bridges(rooted, full), "bridges")
+        if not across.isEmpty():
+            roots = C.components(edges.union(across))
         wide = roots.join(full, "node", "left_semi").select("root").distinct()
         enlarged = block_counts(points.join(roots.join(wide, "root", "left_semi"), "node").select(F.col("root").alias("grp"), "node", "vec", "size"))
         both = linked.select("node", "nbr").union(linked.select("nbr", "node")).distinct()
         listed = both.join(points.select(F.col("node").alias("nbr"), "size"), "nbr").groupBy("node").agg(F.sum("size").alias("listed"))
         counts = points.select("node").join(listed, "node", "left").join(enlarged, "node", "left").select("node", F.coalesce("linked", "listed", F.lit(0).cast("long")).alias("linked"))
         counts = C.cut(counts, "counts")
-        reached = audit(points, counts)
-        if reached >= recall:
+        if exact or audit(points, counts) >= recall:
             break
     of = points.join(counts, "node").join(roots, "node", "left").select("label", "dims", "vec", (F.col("linked") + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     every = vectors.select("vec_id", "label", F.col("embedding").alias("vec"), F.size("embedding").alias("dims"))
