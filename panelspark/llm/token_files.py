@@ -25,7 +25,7 @@ from . import idcoder, packing, tokens
 
 END_ID = 1
 #: Ids in a segment (a longer document has a segment of its own): bounds the memory of a task.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 22
 SCHEMA = "shard int, seq int, doc_ids array<long>, lengths array<int>, payload binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
@@ -42,7 +42,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = END_ID, segment: in
 
         def full() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            coded = idcoder.encode(ids, idcoder.block_of(len(ids)))
+            coded = idcoder.encode(ids)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard], [seq], [doc_ids], [[len(p) for p in parts]], [coded]), _ARROW, strict=True)], schema=_ARROW)
 
         for b in C.slices(batches, most=2_000_000):
@@ -71,20 +71,23 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                base, doc_ids, lengths, payload = (b.column(i)[k].as_py() for i in range(4))
-                ids = idcoder.decode(payload)
-                ends = np.cumsum(lengths)
-                pieces = np.split(ids, ends[:-1])
-                for low in range(0, len(doc_ids), 2000):
+            base, doc_ids, lengths = (b.column(i) for i in range(3))
+            for k, ids in idcoder.decode(b.column(3).to_pylist()):
+                docs, n = doc_ids[k].values, lengths[k].values.to_numpy()
+                ends = np.cumsum(n)
+                raw = ids.astype("<u4")
+                for low in range(0, len(n), 2000):
                     some = slice(low, low + 2000)
+                    first, last = int(ends[low] - n[low]), int(ends[some][-1])
+                    cuts = np.append(0, ends[some] - first)
+                    flat = raw[first:last]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(doc_ids[some], pa.int64()),
-                            pa.array(base + ends[some] - lengths[some], pa.int64()),
-                            pa.array(lengths[some], pa.int64()),
-                            pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in pieces[some]], pa.int64()),
-                            pa.array([p for p in pieces[some]], pa.list_(pa.int32())),
+                            docs.slice(low, 2000),
+                            pa.array(base[k].as_py() + ends[some] - n[some]),
+                            pa.array(n[some].astype(np.int64)),
+                            pa.array([zlib.crc32(flat[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64()),
+                            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32))),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
