@@ -12,9 +12,13 @@ windows). Every line puts its segments into an index under (length, segment numb
 probes the indexes of its own and the next smaller lengths. Lines that meet there are filtered by
 a sketch of their bytes, and pairs that pass are verified by banded bit-parallel edit distance.
 
-A line needs one earlier partner, not all: at first each line of an index entry
-names its `first` likeliest earlier partners. Lines that none of these settles
-name all that pass the sketch, so nothing is lost and dense groups don't give their pairs.
+A line needs one earlier partner, not all. First the lines of an index entry are dealt into blocks of
+about `BLOCK_LINES`, and in its block each names its `FIRST` likeliest earlier partners. Lines that none of these
+settles, and that have more partners there or elsewhere under the entry, meet all lines of the entry: blocks
+of open lines against blocks of all lines, each pair of blocks a group of bounded size. There partners are verified from the
+likeliest on until one holds, and only the lines that are settled come out. So nothing is lost, dense groups don't give their pairs, and no group is one task.
+
+Lines under `least` bytes are left alone, equal ones too: short lines repeat in clean text.
 
 Edge cases: null texts have no lines and stay null; null ids come last; repeated rows have all their
 lines judged alike (the first copy in the order of ids keeps them, equal rows are one place, so both
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,6 +41,8 @@ from . import common as C
 EDITS = 2
 LEAST = 16
 FIRST = 4
+#: Lines in a block; every line counts as LINE_BYTES bytes at least, so that blocks of long lines have fewer.
+BLOCK_LINES, LINE_BYTES = 256, 16384
 NO_ID = (1 << 63) - 1
 _MASK = (1 << 63) - 1
 
@@ -234,44 +240,93 @@ def meetings(found: DataFrame) -> DataFrame:
     return found.repartition(n, "key").sortWithinPartitions("key", "s", "h").mapInArrow(run, "key long, h long, s int")
 
 
-def candidates(met: DataFrame, edits: int, first: int | None) -> DataFrame:
-    """Pairs of classes (h, g, eh, eg), the second earlier, that share an index entry and may be close by their sketches; for each line and entry the `first` closest ones, or all.
+def _passing(s: np.ndarray, probe: np.ndarray, order: np.ndarray, mine: np.ndarray, others: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gap, ok) of lines `mine` with `others`: what their sketches differ by, and whether the others may be earlier partners."""
+    gap = sketch_gap(s[mine, None], s[None, others])
+    return gap, (gap <= 2 * edits) & (order[None, others] < order[mine, None]) & ~(probe[mine, None] & probe[None, others])
+
+
+def _columns(group: pa.ListScalar) -> list[np.ndarray]:
+    """h, g, sketch, probe and place in the order of first places, of the lines of a group."""
+    v = group.values.flatten()
+    h, g, doc, row, no, s, probe = (v[i].to_numpy(zero_copy_only=False) for i in range(7))
+    order = np.empty(len(h), np.int64)
+    turn = np.lexsort((no, row, doc))
+    # the same line twice in a group, by two of its entries, has one place
+    order[turn] = np.cumsum(np.append(0, (np.diff(doc[turn]) != 0) | (np.diff(row[turn]) != 0) | (np.diff(no[turn]) != 0)))
+    return [h, g, s, probe, order]
+
+
+def _entry(*more: Column | str) -> Column:
+    return F.struct("h", "g", "rank.doc_id", "rank.row_key", "rank.line", (F.col("s") % _PROBE).alias("sketch"), (F.col("s") >= _PROBE).alias("probe"), *more)
+
+
+def candidates(met: DataFrame, edits: int, first: int) -> DataFrame:
+    """Pairs of classes (h, g, eh, eg, more), the second earlier, that share an index entry and a block of it and may be close by their sketches.
 
-    met(key, h, s, g, rank, ask): rank orders the classes by their first place, ask tells whose partners are wanted.
+    Each line and entry gives its `first` closest ones; more tells whether it has others. met(key, h, g, s, rank, blocks).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[np.ndarray] = []
             for group in b.column(0):
-                v = group.values.flatten()
-                h, g, doc, row, no, s = (v[i].to_numpy(zero_copy_only=False) for i in range(6))
-                probe, ask = v[6].to_numpy(zero_copy_only=False), v[7].to_numpy(zero_copy_only=False)
-                order = np.lexsort((no, row, doc))
-                h, g, s, probe, ask = h[order], g[order], s[order], probe[order], ask[order]
-                for low in range(0, len(h), 256):
-                    mine = np.arange(low, min(low + 256, len(h)))
-                    mine = mine[ask[mine]]
-                    if not len(mine):
-                        continue
-                    gap = sketch_gap(s[mine, None], s[None, : mine[-1] + 1])
-                    ok = (gap <= 2 * edits) & (np.arange(mine[-1] + 1)[None] < mine[:, None]) & ~(probe[mine, None] & probe[None, : mine[-1] + 1])
-                    if first is not None and ok.shape[1] > first:
-                        gap = np.where(ok, gap, 1000)
-                        near = np.argpartition(gap, first - 1, axis=1)[:, :first]
-                        i, j = np.repeat(np.arange(len(mine)), first), near.reshape(-1)
-                        keep = ok[i, j]
-                        i, j = i[keep], j[keep]
-                    else:
-                        i, j = np.nonzero(ok)
+                h, g, s, probe, order = _columns(group)
+                every = np.arange(len(h))
+                for low in range(0, len(h), BLOCK_LINES):
+                    mine = every[low : low + BLOCK_LINES]
+                    gap, ok = _passing(s, probe, order, mine, every, edits)
+                    near = np.argsort(np.where(ok, gap, 1000), axis=1, kind="stable")[:, :first]
+                    i, j = np.repeat(np.arange(len(mine)), near.shape[1]), near.reshape(-1)
+                    keep = ok[i, j]
+                    i, j = i[keep], j[keep]
                     if len(i):
-                        out.append(np.stack([h[mine[i]], g[mine[i]], h[j], g[j]]))
+                        out.append(np.stack([h[mine[i]], g[mine[i]], h[j], g[j], ok.sum(axis=1)[i] > first]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["h", "g", "eh", "eg"])
+                *ends, more = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(more.astype(bool))], ["h", "g", "eh", "eg", "more"])
+
+    lists = met.groupBy("key", F.pmod(F.xxhash64("h"), "blocks").alias("block")).agg(F.collect_list(_entry()).alias("m"))
+    return lists.select("m").mapInArrow(run, "h long, g long, eh long, eg long, more boolean").groupBy("h", "g", "eh", "eg").agg(F.max("more").alias("more"))
+
+
+def settled_in_blocks(met: DataFrame, edits: int) -> DataFrame:
+    """(h, g) of the asked classes that have an earlier partner under one of their entries. met(key, h, g, s, rank, ask, t)."""
 
-    probe = F.col("s") >= _PROBE
-    lists = met.groupBy("key").agg(F.collect_set(F.struct("h", "g", "rank.doc_id", "rank.row_key", "rank.line", (F.col("s") % _PROBE).alias("sketch"), probe.alias("probe"), "ask")).alias("m"))
-    return lists.select("m").mapInArrow(run, "h long, g long, eh long, eg long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in b.column(0):
+                h, g, s, probe, order = _columns(group)
+                asks = group.values.field("asks").to_numpy(zero_copy_only=False)
+                t = group.values.field("t").to_pylist()
+                mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+                gap, ok = _passing(s, probe, order, mine, others, edits)
+                near = np.argsort(np.where(ok, gap, 1000), axis=1, kind="stable")
+                n = ok.sum(axis=1)
+                done = np.zeros(len(mine), bool)
+                at, step = 0, FIRST
+                while len(left := np.flatnonzero(~done & (n > at))):
+                    i, k = (x.reshape(-1) for x in np.broadcast_arrays(left[:, None], np.arange(at, at + step)[None]))
+                    inside = k < n[i]
+                    i, k = i[inside], k[inside]
+                    j = others[near[i, k]]
+                    good = within([t[x] for x in mine[i].tolist()], [t[x] for x in j.tolist()], edits)
+                    done[i[good]] = True
+                    at, step = at + step, step * 2
+                if done.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h[mine[done]]), pa.array(g[mine[done]])], ["h", "g"])
+
+    weight = F.greatest(F.length("t").cast("long"), F.lit(LINE_BYTES))
+    most = float(BLOCK_LINES * LINE_BYTES)
+    sizes = met.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("of"), F.ceil(F.sum(F.when(F.col("ask"), weight)) / most).cast("int").alias("asking"))
+    at = met.join(sizes, "key")
+
+    def side(df: DataFrame, own: str, mine: str, all_: str, other: str, asks: bool) -> DataFrame:
+        dealt = df.withColumn(own, F.pmod(F.xxhash64("h"), mine).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(all_) - 1)))
+        return dealt.select("key", "i", "j", _entry(F.lit(asks).alias("asks"), "t").alias("e"))
+
+    groups = side(at.filter("ask"), "i", "asking", "of", "j", True).union(side(at, "j", "of", "asking", "i", False)).groupBy("key", "i", "j").agg(F.collect_list("e").alias("m"))
+    return groups.select("m").mapInArrow(run, "h long, g long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -318,26 +373,29 @@ def removed(rows: DataFrame, edits: int = EDITS, least: int = LEAST, first: int
     places = classes.select("rank.*", "h", "g")
     # lines that share the first half of their hashes come apart here
     met = C.cut(meetings(entries(rows, edits, least)).join(classes.drop("copies"), "h"), "met")
-    pairs = C.cut(candidates(met.withColumn("ask", F.lit(True)), edits, first), "pairs")
+    blocks = met.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_LINES))).cast("int").alias("blocks"))
+    met = met.join(blocks, "key")
+    pairs = C.cut(candidates(met, edits, first), "pairs")
     wanted = pairs.select("h", "g").union(pairs.select("eh", "eg")).distinct()
     texts = C.cut(texts_of(rows, places.join(wanted, ["h", "g"], "left_semi")), "texts")
-    settled = C.cut(verified(pairs, texts, edits), "settled")
-    # lines that named `first` partners somewhere and are not settled: all the others
-    open_ = pairs.join(settled, ["h", "g"], "left_anti").select("h", "g").distinct().withColumn("ask", F.lit(True))
+    settled = C.cut(verified(pairs.drop("more"), texts, edits), "settled")
+    # not settled, with partners not tried yet: in their blocks, or in other blocks of an entry
+    untried = pairs.filter("more").select("h", "g").union(met.filter("blocks > 1").select("h", "g")).distinct()
+    open_ = C.cut(untried.join(settled, ["h", "g"], "left_anti").withColumn("ask", F.lit(True)), "open")
     again = met.join(open_, ["h", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
     keys = again.filter("ask").select("key").distinct()
-    rest = C.cut(candidates(again.join(keys, "key", "left_semi"), edits, None).join(pairs, ["h", "g", "eh", "eg"], "left_anti"), "rest")
-    more = rest.select("h", "g").union(rest.select("eh", "eg")).distinct().join(texts, ["h", "g"], "left_anti")
-    known = texts.union(texts_of(rows, places.join(more, ["h", "g"], "left_semi")))
-    late = settled.union(verified(rest, known, edits)).distinct().withColumn("late", F.lit(True))
+    again = C.cut(again.join(keys, "key", "left_semi"), "again")
+    unread = again.select("h", "g").distinct().join(texts, ["h", "g"], "left_anti")
+    known = texts.union(texts_of(rows, places.join(unread, ["h", "g"], "left_semi")))
+    late = settled.union(settled_in_blocks(again.join(known, ["h", "g"]), edits)).distinct().withColumn("late", F.lit(True))
     judged = classes.join(late, ["h", "g"], "left").select("h", "g", F.col("rank").alias("first_at"), F.coalesce("late", F.lit(False)).alias("late"), "copies").filter("late or copies > 1")
     return every.join(judged, ["h", "g"]).filter(F.col("late") | (F.struct("doc_id", "row_key", "line") != F.col("first_at"))).select("doc_id", "row_key", "line")
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, first: int = FIRST) -> DataFrame:
     """docs (doc_id, text and any other columns) with `text` without removed lines and, last, n_lines and n_removed."""
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", C.row_key())
-    gone = removed(_plain(docs), edits, least).groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
+    gone = removed(_plain(docs), edits, least, first).groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
     joined = keyed.join(gone, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     parts = F.split("text", "\n", -1)
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))

@@ -64,9 +64,9 @@ def brute(rows, edits, least):
     return [(d, None if t is None else "\n".join(x.decode() for p, x in doc if p not in gone)) for (d, t), doc in zip(rows, every)]
 
 
-@pytest.mark.parametrize("edits,first", [(2, 4), (1, 1), (2, 1)])
-def test_matches_brute_force(spark, monkeypatch, edits, first):
-    monkeypatch.setattr(D, "FIRST", first)
+@pytest.mark.parametrize("edits,first,block", [(2, 4, 256), (1, 1, 256), (2, 1, 4)])
+def test_matches_brute_force(spark, monkeypatch, edits, first, block):
+    monkeypatch.setattr(D, "BLOCK_LINES", block)
     rnd = random.Random(edits)
     base = ["".join(rnd.choices("abcdefg é", k=rnd.randrange(12, 40))) for _ in range(12)]
     rows = []
@@ -80,7 +80,7 @@ def test_matches_brute_force(spark, monkeypatch, edits, first):
         rows.append((d, "\n".join(out)))
     rows += [(3, rows[5][1]), (100, None), (101, ""), (102, "\n\n"), (None, base[0] + "\nshort"), (5, rows[5][1])]
     df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, h string, line int")
-    got = D.dedup(df, edits=edits, least=10).collect()
+    got = D.dedup(df, edits=edits, least=10, first=first).collect()
     key = lambda x: (str(x[0]), str(x[1]))
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(brute(rows, edits, 10), key=key)
     for r in got:
@@ -96,6 +96,21 @@ def test_dense_groups(spark):
     assert got == sorted(brute(rows, 2, 16))
 
 
+def test_rows_of_a_dense_group_are_linear(spark, monkeypatch):
+    """Lines that share all but one segment and are far apart: each names few partners, and blocks give back what is settled only."""
+    monkeypatch.setattr(D, "BLOCK_LINES", 32)
+    for n in (40, 160):
+        rows = [(d, "some long beginning of a line that many share " + "".join(random.Random(d).sample("qrstuvwxyz", 10)) + " and its end too") for d in range(n)]
+        named = []
+        real = D.candidates
+        monkeypatch.setattr(D, "candidates", lambda *a, real=real, named=named: named.append(real(*a)) or named[-1])
+        got = D.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        monkeypatch.setattr(D, "candidates", real)
+        assert sorted((r.doc_id, r.text) for r in got) == sorted(brute(rows, 2, 16))
+        # three entries of a line, each with FIRST partners at most
+        assert named[0].count() <= 3 * D.FIRST * n
+
+
 def test_no_rows(spark):
     assert D.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
