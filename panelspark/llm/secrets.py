@@ -69,8 +69,10 @@ def spans(docs: DataFrame) -> DataFrame:
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("whole")).over(sofar)).withColumn("start", F.col("end") - F.col("whole"))
     parts = placed.filter((F.col("whole") > 0) & (F.col("part") >= least)).select("doc_id", "row_key", "kind", "start", "end")
 
-    by = Window.partitionBy("doc_id", "row_key").orderBy("start", "kind", "end")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what comes before in the reverse order: a frame that only grows costs a step a row
+    by = Window.partitionBy("doc_id", "row_key")
+    before = by.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(*kinds: str) -> Column:
         is_it = F.col("kind").isin([KINDS.index(k) for k in kinds])
