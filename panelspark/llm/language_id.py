@@ -1,18 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a tree of byte contexts of order 0 to 3 counts what follows each
-context. A symbol seen in a context costs -log2(count / (total + distinct)); the
+context. A byte seen in a context costs -log2(count / (total + distinct)); the
 rest of the probability, distinct / (total + distinct), is the escape to the next shorter
-context, where symbols that the longer one offers are excluded. Below order 0 all symbols are alike. The
-statistics are frozen after training, so every symbol's exact code length is known
+context, where bytes that the longer one offers are excluded. Below order 0 all 256 bytes are alike. The
+statistics are frozen after training, so every byte's exact code length is known
 in advance and a text's cost is a sum of table look-ups. A text gets the language with the
-shortest code; its score is that language's share of 2**-length over all languages.
-
-Symbols: the 63 commonest bytes of the training texts (A-Z in lower case), one for all others.
+shortest code; its score is that language's share of 2**-length over all languages. A-Z are taken in lower case.
 
 Training reads a bounded sample, `rows_per_language` labelled rows of each
-language (lowest hashes of doc_id, then text); the trees are counted by Spark and
-their counts, bounded by the alphabet, go to the workers, which unfold them.
+language (lowest hashes of doc_id, then text); the trees are counted by Spark. What reaches the driver and the workers are the
+counts of the byte 4-grams of these rows. A worker unfolds them, language by language, into one row of
+costs for each context that was seen and one column for each byte that was seen, with one more for all bytes that were not, which are alike.
+So memory grows with the contexts of a language and in proportion to the number of languages, whose order stays 3.
 
 Edge cases: a null text, one without a letter, and any text when nothing was
 learned are `und` with score 0; rows with a null id or label are never learned from;
@@ -34,16 +34,14 @@ from . import common as C
 ROWS_PER_LANGUAGE = 600
 #: The hashes of the rows of a language are counted in 2**BUCKET_BITS buckets.
 BUCKET_BITS = 16
-SYMBOLS, BITS = 64, 6
-#: Costs are kept in 1/1024 bits.
-UNIT = 1024
-#: Unfolded tables of this many entries at most are held by a worker; more languages than that allows use order 2.
-MOST_ENTRIES = 8 << 24
-_ASCII, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
+ORDER, BYTES = 3, 256
+#: Bytes of text looked up at once.
+PIECE = 1 << 18
+_ASCII = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII.search(text) or _LETTER.search(text.decode()))
+    return bool(_ASCII.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode())))
 
 
 def held_out() -> F.Column:
@@ -67,114 +65,136 @@ def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
     return few.withColumn("r", rank).filter(F.col("r") <= rows_per_language).select("lang", "text")
 
 
-def codes(texts: list[bytes], symbol_of: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and symbol as one number for each byte of the texts; where each text starts and ends. Contexts start with spaces."""
-    gap = b" " * order
-    whole = symbol_of[np.frombuffer(gap + gap.join(texts) + gap, np.uint8)]
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, ORDER spaces before each, in lower case; where each text starts and ends."""
+    gap = b" " * ORDER
     n = np.array([len(t) for t in texts], np.int64)
-    end = np.cumsum(n + order)
-    code = whole[order:].copy()
-    for k in range(1, order + 1):
-        code |= whole[order - k : len(whole) - k] << np.int32(BITS * k)
-    # the text that starts at byte s + order of `whole` starts at s of `code`
-    return code, end - order - n, end - order
+    end = np.cumsum(n + ORDER)
+    return np.frombuffer((gap + gap.join(texts)).lower(), np.uint8), end - n, end
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of the texts with the ORDER bytes before it, as one number, and how often it occurs."""
+    whole, start, end = laid_out(texts)
+    code = np.zeros(len(whole), np.int64)
+    for k in range(ORDER + 1):
+        code[k:] |= whole[: len(whole) - k].astype(np.int64) << (8 * k)
+    inside = np.zeros(len(code) + 1, np.int32)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, end, -1)
+    return np.unique(code[np.cumsum(inside[:-1]) > 0], return_counts=True)
+
+
+class Tree:
+    """Code lengths of one language, unfolded from the counts of its byte 4-grams."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray):
+        seen = np.unique(code & 255)
+        #: bytes never seen share the last column
+        self.column = np.full(BYTES, len(seen), np.int64)
+        self.column[seen] = np.arange(len(seen))
+        self.width = w = len(seen) + 1
+        # bytes that occur only before others are in a column of their own kind too: contexts hold bytes, not columns
+        levels = []  # by order: contexts, costs' rows
+        p = np.full((1, w), 1 / BYTES)
+        contexts = np.zeros(1, np.int64)
+        for k in range(ORDER + 1):
+            mine, at = np.unique(code >> 8 & ((1 << 8 * k) - 1), return_inverse=True)
+            c = np.zeros((len(mine), w))
+            np.add.at(c, (at, self.column[code & 255]), count)
+            shorter = np.searchsorted(contexts, mine & ((1 << 8 * max(0, k - 1)) - 1))
+            p, contexts = _escaped(c, p[shorter]), mine
+            levels.append((mine, p))
+        base = np.cumsum([0, *(len(m) for m, _ in levels)])
+        self.costs = -np.log2(np.concatenate([p for _, p in levels])).reshape(-1)
+        (one, two, three), (b1, b2, b3) = (m for m, _ in levels[1:]), base[1:4]
+        # by the last two bytes: the row of their longest context
+        every = np.arange(BYTES)
+        short = np.zeros(BYTES, np.int64)
+        short[one] = b1 + np.arange(len(one))
+        pairs = np.broadcast_to(short, (BYTES, BYTES)).copy()
+        pairs[two >> 8, two & 255] = b2 + np.arange(len(two))
+        # by the two bytes before the last: a line of rows, own ones where a longer context was seen, else that of the second
+        heads, head = np.unique(three >> 8, return_inverse=True)
+        self.line = np.broadcast_to(every, (BYTES, BYTES)).reshape(-1).copy()
+        self.line[heads] = BYTES + np.arange(len(heads))
+        rows = np.concatenate([pairs, pairs[heads & 255]])
+        rows[BYTES + head, three & 255] = b3 + np.arange(len(three))
+        self.rows = (rows * w).reshape(-1).astype(np.int32)
+        self.line = (self.line << 8).astype(np.int32)
+
+    def bits(self, whole: np.ndarray) -> np.ndarray:
+        """Code length of every byte after the first ORDER ones."""
+        x = whole.astype(np.int32)
+        line = self.line[x[:-3] << 8 | x[1:-2]]
+        line |= x[2:-1]
+        return self.costs[self.rows[line] + self.column[x[3:]]]
+
+
+def _escaped(c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of contexts with the counts c, and those of their shorter contexts, p, where they escape. The last column stands for all bytes never seen."""
+    seen = c > 0
+    alike = np.ones(c.shape[1])
+    alike[-1] = BYTES + 1 - c.shape[1]
+    distinct = seen.sum(axis=1, keepdims=True)
+    escape = np.where(distinct < BYTES, distinct, 0)
+    total = c.sum(axis=1, keepdims=True) + escape
+    rest = (p * ~seen * alike).sum(axis=1, keepdims=True)
+    return np.where(seen, c / total, p * (escape / total / np.where(rest > 0, rest, 1)))
 
 
 class Model:
-    """Languages, symbols and sparse counts (language, code) of the longest contexts; unfolds on the workers."""
+    """Languages and the counts of their byte 4-grams; unfolds on the workers."""
 
-    def __init__(self, languages: list[str], symbol_of: np.ndarray, language: np.ndarray, code: np.ndarray, count: np.ndarray, order: int):
-        self.languages, self.symbol_of, self.order = languages, symbol_of, order
-        self.language, self.code, self.count = language, code, count
-        self.table: np.ndarray | None = None
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.counts = languages, counts
+        self.trees: list[Tree] | None = None
 
     def __reduce__(self):
         # what is unfolded stays where it is; a worker drops it with the first task that doesn't use the broadcast
-        return Model, (self.languages, self.symbol_of, self.language, self.code, self.count, self.order)
-
-    def probabilities(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
-        """First code and probabilities by context and symbol, for language k, in runs of contexts."""
-        mine = self.language == k
-        counts = np.zeros(SYMBOLS ** (self.order + 1), np.float32)
-        counts[self.code[mine]] = self.count[mine]
-        levels = [counts.reshape(-1, SYMBOLS)]
-        for _ in range(self.order):
-            levels.append(levels[-1].reshape(SYMBOLS, -1).sum(axis=0).reshape(-1, SYMBOLS))
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        for c in levels[:0:-1]:
-            p = np.concatenate([_escaped(c[low : low + len(p)], p) for low in range(0, len(c), len(p))])
-        for low in range(0, len(levels[0]), len(p)):
-            yield low * SYMBOLS, _escaped(levels[0][low : low + len(p)], p)
-
-    def costs(self) -> np.ndarray:
-        """By code and language: code length in 1/UNIT bits."""
-        if self.table is None:
-            table = np.empty((SYMBOLS ** (self.order + 1), len(self.languages)), np.uint16)
-            for k in range(len(self.languages)):
-                for first, p in self.probabilities(k):
-                    p = p.reshape(-1)
-                    np.maximum(p, 1e-18, out=p)
-                    np.log2(p, out=p)
-                    p *= -UNIT
-                    table[first : first + len(p), k] = np.minimum(np.rint(p, out=p), 65535)
-            self.table = table
-        return self.table
+        return Model, (self.languages, self.counts)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
-        code, start, end = codes([t.lower() for t in texts], self.symbol_of, self.order)
-        cost = self.costs()
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            for low in range(a, b, 1 << 18):
-                out[i] += cost[code[low : min(b, low + (1 << 18))]].sum(axis=0, dtype=np.int64)
-        return out / UNIT
-
-
-def _escaped(c: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities of contexts with the counts c, and those of their shorter contexts, p, where they escape."""
-    total, seen = c.sum(axis=1, keepdims=True), c > 0
-    distinct = seen.sum(axis=1, keepdims=True, dtype=np.float32)
-    rest = 1 - (p * seen).sum(axis=1, keepdims=True)
-    escape = np.where(distinct < SYMBOLS, distinct, 0) / np.maximum(total + distinct, 1) / np.maximum(rest, 1e-6)
-    out = np.where(seen, c / np.maximum(total + np.where(distinct < SYMBOLS, distinct, 0), 1), p * escape)
-    return np.where(total == 0, p, out)
+        if self.trees is None:
+            self.trees = [Tree(*c) for c in self.counts]
+        whole, start, end = laid_out(texts)
+        out = np.zeros((len(texts), len(self.trees)))
+        for low in range(ORDER, len(whole), PIECE):
+            high = min(len(whole), low + PIECE)
+            # the texts with bytes in this piece; the spaces between them belong to none
+            first, last = int(np.searchsorted(end, low, "right")), int(np.searchsorted(start, high))
+            a, b = np.maximum(start[first:last], low), np.minimum(end[first:last], high)
+            edges = np.stack([a, b], axis=1).reshape(-1) - low
+            some = np.flatnonzero(a < b)
+            for k, tree in enumerate(self.trees):
+                bits = np.append(tree.bits(whole[low - ORDER : high]), 0.0)
+                sums = np.add.reduceat(bits, edges)[::2] if len(edges) else np.zeros(0)
+                out[first + some, k] += sums[some]
+        return out
 
 
 def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     rows = C.cut(sample(docs, rows_per_language), "labelled")
 
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(C.texts(b)).lower(), np.uint8), minlength=256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["byte", "n"])
-
-    counted = rows.select("text").mapInArrow(bytes_of, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).filter("n > 0").collect()
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not languages:
         return None
-    symbol_of = np.full(256, SYMBOLS - 1, np.int32)
-    common = sorted(counted, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 1]
-    symbol_of[[r["byte"] for r in common]] = np.arange(len(common))
-    order = 3 if len(languages) * SYMBOLS**4 <= MOST_ENTRIES else 2
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches, most=1_000_000):
             langs, texts = C.column(b, "lang"), C.texts(b)
             for lang in sorted(set(langs)):
-                code, start, end = codes([t.lower() for t, x in zip(texts, langs, strict=True) if x == lang], symbol_of, order)
-                inside = np.zeros(len(code) + 1, np.int32)
-                np.add.at(inside, start, 1)
-                np.add.at(inside, end, -1)
-                found, n = np.unique(code[np.cumsum(inside[:-1]) > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
-
-    table = rows.mapInArrow(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+                code, n = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+
+    table = rows.mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     place = {x: k for k, x in enumerate(languages)}
-    code = table["code"].to_numpy()
     language = np.array([place[x] for x in table["lang"].to_pylist()], np.int32)
+    code, n = table["code"].to_numpy(), table["n"].to_numpy()
     turn = np.lexsort((code, language))
-    return Model(languages, symbol_of, language[turn], code[turn], table["n"].to_numpy()[turn], order)
+    cuts = np.searchsorted(language[turn], np.arange(1, len(languages)))
+    return Model(languages, list(zip(np.split(code[turn], cuts), np.split(n[turn], cuts), strict=True)))
 
 
 PREDICTION = "lang_pred string, score double, bits_per_byte double"

@@ -2,7 +2,7 @@ import math
 import random
 import zlib
 
-import numpy as np
+import pytest
 from panelspark.llm import language_id as L
 
 A, B = ["the", "and", "house", "when", "which"], ["der", "und", "haus", "wenn", "für"]
@@ -18,56 +18,66 @@ def docs(spark, n=200):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
 
 
-def slow_cost(counts, symbols, order):
-    """PPM with exclusion, one symbol at a time. counts: {context: {symbol: n}} for every order."""
-    total = 0.0
-    for i in range(order, len(symbols)):
-        s, out, p = symbols[i], set(), 1.0
-        for k in range(order, -1, -1):
-            seen = counts.get(tuple(symbols[i - k : i]), {})
-            if not seen:
-                continue
-            # shares within this order, without what longer contexts offered
-            n, t = sum(seen.values()), len(seen)
-            inner = probability(counts, symbols, i, k, order)
-            p = inner[s]
-            break
-        total -= math.log2(p)
-    return total
-
-
-def probability(counts, symbols, i, k, order):
+def slow_cost(counts, text, order=3):
+    """PPM with exclusion, one byte at a time. counts: {context: {byte: n}} for every order."""
+    padded = b" " * order + text
+    return -sum(math.log2(probability(counts, padded, i, order)[padded[i]]) for i in range(order, len(padded)))
+
+
+def probability(counts, text, i, k):
     if k < 0:
-        return [1 / 64] * 64
-    seen = counts.get(tuple(symbols[i - k : i]), {})
-    lower = probability(counts, symbols, i, k - 1, order)
+        return [1 / 256] * 256
+    seen = counts.get((k, text[i - k : i]), {})
+    lower = probability(counts, text, i, k - 1)
     if not seen:
         return lower
     n, t = sum(seen.values()), len(seen)
+    if t == 256:
+        return [seen[s] / n for s in range(256)]
     rest = 1 - sum(lower[s] for s in seen)
-    return [seen[s] / (n + t) if s in seen else t / (n + t) * lower[s] / rest for s in range(64)]
+    return [seen[s] / (n + t) if s in seen else t / (n + t) * lower[s] / rest for s in range(256)]
 
 
-def test_code_lengths_equal_a_plain_ppm():
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_code_lengths_equal_a_plain_ppm(monkeypatch, piece):
+    monkeypatch.setattr(L, "PIECE", piece)
     rnd = random.Random(1)
-    train = [bytes(rnd.choices(b"abcd ", weights=[5, 3, 2, 1, 2], k=300)) for _ in range(3)]
-    symbol_of = np.full(256, 63, np.int32)
-    for k, c in enumerate(b" abc"):
-        symbol_of[c] = k
-    code, start, end = L.codes(train, symbol_of, 2)
-    picked = np.concatenate([code[a:b] for a, b in zip(start, end)])
-    found, n = np.unique(picked, return_counts=True)
-    model = L.Model(["x"], symbol_of, np.zeros(len(found), np.int32), found, n, 2)
-    counts = {}
-    for t in train:
-        s = [0, 0, *(int(symbol_of[c]) for c in t)]
-        for i in range(2, len(s)):
-            for k in range(3):
-                c = counts.setdefault(tuple(s[i - k : i]), {})
-                c[s[i]] = c.get(s[i], 0) + 1
-    for t in (b"abcabz d", b"zzz", b"dddda", train[0]):
-        got = model.score([b"q", t, b""])[1, 0]
-        assert abs(got - slow_cost(counts, [0, 0, *(int(symbol_of[c]) for c in t)], 2)) < 0.002 * len(t)
+    train = [bytes(rnd.choices(b"abcd ", weights=[5, 3, 2, 1, 2], k=300)) for _ in range(3)] + [bytes(range(256)) * 2, b"", b"x"]
+    for texts in (train[:3], train):
+        counts = {}
+        for t in texts:
+            s = b"   " + t.lower()
+            for i in range(3, len(s)):
+                for k in range(4):
+                    c = counts.setdefault((k, s[i - k : i]), {})
+                    c[s[i]] = c.get(s[i], 0) + 1
+        model = L.Model(["x", "y"], [L.grams(texts), L.grams([b"q"])])
+        asked = [b"q", b"abcABz d", b"", b"zzz", b"dddda", train[0], bytes(range(256))]
+        got = model.score(asked)[:, 0]
+        for g, t in zip(got, asked):
+            assert abs(g - slow_cost(counts, t.lower())) < 1e-6 * (1 + len(t))
+
+
+def test_many_languages_keep_their_order(spark):
+    """Twelve labels: every byte's context is still of three bytes, and rare letters count."""
+    rnd = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzßéø", k=6)) for _ in range(8)] for k in range(12)}
+    rows = [(d, " ".join(rnd.choices(words[f"l{d % 12:02d}"], k=12)), f"l{d % 12:02d}") for d in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(df)
+    assert len(model.languages) == 12
+    got = {r.doc_id: r.lang_pred for r in L.predict(df.drop("lang"), model).collect()}
+    assert all(got[d] == lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_ties_and_letters(spark):
+    """Languages of one text each, the same: the first in order. Number characters are no letters."""
+    learned = spark.createDataFrame([(d, "same words here", lang) for d, lang in enumerate(["b", "a", "b", "a", "a", "b", "a", "b"])], "doc_id long, text string, lang string")
+    model = L.learn(learned)
+    asked = spark.createDataFrame([(1, "same words"), (2, "½ ² ① Ⅷ"), (3, "ʰ"), (4, "漢")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in L.predict(asked, model).collect()}
+    assert got[2] == "und" and {got[3], got[4]} <= {"a", "b"} and got[1] in ("a", "b")
+    assert L.predict(asked.limit(0), model).collect() == []
 
 
 def test_predictions(spark):
