@@ -25,18 +25,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.panelspark.shared", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.panelspark.shared", where)
     return where.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: a finished stage survives lost executors and is not computed twice."""
+    """Write df to the shared folder and read it back: a finished stage survives lost executors and is not computed twice.
+
+    The files of an application are in a folder of its own, to be deleted once its results are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/panelspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

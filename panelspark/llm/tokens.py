@@ -19,7 +19,7 @@ import numpy as np
 
 SEPARATOR = "<|startoftext|>"
 #: Chunks remembered per Python worker; beyond it the store starts anew, which costs time but changes no result.
-KEPT_CHUNKS = 900_000
+KEPT_CHUNKS = 500_000
 MARKS = b".,;:!?"
 
 
