@@ -90,16 +90,23 @@ def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
-    """For pairs of lines: whether their edit distance is at most edits. Banded and bit-parallel.
+    """For pairs of lines: whether their edit distance is at most edits. Banded and bit-parallel, for pairs whose bytes allow it.
 
     For each number of errors a word holds the 2*edits+1 diagonals around the main one;
     a bit says that the prefixes that end there are that close. All pairs move one byte at a time.
     """
     out = np.zeros(len(a), bool)
-    order = np.argsort([len(x) for x in a], kind="stable")
-    for low in range(0, len(a), 2048):
+    lines = list(dict.fromkeys([*a, *b]))
+    place = dict(zip(lines, range(len(lines)), strict=True))
+    i, j = (np.fromiter((place[x] for x in y), np.int64, len(a)) for y in (a, b))
+    counts = np.stack([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in lines]).astype(np.int32) if lines else np.zeros((0, 256), np.int32)
+    # an edit changes two counts of bytes by one at most
+    able = [np.abs(counts[i[low : low + 4096]] - counts[j[low : low + 4096]]).sum(axis=1) <= 2 * edits for low in range(0, len(a), 4096)]
+    order = np.flatnonzero(np.concatenate(able)) if able else np.zeros(0, np.int64)
+    order = order[np.argsort([len(a[k]) for k in order], kind="stable")]
+    for low in range(0, len(order), 2048):
         some = order[low : low + 2048]
-        out[some] = _within([a[i] for i in some], [b[i] for i in some], edits)
+        out[some] = _within([a[k] for k in some], [b[k] for k in some], edits)
     return out
 
 
@@ -295,26 +302,44 @@ def settled_in_blocks(met: DataFrame, edits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for group in b.column(0):
-                h, g, s, probe, order = _columns(group)
-                asks = group.values.field("asks").to_numpy(zero_copy_only=False)
-                t = group.values.field("t").to_pylist()
-                mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-                gap, ok = _passing(s, probe, order, mine, others, edits)
-                near = np.argsort(np.where(ok, gap, 1000), axis=1, kind="stable")
-                n = ok.sum(axis=1)
-                done = np.zeros(len(mine), bool)
-                at, step = 0, FIRST
-                while len(left := np.flatnonzero(~done & (n > at))):
-                    i, k = (x.reshape(-1) for x in np.broadcast_arrays(left[:, None], np.arange(at, at + step)[None]))
-                    inside = k < n[i]
-                    i, k = i[inside], k[inside]
-                    j = others[near[i, k]]
-                    good = within([t[x] for x in mine[i].tolist()], [t[x] for x in j.tolist()], edits)
-                    done[i[good]] = True
-                    at, step = at + step, step * 2
-                if done.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(h[mine[done]]), pa.array(g[mine[done]])], ["h", "g"])
+            for low in range(0, b.num_rows, 64):
+                found = settle([partners(group) for group in b.column(0).slice(low, 64)])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["h", "g"])
+
+    def partners(group: pa.ListScalar) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of a group: the asking lines' h and g, all texts, the asking lines' places, their partners from the likeliest on, how many these are."""
+        h, g, s, probe, order = _columns(group)
+        asks = group.values.field("asks").to_numpy(zero_copy_only=False)
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        gap, ok = _passing(s, probe, order, mine, others, edits)
+        near = np.argsort(np.where(ok, gap, 1000), axis=1, kind="stable")
+        return np.stack([h[mine], g[mine]], axis=1), group.values.field("t").to_pylist(), mine, others[near], ok.sum(axis=1)
+
+    def settle(groups: list[tuple]) -> np.ndarray:
+        """(h, g) of the asking lines of the groups that have a partner; all groups go one step at a time, so that many pairs are verified at once."""
+        done = [np.zeros(len(n), bool) for *_, n in groups]
+        at, step = 0, FIRST
+        while True:
+            a: list[bytes] = []
+            b: list[bytes] = []
+            of: list[tuple[int, np.ndarray]] = []
+            for k, (_, t, mine, near, n) in enumerate(groups):
+                left = np.flatnonzero(~done[k] & (n > at))
+                i, j = (x.reshape(-1) for x in np.broadcast_arrays(left[:, None], np.arange(at, min(at + step, near.shape[1]))[None]))
+                i, j = i[j < n[i]], j[j < n[i]]
+                if len(i):
+                    a += [t[x] for x in mine[i].tolist()]
+                    b += [t[x] for x in near[i, j].tolist()]
+                    of.append((k, i))
+            if not of:
+                break
+            good, start = within(a, b, edits), 0
+            for k, i in of:
+                done[k][i[good[start : start + len(i)]]] = True
+                start += len(i)
+            at, step = at + step, step * 2
+        return np.concatenate([named[x] for (named, *_), x in zip(groups, done, strict=True)])
 
     weight = F.greatest(F.length("t").cast("long"), F.lit(LINE_BYTES))
     most = float(BLOCK_LINES * LINE_BYTES)
