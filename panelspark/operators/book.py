@@ -133,3 +133,26 @@ def blend(a: DataFrame, b: DataFrame, share: DataFrame) -> DataFrame:
     both = a.select("bar", "code", F.col("w").alias("wa"), F.lit(0.0).alias("wb")).union(b.select("bar", "code", F.lit(0.0), F.col("w"))).groupBy("bar", "code").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
     s = F.coalesce("share", F.lit(1.0))
     return both.join(share, "bar", "left").select("bar", "code", (s * F.col("wa") + (1 - s) * F.col("wb")).alias("w"))
+
+
+def keyed_weights(df: DataFrame, by: str = "cell") -> DataFrame:
+    """(by, bar, code, w): long books of all cells in one plan. df(by, bar, code, alpha, sigma, q, sizing): in each bar the best share q by alpha, `eqw` or `inv_vol`."""
+    ranked = eligible_k(df, F.col("q"), by=[by]).filter(F.col("rk") <= F.col("k"))
+    raw = ranked.withColumn("raw", F.when(F.col("sizing") == "eqw", 1.0).otherwise(div(F.lit(1.0), F.col("sigma"))))
+    return raw.select(by, "bar", "code", div(F.col("raw"), F.sum("raw").over(Window.partitionBy(by, "bar"))).alias("w"))
+
+
+def at_refreshes(series: DataFrame, refreshes: DataFrame) -> DataFrame:
+    """(refresh, n, mean_turnover, max_turnover): turnover of the bars at which a book is made anew, and of the others. refreshes(refresh): a few dates."""
+    marked = series.join(F.broadcast(refreshes.select(F.col("refresh").alias("bar"), F.lit(True).alias("refresh"))), "bar", "left")
+    return marked.groupBy(F.coalesce("refresh", F.lit(False)).alias("refresh")).agg(F.count("*").alias("n"), F.avg("turnover").alias("mean_turnover"), F.max("turnover").alias("max_turnover"))
+
+
+def group_mixed(sub: DataFrame, groups: DataFrame, ever: DataFrame) -> DataFrame:
+    """(bar, code, w): weights within blocks times their group's share and N_b / N_g, the counts of names that were ever members of the block and of all blocks of the group; what a block leaves is cash.
+
+    sub(bar, block, code, w), groups(block, grp, share), ever(code, block): the counts are fixed, so weights are not renormalised when a block has no names.
+    """
+    n = ever.groupBy("block").agg(F.count_distinct("code").alias("nb"))
+    g = groups.join(n, "block").withColumn("ng", F.sum("nb").over(Window.partitionBy("grp")))
+    return sub.join(F.broadcast(g), "block").select("bar", "code", (F.col("w") * F.col("share") * F.col("nb") / F.col("ng")).alias("w"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import exit_k
@@ -37,7 +37,7 @@ def _replace(ranks: np.ndarray, codes: np.ndarray, held: set, k: int, xk: int, t
     return kept
 
 
-def replace_book(df: DataFrame, q: float, epsilon: float, by: list[str] | None = None, trim: str = "as_published", long_short: bool = False) -> DataFrame:
+def replace_book(df: DataFrame, q: float | Column, epsilon: float | Column, by: list[str] | None = None, trim: str = "as_published", long_short: bool = False) -> DataFrame:
     """(by, bar, code, side) held under the replace rule; with two sides the short one uses ranks from below, and names on both sides belong to neither.
 
     The rule couples all names of a book, so a book (by: its cell or block) is one group;
@@ -46,7 +46,7 @@ def replace_book(df: DataFrame, q: float, epsilon: float, by: list[str] | None =
     """
     by = by or []
     ranked = df.withColumn("_one", F.lit(0))
-    ranked = eligible_k(ranked, q, long_short).withColumn("xk", exit_k("n", "k", epsilon)).select(*(by or ["_one"]), "bar", "code", "rk", "n", "k", "xk")
+    ranked = eligible_k(ranked, q, long_short, by).withColumn("xk", exit_k("n", "k", epsilon)).select(*(by or ["_one"]), "bar", "code", "rk", "n", "k", "xk")
     keys = by or ["_one"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

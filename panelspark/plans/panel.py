@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import TINY, div, friday, r
 from ..functions.stats import full, rows
+from .store import stored
 
 SIGMA_WEEKS = 26
 IS_END, OOS_END = "1998-12-31", "2000-06-30"
@@ -58,7 +59,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bar, code, close, amount, qty, n_rows, discount) of weeks with trades."""
+    """(bar, code, close, amount, qty, n_rows, discount) of weeks with trades. One pass over lineitem in an application: the result, a row for each code and week, is stored."""
+    return stored(spark, sf_dir, "cells", ("lineitem",), lambda: _cells(spark, sf_dir))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
     g = li.groupBy(friday("l_shipdate").alias("bar"), F.col("l_suppkey").alias("code"))
     return g.agg(
@@ -82,8 +87,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     amount: whole cents; px: last close up to the bar; fwd: return to the next bar; sigma: 26 weekly log
     returns, all needed; member: traded in at least 4 of the last 13 weeks, and sigma known.
-    One shuffle by code serves all windows.
+    One shuffle by code serves all windows. The result, a row for each code and week, is stored.
     """
+    return stored(spark, sf_dir, "panel", ("lineitem", "supplier", "nation"), lambda: _panel(spark, sf_dir))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
     dense = grid(c).join(c, ["bar", "code"], "left")
     w = Window.partitionBy("code").orderBy("bar")

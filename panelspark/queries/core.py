@@ -101,9 +101,10 @@ def ever_members(spark, sf_dir):
     return P.instruments(spark, sf_dir).select("code", "block").join(eligible(spark, sf_dir), "code", "left_semi")
 
 
-@query("never_members", sql("SELECT s_suppkey AS code FROM supplier WHERE s_suppkey NOT IN (SELECT code FROM members)"))
+@query("never_members", sql("SELECT bar, code FROM cells c WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.bar = c.bar AND m.code = c.code)"))
 def never_members(spark, sf_dir):
-    return P.read(spark, sf_dir, "supplier", F.col("s_suppkey").alias("code")).join(eligible(spark, sf_dir), "code", "left_anti")
+    """Bars at which a code trades and is no member."""
+    return P.cells(spark, sf_dir).select("bar", "code").join(eligible(spark, sf_dir), ["bar", "code"], "left_anti")
 
 
 @query("common_codes", sql("SELECT code FROM cells WHERE bar <= DATE '1998-12-31' INTERSECT SELECT code FROM cells WHERE bar > DATE '1998-12-31'", base="cells"))
@@ -112,16 +113,17 @@ def common_codes(spark, sf_dir):
     return c.filter("bar <= '1998-12-31'").select("code").intersect(c.filter("bar > '1998-12-31'").select("code"))
 
 
-@query("bars_union", sql("SELECT bar FROM cells WHERE code % 2 = 0 UNION SELECT bar FROM cells WHERE code % 3 = 0", base="cells"))
+@query("bars_union", sql("SELECT bar FROM members UNION SELECT bar FROM cells JOIN windows ON bar BETWEEN lo AND hi WHERE win = 'is'"))
 def bars_union(spark, sf_dir):
-    c = P.cells(spark, sf_dir).select("bar", "code")
-    return c.filter("code % 2 = 0").select("bar").union(c.filter("code % 3 = 0").select("bar")).distinct()
+    """Bars with members, and bars of the first window with trades."""
+    traded = P.in_windows(P.cells(spark, sf_dir)).filter(F.col("window") == "is").select("bar")
+    return eligible(spark, sf_dir).select("bar").union(traded).distinct()
 
 
-@query("bars_except", sql("SELECT bar FROM grid EXCEPT SELECT bar FROM cells WHERE code % 7 = 1", base="grid"))
+@query("bars_except", sql("SELECT bar FROM grid EXCEPT SELECT bar FROM members"))
 def bars_except(spark, sf_dir):
-    c = P.cells(spark, sf_dir)
-    return P.grid(c).select("bar").distinct().join(c.filter("code % 7 = 1").select("bar"), "bar", "left_anti")
+    """Bars of the grid at which nothing is a member."""
+    return P.grid(P.cells(spark, sf_dir)).select("bar").distinct().join(eligible(spark, sf_dir).select("bar"), "bar", "left_anti")
 
 
 # --- universe --------------------------------------------------------------------------------------------------------
@@ -502,9 +504,17 @@ def excess_sharpe(spark, sf_dir):
     return metrics.excess_sharpe(P.in_windows(net(spark, sf_dir)).withColumn("rf", F.lit(0.0004)), ["window"])
 
 
-@query("drawdown_episodes", sql("SELECT min(bar) AS start, arg_min(bar, {'dd': dd, 'bar': bar}) AS trough, max(bar) AS \"end\", round(min(dd), 6) AS depth FROM (SELECT *, sum((dd >= 0)::INT) OVER (ORDER BY bar) AS run FROM (SELECT bar, nav / max(nav) OVER (ORDER BY bar) - 1 AS dd FROM (SELECT bar, 1 + sum(net) OVER (ORDER BY bar) AS nav FROM net))) WHERE dd < 0 GROUP BY run HAVING min(dd) <= -0.02", *BOOK))
+BLOCK_BOOK = [MEMBERS, RK, ("book", "SELECT bar, code, block, alpha, sigma, 1 AS side, (1 / sigma) / sum(1 / sigma) OVER (PARTITION BY bar) AS w, n, k FROM rkd WHERE block = 0"), CAL, MOVED, NET]
+
+
+def block_net(spark, sf_dir):
+    """The series of a book of all of one block by inverse volatility: it has drawdowns, which the flagship hardly has."""
+    return book.run_book(book.sized(eligible(spark, sf_dir).filter("block = 0"), "inv_vol", ["bar"]), P.panel(spark, sf_dir))
+
+
+@query("drawdown_episodes", sql("SELECT min(bar) AS start, arg_min(bar, {'dd': dd, 'bar': bar}) AS trough, max(bar) AS \"end\", round(min(dd), 6) AS depth FROM (SELECT *, sum((dd >= 0)::INT) OVER (ORDER BY bar) AS run FROM (SELECT bar, nav / max(nav) OVER (ORDER BY bar) - 1 AS dd FROM (SELECT bar, 1 + sum(net) OVER (ORDER BY bar) AS nav FROM net))) WHERE dd < 0 GROUP BY run HAVING min(dd) <= -0.001", *BLOCK_BOOK))
 def drawdown_episodes(spark, sf_dir):
-    return metrics.episodes(net(spark, sf_dir))
+    return metrics.episodes(block_net(spark, sf_dir), depth=-0.001)
 
 
 @query("yearly_continuous_dd", sql("SELECT year(bar) AS year, round(min(dd), 6) + 0.0 AS dd, arg_min(bar, {'dd': dd, 'bar': bar}) AS trough, arg_min(peak_bar, {'dd': dd, 'bar': bar}) AS peak_bar FROM (SELECT bar, nav / pk - 1 AS dd, max(CASE WHEN nav >= pk THEN bar END) OVER (ORDER BY bar) AS peak_bar FROM (SELECT bar, nav, max(nav) OVER (ORDER BY bar) AS pk FROM (SELECT bar, 1 + sum(net) OVER (ORDER BY bar) AS nav FROM net))) GROUP BY 1", *BOOK))

@@ -56,13 +56,11 @@ def hysteresis_epsilon_zero(spark, sf_dir):
 def hysteresis_sweep(spark, sf_dir):
     """Books of all (q, epsilon) cells in one job, keyed by cell: turnover and net performance."""
     m = eligible(spark, sf_dir)
-    cells = spark.createDataFrame([(0.1, 0.0), (0.1, 0.3), (0.2, 0.0), (0.2, 0.3)], "q double, epsilon double").withColumn("cell", F.format_string("q%02d_e%02d", F.round(F.col("q") * 100).cast("int"), F.round(F.col("epsilon") * 100).cast("int")))
-    parts = []
-    for q in (0.1, 0.2):
-        for e in (0.0, 0.3):
-            held = hysteresis.replace_book(m, q, e).join(m, ["bar", "code"])
-            parts.append(book.sized(held, "inv_vol", ["bar"]).select(F.lit(f"q{round(q * 100):02d}_e{round(e * 100):02d}").alias("cell"), "bar", "code", "w"))
-    w = reduce(DataFrame.unionByName, parts)
+    cells = spark.createDataFrame([(q, e) for q in (0.1, 0.2) for e in (0.0, 0.3)], "q double, epsilon double")
+    cells = cells.withColumn("cell", F.format_string("q%02d_e%02d", F.round(F.col("q") * 100).cast("int"), F.round(F.col("epsilon") * 100).cast("int")))
+    # the grid of parameters is a fixed handful of rows
+    held = hysteresis.replace_book(m.crossJoin(F.broadcast(cells)), F.col("q"), F.col("epsilon"), ["cell"])
+    w = book.sized(held.join(m, ["bar", "code"]), "inv_vol", ["cell", "bar"]).select("cell", "bar", "code", "w")
     series = book.run_book(w, P.panel(spark, sf_dir), ["cell"])
     stats = metrics.window_stats(series, ["cell"])
     return stats.join(series.groupBy("cell").agg(F.avg("turnover").alias("turnover")), "cell").join(F.broadcast(cells), "cell")
@@ -420,10 +418,3 @@ def crisis_strip(spark, sf_dir):
 @query("refresh_dates", sql("SELECT year(bar) AS year, min(bar) AS refresh FROM panel GROUP BY 1"))
 def refresh_dates(spark, sf_dir):
     return P.panel(spark, sf_dir).groupBy(F.year("bar").alias("year")).agg(F.min("bar").alias("refresh"))
-
-
-@query("picks_json", sql("SELECT bar, count(*) AS n, sum(code)::BIGINT AS checksum FROM book GROUP BY bar", *BOOK[:3]))
-def picks_json(spark, sf_dir):
-    """What the picks sink would write, by bar."""
-    w = long_book(spark, sf_dir).filter("w <> 0")
-    return w.groupBy("bar").agg(F.count("*").alias("n"), F.sum("code").alias("checksum"))

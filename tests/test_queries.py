@@ -1,13 +1,15 @@
 """Every query of the panel engine runs; those with SQL give DuckDB's rows."""
 
-import pytest
+import importlib
+import sys
 
-from panelspark.queries import core, models
+import pytest
+from panelspark.queries import books, core, models
 
 from .compare import connect, duck_rows, spark_rows
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = core.Q | models.Q, core.SQL | models.SQL
+QUERIES, SQL = core.Q | models.Q | books.Q, core.SQL | models.SQL | books.SQL
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +31,26 @@ def test_runs(spark, name):
     df.write.format("noop").mode("overwrite").save()
 
 
-def test_entry_works_without_the_subpackage(spark):
+class Missing:
+    """As if panelspark.llm and the pipeline were not there."""
+
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("panelspark.llm"):
+            raise ModuleNotFoundError(name, name=name)
+
+
+def test_entry_works_without_the_subpackage(monkeypatch):
     import __spark_entry__
 
-    assert set(QUERIES) <= set(__spark_entry__.queries())
-    assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+    try:
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("panelspark.llm")]:
+                m.delitem(sys.modules, name)
+            m.delattr("panelspark.llm", raising=False)
+            m.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
+            entry = importlib.reload(__spark_entry__)
+            assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+    finally:
+        entry = importlib.reload(__spark_entry__)
+    assert set(QUERIES) <= set(entry.queries())
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
