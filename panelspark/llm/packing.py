@@ -106,22 +106,6 @@ def best_cuts(places: list[int], kinds: list[int], size: int, more: bool = False
     return out[::-1]
 
 
-def brute_force(places: list[int], kinds: list[int], size: int) -> float:
-    """Least cost by trying every transition; for tests."""
-    f = {0: 0.0}
-    for c, kind in zip(places, kinds, strict=True):
-        f[c] = min(f[i] + (0 if c - i in (size, size // 2, size // 4) else size - (c - i)) for i in f if c - i <= size) + _COST[kind] + WINDOW_COST
-    return f[places[-1]]
-
-
-def cost(path: list[int], places: list[int], kinds: list[int], size: int) -> float:
-    kind, total, at = dict(zip(places, kinds, strict=True)), 0.0, 0
-    for c in path:
-        total += (0 if c - at in (size, size // 2, size // 4) else size - (c - at)) + _COST[kind[c]] + WINDOW_COST
-        at = c
-    return total
-
-
 def tail(n: int, size: int) -> list[int]:
     """Lengths for the last n tokens of a stream: powers of two, or one padded window where that costs little."""
     out = []

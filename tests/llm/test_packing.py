@@ -6,6 +6,22 @@ from panelspark.llm import packing as P
 from panelspark.llm import tokens
 
 
+def brute_force(places: list[int], kinds: list[int], size: int) -> float:
+    """Least cost by trying every transition."""
+    f = {0: 0.0}
+    for c, kind in zip(places, kinds, strict=True):
+        f[c] = min(f[i] + (0 if c - i in (size, size // 2, size // 4) else size - (c - i)) for i in f if c - i <= size) + P._COST[kind] + P.WINDOW_COST
+    return f[places[-1]]
+
+
+def cost(path: list[int], places: list[int], kinds: list[int], size: int) -> float:
+    kind, total, at = dict(zip(places, kinds, strict=True)), 0.0, 0
+    for c in path:
+        total += (0 if c - at in (size, size // 2, size // 4) else size - (c - at)) + P._COST[kind[c]] + P.WINDOW_COST
+        at = c
+    return total
+
+
 def plain(text):
     from tokenizers import Tokenizer
 
@@ -35,7 +51,7 @@ def test_best_cuts_are_optimal():
         kinds = [rnd.randrange(3) for _ in places]
         got = P.best_cuts(places, kinds, size)
         assert got[-1] == places[-1] and all(b - a <= size for a, b in zip([0, *got], got))
-        assert P.cost(got, places, kinds, size) == P.brute_force(places, kinds, size)
+        assert cost(got, places, kinds, size) == brute_force(places, kinds, size)
 
 
 def check(rows, pieces, size=4096):
