@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,30 +93,41 @@ def half_split(ics: DataFrame, by: list[str], least_z: float = 1.5) -> DataFrame
     return g.withColumn("passes", agree)
 
 
-def correlations(df: DataFrame, least: int = 100, value: str = "value") -> DataFrame:
-    """(f1, f2, rho, n) for f1 < f2: correlation over the cells that both have.
+def correlations(df: DataFrame, least: int = 100, value: str = "value", by: list[str] | None = None) -> DataFrame:
+    """(by, f1, f2, rho, n) for f1 < f2: correlation over the cells that both have.
 
     Cells meet once: the values of a cell go into one row, whose pairs number the factors squared, not the rows.
     """
     # factor lists are short (hundreds) and the same for every cell
-    wide = df.filter(F.col(value).isNotNull()).groupBy("bar", "code").agg(F.array_sort(F.collect_list(F.struct("factor", F.col(value).alias("v")))).alias("m"))
+    by = by or []
+    wide = df.filter(F.col(value).isNotNull()).groupBy(*by, "bar", "code").agg(F.array_sort(F.collect_list(F.struct("factor", F.col(value).alias("v")))).alias("m"))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["factor"] > a["factor"]), lambda b: F.struct(a["factor"].alias("f1"), b["factor"].alias("f2"), a["v"].alias("x"), b["v"].alias("y")))))
-    return wide.select(F.explode(pairs).alias("p")).select("p.*").groupBy("f1", "f2").agg(F.coalesce(pearson("x", "y", least), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
+    return wide.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").groupBy(*by, "f1", "f2").agg(F.coalesce(pearson("x", "y", least), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
 
 
-def greedy_dedup(ranked: list[str], rho: dict[tuple[str, str], float], threshold: float) -> dict[str, str]:
-    """{factor: the kept one that stands for it}: in order, a factor is kept unless it correlates over the threshold with a kept one.
+def dedup(ranked: DataFrame, rho: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """(by, factor, stands_for, kept): by `pos`, a factor is kept unless it correlates over the threshold with a kept one, the first of which stands for it.
 
-    Works on factor names and their correlations, at most some hundreds; sequential by nature.
+    ranked(by, factor, pos), rho(by, f1, f2, rho). Sequential by nature, so a group is a task; it holds factor names and their pairs, at most some
+    hundreds squared, never rows of the panel.
     """
-    kept: list[str] = []
-    out = {}
-    for f in ranked:
-        clash = next((g for g in kept if abs(rho.get((min(f, g), max(f, g)), 0.0)) > threshold), None)
-        out[f] = clash or f
-        if clash is None:
-            kept.append(f)
-    return out
+    kinds = dict(ranked.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", factor string, stands_for string, kept boolean"
+
+    def walk(key, order: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        close = {(a, b) for a, b, r in zip(pairs["f1"], pairs["f2"], pairs["rho"]) if abs(r) > threshold}
+        kept: list[str] = []
+        out = []
+        for f in order.sort_values("pos")["factor"]:
+            clash = next((g for g in kept if (min(f, g), max(f, g)) in close), None)
+            out.append((*key, f, clash or f, clash is None))
+            if clash is None:
+                kept.append(f)
+        return pd.DataFrame(out, columns=[*by, "factor", "stands_for", "kept"])
+
+    # both may come from one table: fresh columns keep the two sides apart
+    ranked, rho = (df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).toDF(*df.columns) for df in (ranked, rho))
+    return ranked.groupBy(*by).cogroup(rho.groupBy(*by)).applyInPandas(walk, schema)
 
 
 def row_z(df: DataFrame, value: str = "value", by: list[str] | None = None) -> Column:

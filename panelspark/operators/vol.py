@@ -150,31 +150,39 @@ def high_recall(df: DataFrame, forecast: str, actual: str, q: float = 0.8, least
     return j.groupBy("code").agg(div(F.sum(F.col("f") * F.col("a")).cast("double"), F.sum("a").cast("double")).alias("recall"), div(F.sum(F.col("f") * F.col("a")).cast("double"), F.sum("f").cast("double")).alias("precision"))
 
 
-def ewma(df: DataFrame, value: str, halflife: float = 26.0, least: int = 13, by: str = "code", scale: float = 52.0, chunk: int = 256) -> Column:
-    """Annualised root of the exponentially weighted mean square up to and with the row.
+def ewma(df: DataFrame, value: str, name: str = "ewma", halflife: float = 26.0, least: int = 13, by: str = "code", scale: float = 52.0) -> DataFrame:
+    """df with `name`: annualised root of the exponentially weighted mean square up to and with the row; null before `least` values.
 
-    Ratio of running sums with weights 2**(i/halflife), i counted within the last `2048` rows so that they stay finite.
+    Ratio of running sums with weights 2**(i/halflife). i starts anew every 64 half-lives, so that weights stay finite however long a
+    series is: the stretch before comes in as its total, and what lies before that weighs less than a double can hold.
     """
-    past = F.collect_list(F.col(value) * F.col(value)).over(rows(by, "bar", -2047))
-    n = F.size(past)
-    decay = math.log(2) / halflife
-    top = F.aggregate(F.transform(past, lambda x, i: x * F.exp((i - n + 1) * F.lit(decay))), F.lit(0.0), lambda a, x: a + x)
-    low = F.aggregate(F.transform(past, lambda x, i: F.exp((i - n + 1) * F.lit(decay))), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n >= least, F.sqrt(top / low * scale))
-
-
-def newey_west(value: str, window: int = 52, lags: int = 4, least: int = 26, by: str = "code", scale: float = 52.0) -> Column:
-    """Annualised volatility with Bartlett weights on `lags` autocovariances of the last `window` values; never negative."""
-    past = F.collect_list(value).over(rows(by, "bar", -(window - 1)))
-    n = F.size(past)
-    mean = F.aggregate(past, F.lit(0.0), lambda a, x: a + x) / n
-    d = F.transform(past, lambda x: x - mean)
-
-    def cov(k: int) -> Column:
-        shifted = F.slice(d, k + 1, F.greatest(n - k, F.lit(0)))
-        return F.aggregate(F.zip_with(shifted, F.slice(d, 1, F.greatest(n - k, F.lit(0))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / n
-
-    total = cov(0)
-    for k in range(1, lags + 1):
-        total = total + 2 * (1 - k / (lags + 1)) * cov(k)
-    return F.when(n >= least, F.sqrt(F.greatest(total, F.lit(0.0)) * scale))
+    stretch = int(64 * halflife)
+    order = Window.partitionBy(by).orderBy("bar")
+    x = df.withColumn("_i", F.row_number().over(order) - 1).withColumn("_c", F.floor(F.col("_i") / stretch))
+    u = F.when(F.col(value).isNotNull(), F.exp((F.col("_i") % stretch) * F.lit(math.log(2) / halflife)))
+    x = x.withColumn("_u", u).withColumn("_v", F.col("_u") * F.col(value) * F.col(value)).withColumn("_n", F.count(value).over(rows(by, "bar", None)))
+    inside = rows([by, "_c"], "bar", None)
+    ended, before = F.col("_i") % stretch == stretch - 1, rows(by, "bar", None, -1)
+    parts = []
+    for c in ("_v", "_u"):
+        x = x.withColumn(c, F.coalesce(F.sum(c).over(inside), F.lit(0.0)))
+        parts.append(F.col(c) + F.coalesce(F.last(F.when(ended, F.col(c)), ignorenulls=True).over(before), F.lit(0.0)) * 2.0 ** (-stretch / halflife))
+    return x.withColumn(name, F.when(F.col("_n") >= least, F.sqrt(div(parts[0], parts[1]) * scale))).drop("_i", "_c", "_u", "_v", "_n")
+
+
+def newey_west(df: DataFrame, value: str, name: str = "nw", window: int = 52, lags: int = 4, least: int = 26, by: str = "code", scale: float = 52.0) -> DataFrame:
+    """df's rows with a value and `name`: annualised volatility with Bartlett weights on `lags` autocovariances of the last `window` values; never negative.
+
+    Autocovariances come from moving sums of products with the lagged value: pairs whose earlier value left the window leave the frame.
+    """
+    order = Window.partitionBy(by).orderBy("bar")
+    x = df.filter(F.col(value).isNotNull()).withColumns({f"_l{k}": F.lag(value, k).over(order) for k in range(lags + 1)})
+    w = rows(by, "bar", -(window - 1))
+    n, mean = F.count(value).over(w).cast("double"), F.avg(value).over(w)
+    total = F.lit(0.0)
+    for k in range(lags + 1):
+        inside = rows(by, "bar", -(window - 1 - k))
+        late = F.when(F.col(f"_l{k}").isNotNull(), F.col(value))
+        product = F.sum(F.col(value) * F.col(f"_l{k}")).over(inside) - mean * (F.sum(late).over(inside) + F.sum(f"_l{k}").over(inside)) + (n - k) * mean * mean
+        total = total + (1.0 if k == 0 else 2 * (1 - k / (lags + 1))) * product / n
+    return x.withColumn(name, F.when(n >= least, F.sqrt(F.greatest(total, F.lit(0.0)) * scale))).drop(*[f"_l{k}" for k in range(lags + 1)])

@@ -358,13 +358,64 @@ def correlation_distance(spark, sf_dir):
     return ic.correlations(factors(spark, sf_dir)).select("f1", "f2", corr_distance("rho").alias("distance"))
 
 
-@query("greedy_dedup")
+def walk_sql(threshold: float) -> list[tuple[str, str]]:
+    """Steps from (block, factor, z) in `strength` and (block, f1, f2, rho) in `rhos` to what stands for what."""
+    return [
+        ("ord", "SELECT block, factor, row_number() OVER (PARTITION BY block ORDER BY round(abs(coalesce(z, 0.0)), 9) DESC, factor) AS i FROM strength"),
+        ("near", f"SELECT block, list(f1 || '|' || f2) FILTER (abs(rho) > {threshold}) AS m FROM rhos GROUP BY block"),
+        ("walk", """WITH RECURSIVE w AS (SELECT DISTINCT block, 0::BIGINT AS i, []::VARCHAR[] AS kept, NULL::VARCHAR AS factor, NULL::VARCHAR AS stands_for FROM ord UNION ALL
+           SELECT block, i, CASE WHEN clash IS NULL THEN list_append(kept, factor) ELSE kept END, factor, coalesce(clash, factor)
+           FROM (SELECT w.block, w.kept, o.i, o.factor, list_filter(w.kept, lambda g: list_contains(coalesce(m, []::VARCHAR[]), least(g, o.factor) || '|' || greatest(g, o.factor)))[1] AS clash
+           FROM w JOIN ord o ON o.block = w.block AND o.i = w.i + 1 LEFT JOIN near n ON n.block = w.block)) SELECT block, factor, stands_for, factor = stands_for AS kept FROM w WHERE factor IS NOT NULL"""),
+    ]
+
+
+_RHO = pearson("a.value", "b.value", 100)
+GREEDY = [*IC, SUMMARY, ("strength", "SELECT 0 AS block, factor, z FROM summ"), ("rhos", f"SELECT 0 AS block, a.factor AS f1, b.factor AS f2, coalesce({_RHO}, 0.0) AS rho FROM factors a JOIN factors b ON a.bar = b.bar AND a.code = b.code AND a.factor < b.factor WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 2, 3")]
+
+
+def by_strength(summary: DataFrame, by: list[str]) -> DataFrame:
+    """(by, factor, pos): from the strongest z down."""
+    strong = F.round(F.abs(F.coalesce("z", F.lit(0.0))), 9)
+    return summary.select(*by, "factor", F.row_number().over(Window.partitionBy(*by).orderBy(strong.desc(), "factor")).alias("pos"))
+
+
+def deduped(spark, sf_dir, threshold):
+    s = ic.ic_summary(ics(spark, sf_dir), ["factor"]).withColumn("one", F.lit(0))
+    return ic.dedup(by_strength(s, ["one"]), ic.correlations(factors(spark, sf_dir)).withColumn("one", F.lit(0)), threshold, ["one"]).drop("one")
+
+
+@query("greedy_dedup", sql("SELECT factor, stands_for, kept FROM walk", *GREEDY, *walk_sql(0.5), base="factors"))
 def greedy_dedup(spark, sf_dir):
-    s = ic.ic_summary(ics(spark, sf_dir), ["factor"]).select("factor", "z").collect()
-    order = [x.factor for x in sorted(s, key=lambda x: (-abs(x.z or 0.0), x.factor))]
-    rho = {(x.f1, x.f2): x.rho for x in ic.correlations(factors(spark, sf_dir)).collect()}
-    kept = ic.greedy_dedup(order, rho, 0.5)
-    return spark.createDataFrame([(f, g, f == g) for f, g in kept.items()], "factor string, stands_for string, kept boolean")
+    return deduped(spark, sf_dir, 0.5)
+
+
+@query("bond_style_dedup", sql("SELECT stands_for AS factor, count(*) - 1 AS n_dropped, max(CASE WHEN NOT kept THEN factor END) AS last_dropped FROM walk GROUP BY stands_for", *GREEDY, *walk_sql(0.3), base="factors"))
+def bond_style_dedup(spark, sf_dir):
+    """Each kept factor drops all weaker ones that go with it: how many."""
+    d = deduped(spark, sf_dir, 0.3)
+    return d.groupBy(F.col("stands_for").alias("factor")).agg((F.count("*") - 1).alias("n_dropped"), F.max(F.when(~F.col("kept"), F.col("factor"))).alias("last_dropped"))
+
+
+_LEAST = "(SELECT least(100, greatest(30, floor(0.4 * count(DISTINCT bar)))) FROM isf)"
+BLOCK_DEDUP = [
+    ("isf", "SELECT * FROM factors WHERE bar <= DATE '1998-12-31'"),
+    ("bbth", "SELECT * FROM isf WHERE value IS NOT NULL AND fwd IS NOT NULL"),
+    ("brk", f"SELECT *, {ranks('value', 'factor, block, bar')} AS a, {ranks('fwd', 'factor, block, bar')} AS b FROM bbth"),
+    ("strength", f"SELECT block, factor, avg(CASE WHEN n > 1 THEN ic * sqrt(n - 1.0) END) * sqrt(count(CASE WHEN n > 1 THEN ic END)) AS z FROM (SELECT factor, block, bar, {pearson('a', 'b', 5)} AS ic, count(*) AS n FROM brk GROUP BY factor, block, bar) GROUP BY block, factor"),
+    ("rhos", f"SELECT block, f1, f2, CASE WHEN n >= {_LEAST} THEN coalesce(rho, 0.0) ELSE 0.0 END AS rho FROM (SELECT a.block, a.factor AS f1, b.factor AS f2, {pearson('a.value', 'b.value')} AS rho, count(*) AS n FROM isf a JOIN isf b ON a.bar = b.bar AND a.code = b.code AND a.factor < b.factor WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3)"),
+    *walk_sql(0.5),
+]
+
+
+@query("block_dedup", sql("SELECT block, factor, stands_for, kept FROM walk", *BLOCK_DEDUP, base="factors"))
+def block_dedup(spark, sf_dir):
+    """Each block's factors in sample, ranked by their IC within the block; a pair needs cells: 0.4 of the bars, from 30 to 100."""
+    f = factors(spark, sf_dir).filter(F.col("bar") <= P.IS_END)
+    least = f.agg(F.least(F.lit(100), F.greatest(F.lit(30), F.floor(0.4 * F.count_distinct("bar")))).alias("least"))
+    rho = ic.correlations(f, 2, by=["block"]).crossJoin(F.broadcast(least)).withColumn("rho", F.when(F.col("n") >= F.col("least"), F.col("rho")).otherwise(0.0))
+    s = ic.ic_summary(ic.rank_ic(f, by=["factor", "block", "bar"]), ["block", "factor"])
+    return ic.dedup(by_strength(s, ["block"]), rho, 0.5, ["block"])
 
 
 ENSEMBLE = [

@@ -253,21 +253,44 @@ def grouping_sets_median(spark, sf_dir):
     return j.groupingSets([["block"], []], "block").agg(F.count("*").alias("n"), F.percentile("rv", F.lit(0.5)).alias("median"))
 
 
-@query("mz_recalibration")
+MZ = [
+    ("mzs", "SELECT *, row_number() OVER (PARTITION BY code ORDER BY bar) - 1 AS i FROM (SELECT bar, code, rv, lag(rv) OVER (PARTITION BY code ORDER BY bar) AS f FROM rv) WHERE f IS NOT NULL AND rv IS NOT NULL"),
+    ("mzw", "SELECT *, count(*) OVER b AS n, sum(f) OVER b AS sx, sum(rv) OVER b AS sy, sum(f * f) OVER b AS sxx, sum(f * rv) OVER b AS sxy FROM mzs WINDOW b AS (PARTITION BY code ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
+    ("mzb", "SELECT *, CASE WHEN i >= 52 AND (i - 52) % 4 = 0 AND n * sxx - sx * sx > 1e-12 * n * sxx THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS b FROM mzw"),
+    ("mzl", "SELECT bar, code, f, last_value(b IGNORE NULLS) OVER w AS b, last_value(sy / n - b * sx / n IGNORE NULLS) OVER w AS a FROM mzb WINDOW w AS (PARTITION BY code ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+]
+
+
+@query("mz_recalibration", sql("SELECT bar, code, round(a + b * f, 6) AS recal FROM mzl WHERE a + b * f IS NOT NULL", RV, *MZ))
 def mz_recalibration(spark, sf_dir):
     f = rv_panel(spark, sf_dir).withColumn("f", F.lag("rv").over(Window.partitionBy("code").orderBy("bar")))
     return vol.recalibrated(f, "f", "rv").filter("recal is not null").select("bar", "code", "recal")
 
 
-@query("ewma_vol", sql("SELECT a.bar, a.code, round(CASE WHEN count(*) >= 13 THEN sqrt(sum(b.lr * b.lr * exp((b.i - a.i) * ln(2.0) / 26.0)) / sum(exp((b.i - a.i) * ln(2.0) / 26.0)) * 52.0) END, 6) AS ewma FROM obsr a JOIN obsr b ON a.code = b.code AND b.i <= a.i GROUP BY a.bar, a.code", ("obsr", "SELECT bar, code, lr, row_number() OVER (PARTITION BY code ORDER BY bar) AS i FROM panel WHERE lr IS NOT NULL AND bar <= DATE '1997-12-31'")))
+EWMA_W = "exp({i} * ln(2.0) / 26.0)"
+
+
+def ewma_sql(x: str, i: str) -> str:
+    """Over a window w of all rows so far."""
+    u = EWMA_W.format(i=i)
+    return f"CASE WHEN count({x}) OVER w >= 13 THEN sqrt(sum({x} * {x} * {u}) OVER w / sum({u}) OVER w * 52.0) END"
+
+
+@query("ewma_vol", sql(f"SELECT bar, code, round({ewma_sql('lr', 'i')}, 6) AS ewma FROM obsr WINDOW w AS (PARTITION BY code ORDER BY bar ROWS UNBOUNDED PRECEDING)", ("obsr", "SELECT bar, code, lr, row_number() OVER (PARTITION BY code ORDER BY bar) AS i FROM panel WHERE lr IS NOT NULL")))
 def ewma_vol(spark, sf_dir):
-    p = P.panel(spark, sf_dir).filter("lr is not null and bar <= '1997-12-31'")
-    return p.select("bar", "code", vol.ewma(p, "lr").alias("ewma"))
+    return vol.ewma(P.panel(spark, sf_dir).filter("lr is not null"), "lr").select("bar", "code", "ewma")
+
 
+NW = [
+    ("nwp", "SELECT bar, code, p, len(p) AS n, list_avg(p) AS m FROM (SELECT bar, code, list(lr) OVER (PARTITION BY code ORDER BY bar ROWS 51 PRECEDING) AS p FROM panel WHERE lr IS NOT NULL)"),
+    ("nwd", "SELECT bar, code, n, list_transform(p, lambda x: x - m) AS d FROM nwp"),
+    ("nwc", "SELECT bar, code, n, " + ", ".join(f"coalesce(list_sum(list_transform(generate_series(1, n - {k}), lambda i: d[i] * d[i + {k}])), 0.0) / n AS c{k}" for k in range(5)) + " FROM nwd"),
+]
 
-@query("newey_west_vol")
+
+@query("newey_west_vol", sql("SELECT bar, code, round(CASE WHEN n >= 26 THEN sqrt(greatest(c0 + 1.6 * c1 + 1.2 * c2 + 0.8 * c3 + 0.4 * c4, 0.0) * 52.0) END, 6) + 0.0 AS nw FROM nwc", *NW))
 def newey_west_vol(spark, sf_dir):
-    return P.panel(spark, sf_dir).filter("lr is not null").select("bar", "code", vol.newey_west("lr").alias("nw"))
+    return vol.newey_west(P.panel(spark, sf_dir), "lr").select("bar", "code", "nw")
 
 
 @query("rolling_beta")
@@ -340,22 +363,84 @@ def funding_accrual(spark, sf_dir):
 
 
 def levered(spark, sf_dir, cap=2.0):
-    b = net(spark, sf_dir).withColumn("one", F.lit(0))
-    b = b.withColumn("sig", vol.ewma(b, "gross", by="one")).withColumn("sigma_prior", F.lag("sig").over(Window.partitionBy("one").orderBy("bar")))
-    b = b.join(funding(spark, sf_dir), "bar").select("bar", "gross", (1 - F.least(F.lit(1.0), F.col("n_held").cast("double"))).alias("cash"), "sigma_prior", F.col("accrual").alias("funding"), (F.col("accrual") * 0.5).alias("cash_rate"), (F.col("turnover") * 0.001).alias("cost"))
-    return leverage.vol_target(b, target=0.3, cap=cap)
+    caps = spark.createDataFrame([(c,) for c in (cap if isinstance(cap, tuple) else (cap,))], "cap double")
+    b = vol.ewma(net(spark, sf_dir).withColumn("one", F.lit(0)), "gross", "sig", by="one").withColumn("sigma_prior", F.lag("sig").over(Window.partitionBy("one").orderBy("bar")))
+    rate = F.round("accrual", 12)  # equal rates stay equal however they were summed
+    b = b.join(funding(spark, sf_dir), "bar").select("bar", "gross", (1 - F.least(F.lit(1.0), F.col("n_held").cast("double"))).alias("cash"), "sigma_prior", rate.alias("funding"), (rate * 0.5).alias("cash_rate"), (F.col("turnover") * 0.001).alias("cost"))
+    # a fixed handful of caps
+    return leverage.vol_target(b.crossJoin(F.broadcast(caps)), target=0.3, cap=F.col("cap"))
+
+
+def level_sql(sigma: str, cap: str) -> str:
+    return f"CASE WHEN gross <> 0 AND {sigma} > 0 THEN greatest(1.0, least({cap}, 0.3::DOUBLE / {sigma})) ELSE 1.0 END"
+
 
+LEVER = [
+    *BOOK,
+    CURVE,
+    FUND,
+    ("ew", f"SELECT bar, {ewma_sql('gross', 'seq')} AS sig FROM net JOIN calx USING (bar) WINDOW w AS (ORDER BY bar ROWS UNBOUNDED PRECEDING)"),
+    ("prior", "SELECT bar, lag(sig) OVER (ORDER BY bar) AS sp FROM ew"),
+    ("lv", f"SELECT bar, gross, cap, sp, round(accrual, 12) AS funding, round(accrual, 12) * 0.5 AS cash_rate, turnover * 0.001 AS cost, (1 - least(1.0, n_held)) * round(accrual, 12) * 0.5 AS carry, {level_sql('sp', 'cap')} AS l FROM net JOIN prior USING (bar) JOIN fund USING (bar) CROSS JOIN (VALUES (1.0::DOUBLE), (2.0), (5.0)) c(cap)"),
+    ("lev", "SELECT *, (l - 1) * funding AS funding_cost, l * gross + carry - (l - 1) * funding - cost AS net FROM lv"),
+]
 
-@query("leverage_vol_target")
+
+@query("leverage_vol_target", sql("SELECT bar, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("l", "net", "funding_cost", "carry", "cost")) + " FROM lev WHERE cap = 2", *LEVER))
 def leverage_vol_target(spark, sf_dir):
     return levered(spark, sf_dir).select("bar", "l", "net", "funding_cost", "carry", "cost")
 
 
-@query("leverage_matrix")
+_LEV_STATS = {
+    "ann_ret": "avg(net) * 52",
+    "ann_vol": "stddev_samp(net) * sqrt(52.0)",
+    "sharpe": "avg(net) / nullif(stddev_samp(net), 0) * sqrt(52.0)",
+    "excess_sharpe": "avg(net - cash_rate) / nullif(stddev_samp(net), 0) * sqrt(52.0)",
+    "mean_l": "avg(l)",
+    "p95_l": "quantile_cont(l, 0.95)",
+    "at_cap": "avg((l >= cap)::INT)",
+    "at_floor": "avg((l <= 1)::INT)",
+    "funding_bp": "avg(funding_cost) * 520000.0",
+    "carry_bp": "avg(carry) * 520000.0",
+    "cost_bp": "avg(cost) * 520000.0",
+    "net_when_dear": "avg(net) FILTER (funding >= p90)",
+    "sigma_ratio": "avg(sp) / nullif(stddev_samp(net) * sqrt(52.0), 0)",
+}
+
+
+@query("leverage_matrix", sql('SELECT win AS "window", cap, count(*) AS n_bars, ' + ", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in _LEV_STATS.items()) + " FROM (SELECT *, quantile_cont(funding, 0.9) OVER (PARTITION BY win, cap) AS p90 FROM lev JOIN windows ON bar BETWEEN lo AND hi) GROUP BY win, cap", *LEVER))
 def leverage_matrix(spark, sf_dir):
-    """Summaries of all caps and windows."""
-    parts = [leverage.summary(P.in_windows(levered(spark, sf_dir, cap)), ["window"], cap).withColumn("cap", F.lit(cap)) for cap in (1.0, 2.0, 5.0)]
-    return reduce(DataFrame.unionByName, parts)
+    """Summaries of all caps and windows, keyed by cap in one plan."""
+    return leverage.summary(P.in_windows(levered(spark, sf_dir, (1.0, 2.0, 5.0))), ["window", "cap"], F.col("cap"))
+
+
+BOND = [
+    *BOOK,
+    CURVE,
+    FUND,
+    ("leg", "SELECT b.bar, sum(CASE WHEN p.block = 0 THEN w * coalesce(p.fwd, 0.0) ELSE 0.0 END) AS bond_gross, sum(CASE WHEN p.block = 0 THEN w ELSE 0.0 END) AS bond_share FROM book b JOIN panel p ON b.bar = p.bar AND b.code = p.code GROUP BY b.bar"),
+    ("legs", "SELECT n.bar, n.gross, n.n_held, c.seq, coalesce(bond_gross, 0.0) AS bond_gross, coalesce(bond_share, 0.0) AS bond_share FROM net n JOIN calx c ON n.bar = c.bar LEFT JOIN leg ON n.bar = leg.bar"),
+    ("ew", f"SELECT bar, {ewma_sql('bond_gross', 'seq')} AS sig FROM legs WINDOW w AS (ORDER BY bar ROWS UNBOUNDED PRECEDING)"),
+    ("prior", "SELECT bar, lag(sig) OVER (ORDER BY bar) AS sp FROM ew"),
+    ("lv", f"SELECT bar, gross, bond_gross, bond_share, round(accrual, 12) AS funding, (1 - least(1.0, n_held)) * round(accrual, 12) * 0.5 AS carry, {level_sql('sp', '2.0')} AS l FROM legs JOIN prior USING (bar) JOIN fund USING (bar)"),
+    ("wl", "SELECT b.bar, b.code, i.block, b.w * CASE WHEN i.block = 0 THEN l ELSE 1.0 END AS w FROM book b JOIN lv USING (bar) JOIN instruments i ON b.code = i.code"),
+    ("turns", "SELECT bar, sum(abs(w - prev) * CASE WHEN block = 0 THEN 2.0 ELSE 10.0 END) / 10000 AS cost FROM (SELECT bar, code, block, sum(w) AS w, sum(prev) AS prev FROM (SELECT bar, code, block, w, 0.0 AS prev FROM wl UNION ALL SELECT c.bar, code, block, 0.0, w FROM wl JOIN calx c ON wl.bar = c.prior) GROUP BY ALL) GROUP BY bar"),
+    ("bl", "SELECT bar, l, gross + (l - 1) * bond_gross + carry - (l - 1) * bond_share * funding - coalesce(cost, 0.0) AS net, (l - 1) * bond_share * funding AS funding_cost, coalesce(cost, 0.0) AS cost FROM lv LEFT JOIN turns USING (bar)"),
+]
+
+
+@query("bond_leg_vol_target", sql("SELECT bar, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("l", "net", "funding_cost", "cost")) + " FROM bl", *BOND))
+def bond_leg_vol_target(spark, sf_dir):
+    """Only the bonds (block 0) of the book are levered, to a volatility of their own."""
+    p = P.panel(spark, sf_dir)
+    w = long_book(spark, sf_dir).join(p.select("bar", "code", "block", "fwd"), ["bar", "code"]).withColumn("is_bond", F.col("block") == 0)
+    part = F.when(F.col("is_bond"), F.col("w")).otherwise(0.0)
+    leg = w.groupBy("bar").agg(F.sum(part * F.coalesce("fwd", F.lit(0.0))).alias("bond_gross"), F.sum(part).alias("bond_share"))
+    b = net(spark, sf_dir).join(leg, "bar", "left").fillna(0.0, ["bond_gross", "bond_share"]).withColumn("one", F.lit(0))
+    b = vol.ewma(b, "bond_gross", "sig", by="one").withColumn("sigma_prior", F.lag("sig").over(Window.partitionBy("one").orderBy("bar")))
+    rate = F.round("accrual", 12)
+    b = b.join(funding(spark, sf_dir), "bar").select("bar", "gross", "bond_gross", "bond_share", (1 - F.least(F.lit(1.0), F.col("n_held").cast("double"))).alias("cash"), "sigma_prior", rate.alias("funding"), (rate * 0.5).alias("cash_rate"))
+    return leverage.bond_leg(b, w.select("bar", "code", "w", "is_bond"), book.calendar(p), target=0.3).select("bar", "l", "net", "funding_cost", "cost")
 
 
 @query("split_cost", sql("SELECT bar, round(sum(CASE WHEN block = 0 THEN d ELSE 0.0 END), 6) + 0.0 AS turn_bond, round(sum(CASE WHEN block = 0 THEN 0.0 ELSE d END), 6) + 0.0 AS turn_other, round((sum(CASE WHEN block = 0 THEN d ELSE 0.0 END) * 2.0 + sum(CASE WHEN block = 0 THEN 0.0 ELSE d END) * 10.0) / 10000, 8) + 0.0 AS cost FROM (SELECT bar, block, abs(w - prev) AS d FROM moved JOIN instruments USING (code)) GROUP BY bar", *BOOK[:5]), exact=("cost",))
