@@ -5,16 +5,23 @@ consecutive words) that share one anchor, the least hash among the 12-word grams
 inside the window. Equal texts are cut alike wherever they stand, so a block is
 the unit of the reference: `reference_blocks` indexes every distinct block of the
 corpus by (anchor, content hash) with the smallest document that holds it. A
-document is factored against that whole index at once:
-
-* a block whose content an earlier document has is copied whole (a factor), and
-  factors that touch or overlap merge into longer ones;
-* at factor boundaries, and wherever an anchor has more than one content, blocks
-  agree only in part. Their windows are compared word by word (`boundary_windows`),
-  so that no window that straddles two factors is lost.
-
-A factor is at least one window long by construction; shorter matches are literals.
-Nothing is compared pairwise: hot passages meet in map-side combined minima.
+document is parsed against that whole index:
+
+* a block whose content an earlier document has is a match of all its windows with
+  the place where the index has it;
+* wherever an anchor has more than one content, blocks agree only in part. Their
+  windows are matched one by one (`boundary_windows`), by 128 bits of hash, with the
+  first place that has them;
+* `parse` goes through a document from left to right. At each window it takes the
+  match that reaches farthest along one diagonal, across blocks and single windows,
+  as a factor (start, end, ref_doc, ref_start); the parse goes on with the windows
+  that straddle the factor's end, so that none is lost where two factors meet.
+
+The reference has each distinct block at one place (its first document), so a factor
+is the longest match with that reference. Of a window that several blocks of the
+smallest document share, one place is taken. A factor is at least one window long by
+construction; shorter matches are literals. Nothing is compared pairwise: hot
+passages meet in map-side combined minima.
 
 Edge cases: texts that are null or have fewer words than a window give no spans;
 null ids are the last in order, so such rows are never a reference for others that
@@ -29,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,23 +153,54 @@ def boundary_windows(docs: DataFrame, asked: DataFrame, window: int = WINDOW) ->
     return joined.select("doc_id", "row_key", "text", "asked").mapInArrow(run, "doc_id long, row_key long, at int, w1 long, w2 long")
 
 
-def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Duplicate stretches (doc_id, row_key, start, end, ref_doc) in words, end exclusive; stretches of one document may overlap.
+def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Matches (doc_id, row_key, start, windows, ref_doc, ref_at): windows from `start` on that the earlier ref_doc has from `ref_at` on.
 
     docs needs doc_id, text and row_key; ids must not be null here (see `keyed`).
     """
     blocks = C.cut(reference_blocks(docs.select("doc_id", "row_key", "text"), window, gram), "blocks")
-    index = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref_doc"), F.count("*").alias("copies"))
+    index = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref_doc"), F.min_by("first", "doc_id").alias("ref_at"), F.count("*").alias("copies"))
     index = C.cut(index, "index")
-    several = index.groupBy("anchor").agg(F.count("*").alias("contents")).filter("contents > 1").select("anchor")
-    known = blocks.join(index.filter("copies > 1").drop("copies"), ["anchor", "content"])
-    copied = known.filter("doc_id > ref_doc")
-    whole = copied.select("doc_id", "row_key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + F.lit(window - 1)).alias("end"), "ref_doc")
-    firsts = blocks.join(index.join(several, "anchor", "left_semi").drop("copies"), ["anchor", "content"]).filter("doc_id = ref_doc")
+    several = index.groupBy("anchor").agg(F.count("*").alias("contents")).filter("contents > 1").select("anchor", F.lit(True).alias("open"))
+    known = index.join(several, "anchor", "left").filter("copies > 1 or open").drop("copies")
+    met = blocks.join(known, ["anchor", "content"]).filter("doc_id > ref_doc or open").select("doc_id", "row_key", "first", "windows", "ref_doc", "ref_at")
+    met = C.cut(met, "met")
+    whole = met.filter("doc_id > ref_doc").withColumnRenamed("first", "start")
+    firsts = met.filter("doc_id = ref_doc")
     windows = C.cut(boundary_windows(docs.select("doc_id", "row_key", "text"), firsts, window), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("last > ref_doc").drop("last")
-    partly = windows.join(least, ["w1", "w2"]).filter("doc_id > ref_doc").select("doc_id", "row_key", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end"), "ref_doc")
-    return whole.union(partly)
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref_doc"), F.min_by("at", "doc_id").alias("ref_at"), F.max("doc_id").alias("last")).filter("last > ref_doc").drop("last")
+    partly = windows.join(least, ["w1", "w2"]).filter("doc_id > ref_doc").select("doc_id", "row_key", F.col("at").alias("start"), F.lit(1).alias("windows"), "ref_doc", "ref_at")
+    return whole.unionByName(partly)
+
+
+def parse(start: np.ndarray, windows: np.ndarray, ref_doc: np.ndarray, ref_at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, ref_doc, ref_start) of a document, in words, from its matches in any order; factors don't overlap.
+
+    Matches that touch on one diagonal of one reference document are a run. From each window on, the run that
+    reaches farthest is taken, ties to the smaller document and place.
+    """
+    start, shift = start.astype(np.int64), ref_at.astype(np.int64) - start
+    order = np.lexsort((start, shift, ref_doc))
+    low, high, doc, shift = start[order], (start + windows)[order], ref_doc[order], shift[order]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (shift[1:] != shift[:-1]) | (low[1:] > high[:-1])
+    at = np.flatnonzero(fresh)
+    runs = sorted(zip(low[at].tolist(), np.maximum.reduceat(high, at).tolist(), doc[at].tolist(), shift[at].tolist(), strict=True), key=lambda r: (r[0], r[2:])) if len(at) else []
+    out: list[tuple[int, int, int, int]] = []
+    next_run, p, done, best = 0, 0, 0, None
+    while True:
+        while next_run < len(runs) and runs[next_run][0] <= p:
+            if best is None or runs[next_run][1] > best[1]:
+                best = runs[next_run]
+            next_run += 1
+        if best is not None and best[1] > p:
+            begin, done = max(p, done), best[1] + window - 1
+            out.append((begin, done, best[2], begin + best[3]))
+            p = best[1]
+        elif next_run < len(runs):
+            p = runs[next_run][0]
+        else:
+            return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -169,39 +208,40 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Each document (doc_id, text) with the words that earlier documents have removed.
+    """Each document (doc_id, text) parsed, with the words of its factors removed.
 
-    Returns doc_id, n_words, n_removed, spans (merged factors, in words), kept_sha256, kept (the
-    words that stay, joined by one space; null text: empty).
+    Returns doc_id, n_words, n_removed, factors (start, end, ref_doc, ref_start: words from `start` to `end` are those
+    of the text of ref_doc from `ref_start` on), kept_sha256, kept (the words that stay, joined by one space; null text: empty).
     """
     rows = keyed(docs)
-    spans = factors(rows, window, gram).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    joined = rows.join(spans, ["doc_id", "row_key"], "left").select("doc_id", "text", "found")
+    found = matches(rows, window, gram).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "windows", "ref_doc", "ref_at")).alias("found"))
+    joined = rows.join(found, ["doc_id", "row_key"], "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
+            lists = b.column(b.schema.get_field_index("found"))
+            n = [x or 0 for x in pc.list_value_length(lists).to_pylist()]
+            ends = np.cumsum(n)
+            fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
             out: list[tuple] = []
-            for doc, text, found in zip(C.column(b, "doc_id"), C.texts(b), C.column(b, "found"), strict=True):
+            for doc, text, count, end in zip(C.column(b, "doc_id"), C.texts(b), n, ends, strict=True):
                 words = (text or b"").split()
-                merged: list[list[int]] = []
-                for start, end in sorted((x["start"], x["end"]) for x in found or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(end, merged[-1][1])
-                    else:
-                        merged.append([start, end])
+                parsed = parse(*(x[end - count : end] for x in fields), window) if count else []
                 kept, at = [], 0
-                for start, end in merged:
-                    kept += words[at:start]
-                    at = end
+                for f in parsed:
+                    kept += words[at : f[0]]
+                    at = f[1]
                 kept += words[at:]
                 left = b" ".join(kept)
-                out.append((None if doc == NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in merged], left.decode()))
+                factors = [dict(zip(("start", "end", "ref_doc", "ref_start"), f, strict=True)) for f in parsed]
+                out.append((None if doc == NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), factors, left.decode()))
             yield pa.RecordBatch.from_pylist([dict(zip(RESULT.names, x, strict=True)) for x in out], schema=RESULT)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,end:int,ref_doc:long,ref_start:int>>, kept string")
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
+_FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(_FACTOR)), ("kept", pa.string())])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

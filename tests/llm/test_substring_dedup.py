@@ -71,3 +71,47 @@ def test_empty_and_null_ids(spark):
     t = " ".join(map(str, range(60)))
     got = S.dedup(spark.createDataFrame([(None, t), (3, t), (None, t)], "doc_id long, text string")).select("doc_id", "n_removed").collect()
     assert sorted(map(tuple, got), key=str) == [(3, 0), (None, 60), (None, 60)]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_factors_give_the_documents_back(spark):
+    rnd = random.Random(11)
+    base = [[str(rnd.randrange(5000)) for _ in range(rnd.randrange(60, 400))] for _ in range(6)]
+    texts = {}
+    for d in range(40):
+        w = []
+        for _ in range(3):
+            part = rnd.choice(base)
+            a = rnd.randrange(len(part) - 30)
+            w += part[a : a + rnd.randrange(30, 300)] + ["own%d" % rnd.randrange(9)] * rnd.randrange(3)
+        texts[d] = w
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    seen = 0
+    for r in S.dedup(df).collect():
+        kept, out = iter(words_of(r.kept)), []
+        for f in r.factors:
+            assert f.ref_doc < r.doc_id and f.start >= len(out)
+            out += [next(kept) for _ in range(f.start - len(out))]
+            out += texts[f.ref_doc][f.ref_start : f.ref_start + f.end - f.start]
+            seen += 1
+        assert out + list(kept) == texts[r.doc_id]
+    assert seen > 40
+
+
+def test_factors_are_the_longest(spark):
+    rnd = random.Random(3)
+    w = [str(rnd.randrange(10**6)) for _ in range(500)]
+    rows = [(1, w), (2, ["x"] * 13 + w[20:200] + ["y"]), (3, w[77:300] + ["q"] + w[300:420]), (4, w[400:449]), (5, w[400:500] + w[0:100])]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in S.dedup(df).collect()}
+    assert got == {1: [], 2: [(13, 193, 1, 20)], 3: [(0, 223, 1, 77), (224, 344, 1, 300)], 4: [], 5: [(0, 100, 1, 400), (100, 200, 1, 0)]}
+
+
+def test_parse_takes_the_farthest_and_goes_on_at_the_boundary():
+    np = pytest.importorskip("numpy")
+    a = [np.array(x) for x in ([0, 5, 3, 30], [5, 5, 20, 1], [1, 1, 2, 1], [100, 105, 0, 7])]
+    assert S.parse(*a, 10) == [(0, 19, 1, 100), (19, 32, 2, 16), (32, 40, 1, 9)]
+    assert S.parse(*(x[:0] for x in a), 10) == []
