@@ -62,19 +62,19 @@ def seasoned(df: DataFrame, catalogue: DataFrame, weeks: int = 26, at: str = "ba
     return df.join(c, "code").filter((F.col(at) >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col(at) < F.col("_hi")))).drop("_lo", "_hi")
 
 
-def representatives(df: DataFrame, beat: float = 1.25, order: str = "bar") -> DataFrame:
+def representatives(df: DataFrame, beat: float = 1.25, order: str = "bar", step: int = 7) -> DataFrame:
     """(bar, idx, code): one name for each index and bar. df(bar, idx, code, adv) of eligible names.
 
     The incumbent stays until a challenger has `beat` times its volume or it is no longer eligible; then the largest
-    takes over, ties to the lower code; a bar without eligible names resets. The state is one code for each index, so only names
-    that could matter travel: the bar's largest, and every name's volume for the incumbent's look-up.
+    takes over, ties to the lower code; a bar without eligible names, seen by a gap of more than `step` (days between dates,
+    or a difference of numbers), resets. One group is all eligible rows of one index.
     """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, held, last = [], None, None
         for bar, g in pdf.sort_values([order, "code"], kind="stable").groupby(order, sort=True):
-            if last is not None and (bar - last).days > 7:
+            if last is not None and getattr(bar - last, "days", bar - last) > step:
                 held = None
             last = bar
             volume = dict(zip(g["code"], g["adv"].fillna(0.0), strict=True))

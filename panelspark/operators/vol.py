@@ -96,6 +96,56 @@ def walk_forward(panel: DataFrame, xs: list[str], y: str, first: int = 52, every
     return joined.withColumn("pred", forecast).drop("beta", "_level", "_y", *[f"_{x}" for x in xs])
 
 
+def pooled_forecast(panel: DataFrame, xs: list[str], y: str, group: str = "block", by: str = "code", first: int = 52, every: int = 4, balanced: bool = True, spare: int = 10) -> DataFrame:
+    """panel's complete rows with `pred`: least squares of y on xs with a fixed effect of each `by`, pooled in each `group`, refitted as time goes on.
+
+    A group's first fit is at its first date from number `first` on that has more than one row for each coefficient before it (`spare` more), then one
+    every `every` dates, each on all earlier dates. `balanced` gives each `by` the same total weight. The effects are swept out: each
+    `by`'s running sums of products, taken at the fits, are centred and added up, so that a fit solves for as many numbers
+    as there are xs, and the effect is the mean that is left over. A `by` without earlier rows has the effect zero.
+    The sums are a row for each `by` and fit, about the panel's rows over `every`.
+    """
+    some = panel.dropna(subset=[*xs, y])
+    dates = some.groupBy(group, "bar").agg(F.count("*").alias("_n")).join(some.groupBy(group).agg(F.countDistinct(by).alias("_m")), group)
+    dates = dates.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy("bar")) - 1).withColumn("_past", F.coalesce(F.sum("_n").over(rows(group, "bar", None, -1)), F.lit(0)))
+    start = F.min(F.when((F.col("_i") >= first) & (F.col("_past") >= F.col("_m") + len(xs) + spare), F.col("_i"))).over(Window.partitionBy(group))
+    dates = dates.withColumn("_s", start)
+    refit = F.when((F.col("_i") >= F.col("_s")) & ((F.col("_i") - F.col("_s")) % every == 0), F.col("bar"))
+    later = Window.partitionBy(group).orderBy(F.col("bar").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    dates = dates.withColumn("_refit", refit).withColumn("_fit", F.last("_refit", ignorenulls=True).over(rows(group, "bar", None, 0))).withColumn("_enters", F.last("_refit", ignorenulls=True).over(later))
+    placed = some.join(dates.select(group, "bar", "_fit", "_enters"), [group, "bar"])
+
+    names = [*xs, y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    parts = {"_c": F.count("*").cast("double")} | {f"_s{i}": F.sum(v) for i, v in enumerate(names)} | {f"_p{i}_{j}": F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs}
+    step = placed.filter("_enters is not null").groupBy(group, by, F.col("_enters").alias("_at")).agg(*[v.alias(k) for k, v in parts.items()])
+    fits = dates.filter("_refit is not null").select(group, F.col("_refit").alias("_at"))
+    every_fit = step.groupBy(group, by).agg(F.min("_at").alias("_lo")).join(fits, group).filter("_at >= _lo").drop("_lo")
+    upto = rows([group, by], "_at", None, 0)
+    sums = every_fit.join(step, [group, by, "_at"], "left").select(group, by, "_at", *[F.sum(k).over(upto).alias(k) for k in parts])
+
+    weight = 1 / F.col("_c") if balanced else F.lit(1.0)
+    centred = [F.sum(weight * (F.col(f"_p{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_c"))) for i, j in pairs]
+
+    @F.pandas_udf("array<double>")
+    def solved(m: pd.Series) -> pd.Series:
+        def one(v):
+            a = unpacked(v, len(names))
+            return np.linalg.lstsq(a[:-1, :-1], a[:-1, -1], rcond=None)[0].tolist()
+
+        return m.map(one)
+
+    betas = sums.groupBy(group, "_at").agg(F.array(*centred).alias("_m")).select(group, F.col("_at").alias("_fit"), solved("_m").alias("_beta"))
+    means = sums.select(group, by, F.col("_at").alias("_fit"), *[(F.col(f"_s{i}") / F.col("_c")).alias(f"_m{i}") for i in range(len(names))])
+
+    def dot(columns: list[str]) -> Column:
+        return sum((F.get("_beta", F.lit(i)) * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))
+
+    effect = F.coalesce(F.col(f"_m{len(xs)}") - dot([f"_m{i}" for i in range(len(xs))]), F.lit(0.0))
+    out = placed.drop("_enters").join(betas, [group, "_fit"]).join(means, [group, by, "_fit"], "left").withColumn("pred", effect + dot(xs))
+    return out.select(*panel.columns, "pred")
+
+
 def ranked_back(pred: Column, past: Column) -> Column:
     """The volatility whose normal score among `past` (log values) is pred: the share Phi(pred), kept off the ends, as a linear quantile."""
     from ..functions.scalars import normcdf

@@ -191,13 +191,16 @@ MEMBERSHIP = [
 ]
 
 
+def in_season(at):
+    return (F.col(at) >= F.date_add("list_date", 182)) & (F.col("delist_date").isNull() | (F.col(at) < F.col("delist_date")))
+
+
 def membership(spark, sf_dir):
     """Daily state as of Friday, in force from the next bar, seasoning as it is on the bar itself."""
     g = gated(spark, sf_dir).select("code", "date", F.struct("floor_ok", "pctl_ok").alias("state"))
     wk = universe.as_of(P.grid(P.cells(spark, sf_dir)), g, "state").select("bar", "code", F.coalesce("state.floor_ok", F.lit(False)).alias("f"), F.coalesce("state.pctl_ok", F.lit(False)).alias("p"))
     wk = wk.withColumn("floor_ok", universe.next_bar(wk, "f")).withColumn("pctl_ok", universe.next_bar(wk, "p")).join(catalogue(spark, sf_dir), "code")
-    season = (F.col("bar") >= F.date_add("list_date", 182)) & (F.col("delist_date").isNull() | (F.col("bar") < F.col("delist_date")))
-    return wk.withColumn("season", season).withColumn("member", F.col("season") & F.col("floor_ok") & F.col("pctl_ok")).select("bar", "code", "season", "floor_ok", "pctl_ok", "member")
+    return wk.withColumn("season", in_season("bar")).withColumn("member", F.col("season") & F.col("floor_ok") & F.col("pctl_ok")).select("bar", "code", "season", "floor_ok", "pctl_ok", "member")
 
 
 _MS = [ADV, FLOOR, PCTL, LISTED, *MEMBERSHIP]
@@ -256,6 +259,38 @@ def index_representative(spark, sf_dir):
     return universe.representatives(p)
 
 
+def indexed_membership(spark, sf_dir):
+    """Membership with one name for each index: chosen on each trading day among names that pass, in force from the next bar.
+
+    A name's state on a day it didn't trade is its last one. Trading days are numbered over one row a day.
+    """
+    days = P.daily(spark, sf_dir).select("date").distinct()
+    names = catalogue(spark, sf_dir)
+    last = days.agg(F.max("date").alias("last"))
+    dense = names.crossJoin(F.broadcast(last)).select("code", "list_date", "delist_date", F.explode(F.sequence("list_date", "last")).alias("date"))
+    dense = dense.join(days.withColumn("day", F.row_number().over(Window.orderBy("date"))), "date")
+    g = gated(spark, sf_dir).select("code", "date", F.struct("floor_ok", "pctl_ok", "adv").alias("state"))
+    state = universe.as_of(dense, g, "state", at="date").withColumn("season", in_season("date")).select("code", "date", "day", "season", F.coalesce("state.floor_ok", F.lit(False)).alias("f"), F.coalesce("state.pctl_ok", F.lit(False)).alias("p"), "state.adv")
+    passing = state.filter("season and f and p and adv is not null").join(P.instruments(spark, sf_dir).select("code", "idx"), "code")
+    chosen = universe.representatives(passing, order="day", step=1).select("code", "day", F.lit(True).alias("rep"))
+    daily = state.join(chosen, ["code", "day"], "left").select("code", "date", F.struct("f", "p", F.coalesce("rep", F.lit(False)).alias("rep")).alias("state"))
+    wk = universe.as_of(P.grid(P.cells(spark, sf_dir)), daily, "state").select("bar", "code", *[F.coalesce(f"state.{c}", F.lit(False)).alias(c) for c in ("f", "p", "rep")])
+    for flag, name in (("f", "floor_ok"), ("p", "pctl_ok"), ("rep", "chosen")):
+        wk = wk.withColumn(name, universe.next_bar(wk, flag))
+    wk = wk.join(names, "code").withColumn("season", in_season("bar"))
+    return wk.select("bar", "code", "season", "floor_ok", "pctl_ok", (F.col("season") & F.col("chosen")).alias("member"))
+
+
+@query("membership_one_per_index")
+def membership_one_per_index(spark, sf_dir):
+    return indexed_membership(spark, sf_dir).filter("member").select("bar", "code")
+
+
+@query("index_membership_events")
+def index_membership_events(spark, sf_dir):
+    return universe.events(indexed_membership(spark, sf_dir))
+
+
 # --- signals ---------------------------------------------------------------------------------------------------------
 
 IC = [

@@ -234,6 +234,29 @@ def har_forecast(spark, sf_dir):
     return vol.walk_forward(har(spark, sf_dir).select("bar", "code", "lag1", "mean4", "mean13", "target", "target_bar"), ["lag1", "mean4", "mean13"], "target", demean_by="code").select("code", F.col("target_bar").alias("bar"), "target", "pred").filter("pred is not null and bar is not null")
 
 
+def har_pooled(spark, sf_dir):
+    """Forecasts of the pooled regression of each block, a row for each target, with the 52 log volatilities up to the forecast's date."""
+    g = vol.causal_rank(rv_panel(spark, sf_dir)).withColumn("history", F.collect_list("lv").over(rows("code", "bar", -51, 0)))
+    f = vol.har_features(g).withColumn("actual", F.lead("rv").over(Window.partitionBy("code").orderBy("bar"))).join(P.instruments(spark, sf_dir).select("code", "block"), "code")
+    p = vol.pooled_forecast(f, ["lag1", "mean4", "mean13"], "target")
+    return p.select("block", "code", F.col("target_bar").alias("bar"), "target", "pred", "actual", vol.ranked_back(F.col("pred"), F.col("history")).alias("sigma"))
+
+
+@query("har_pooled")
+def har_pooled_forecast(spark, sf_dir):
+    return har_pooled(spark, sf_dir)
+
+
+@query("har_quality")
+def har_quality(spark, sf_dir):
+    return vol.quality(har_pooled(spark, sf_dir), "sigma", "actual", ["block"])
+
+
+@query("har_recalibrated")
+def har_recalibrated(spark, sf_dir):
+    return vol.recalibrated(har_pooled(spark, sf_dir), "sigma", "actual").select("bar", "code", "sigma", "actual", "recal")
+
+
 @query("forecast_quality", sql(f"SELECT code, count(*) AS n, round(sqrt(avg((f - rv) * (f - rv))), 6) AS rmse, round(avg(abs(f - rv)), 6) AS mae, round(avg(CASE WHEN f > 0 AND rv > 0 THEN (rv * rv) / (f * f) - ln((rv * rv) / (f * f)) - 1 END), 4) AS qlike, round({pearson('f', 'rv')}, 6) AS corr FROM (SELECT bar, code, rv, lag(rv) OVER (PARTITION BY code ORDER BY bar) AS f FROM rv) WHERE f IS NOT NULL GROUP BY code HAVING count(*) >= 10", RV))
 def forecast_quality(spark, sf_dir):
     """The random walk as the forecast to beat."""

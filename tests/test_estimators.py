@@ -1,6 +1,7 @@
 """Volatility estimators, leverage levels and factor dedup against plain versions."""
 
 import datetime
+import math
 
 import numpy as np
 import pandas as pd
@@ -47,3 +48,39 @@ def test_dedup_keeps_the_first_and_names_the_first_conflict(spark):
     rho = spark.createDataFrame([("x", "c", "d", -0.9), ("x", "b", "c", 0.9), ("x", "a", "d", 0.6), ("x", "a", "b", 0.7), ("y", "a", "b", 0.5)], "g string, f1 string, f2 string, rho double")
     got = {(r.g, r.factor): (r.stands_for, r.kept) for r in ic.dedup(ranked, rho, 0.5, ["g"]).collect()}
     assert got == {("x", "d"): ("d", True), ("x", "c"): ("d", False), ("x", "b"): ("b", True), ("x", "a"): ("d", False), ("y", "a"): ("a", True), ("y", "b"): ("b", True)}
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_pooled_forecast_equals_dummies(spark, balanced):
+    rng = np.random.default_rng(4)
+    day = datetime.date(1990, 1, 5)
+    out = []
+    for code in range(7):
+        for i in range(9 * code, 60):
+            if rng.random() < 0.9:
+                x = rng.normal(size=2)
+                out.append((code % 2, code, day + datetime.timedelta(weeks=i), float(x[0]), float(x[1]), float(x @ [0.5, -0.2] + code + rng.normal() * 0.1) if rng.random() < 0.95 else None))
+    df = spark.createDataFrame(out, "block int, code int, bar date, a double, b double, y double")
+    got = {(r.code, r.bar): r.pred for r in vol.pooled_forecast(df, ["a", "b"], "y", first=12, every=3, balanced=balanced).collect()}
+    want = {}
+    full = pd.DataFrame(out, columns=["block", "code", "bar", "a", "b", "y"]).dropna()
+    for _, p in full.groupby("block"):
+        bars, codes, coef, fitted = sorted(set(p.bar)), sorted(set(p.code)), None, None
+        for i, bar in enumerate(bars):
+            past, now = p[p.bar < bar], p[p.bar == bar]
+            design = lambda q: np.column_stack([(q.code.to_numpy()[:, None] == codes).astype(float), q[["a", "b"]]])
+            if i >= 12 and (coef is None or i - fitted >= 3) and len(past) >= len(codes) + 12:
+                w = np.sqrt(1 / past.groupby("code").y.transform("size").to_numpy()) if balanced else np.ones(len(past))
+                coef, fitted = np.linalg.lstsq(design(past) * w[:, None], past.y * w, rcond=None)[0], i
+            if coef is not None:
+                want |= dict(zip(zip(now.code, now.bar), design(now) @ coef))
+    assert got.keys() == want.keys() and len(got) > 100
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=1e-8)
+
+
+def test_ranked_back(spark):
+    past = np.random.default_rng(2).normal(size=52).tolist()
+    df = spark.createDataFrame([(float(g), past) for g in (-9, -1, 0, 0.3, 9)], "g double, past array<double>")
+    for r in df.withColumn("s", vol.ranked_back(F.col("g"), F.col("past"))).collect():
+        u = min(max(0.5 * (1 + math.erf(r.g / math.sqrt(2))), 1 / 53), 52 / 53)
+        assert r.s == pytest.approx(float(np.exp(np.quantile(past, u))), rel=1e-5)
