@@ -152,10 +152,14 @@ def ranked_back(pred: Column, past: Column) -> Column:
 
     n = F.size(past).cast("double")
     u = F.greatest(F.least(normcdf(pred), n / (n + 1)), 1 / (n + 1))
-    at = u * (n - 1)
-    lo, hi = F.floor(at).cast("int"), F.least(F.ceil(at), n - 1).cast("int")
     s = F.sort_array(past)
-    return F.exp(F.get(s, lo) + (at - lo) * (F.get(s, hi) - F.get(s, lo)))
+
+    def quantile(at: Column) -> Column:
+        lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.get(s, lo) + (at - lo) * (F.get(s, hi) - F.get(s, lo))
+
+    # a lambda's argument is worked out once; written out, the share would stand in the generated code many times
+    return F.exp(F.get(F.transform(F.array(u * (n - 1)), quantile), F.lit(0)))
 
 
 def recalibrated(df: DataFrame, forecast: str, actual: str, first: int = 52, every: int = 4) -> DataFrame:
