@@ -1,8 +1,8 @@
 """Line dedup with a segment-partition edit join.
 
 A line goes if an earlier one, by (doc_id, hash of the text, line number), is within
-`edits` edits of bytes (insert, delete, replace). Lines are what stands between newlines; lines under `least`
-bytes are never judged. Decisions are made on the input: a line that goes still makes later ones go.
+`edits` edits of bytes (insert, delete, replace). Lines are what stands between newlines; blank ones (white space alone) are never judged,
+lines under `least` bytes only against equal ones, since two edits make other words of short lines. Decisions are made on the input: a line that goes still makes later ones go.
 
 Equal lines are one class, found by map-side combined minima, so hot lines cost one
 row. Classes that differ are joined by partition: a line of length n is cut
@@ -18,8 +18,6 @@ settles, and that have more partners there or elsewhere under the entry, meet al
 of open lines against blocks of all lines, each pair of blocks a group of bounded size. There partners are verified from the
 likeliest on until one holds, and only the lines that are settled come out. So nothing is lost, dense groups don't give their pairs, and no group is one task.
 
-Lines under `least` bytes are left alone, equal ones too: short lines repeat in clean text.
-
 Edge cases: null texts have no lines and stay null; null ids come last; repeated rows have all their
 lines judged alike (the first copy in the order of ids keeps them, equal rows are one place, so both
 keep theirs); texts that lose all lines become empty.
@@ -144,15 +142,15 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), C.row_key().alias("row_key"), "text")
 
 
-def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, row_key, line, h, g): place and 128-bit hash of every line that is judged."""
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, line, h, g): place and 128-bit hash of every line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
             doc, key, no, hashes = [], [], [], []
             for d, k, text in zip(C.column(b, "doc_id"), C.column(b, "row_key"), C.texts(b), strict=True):
                 for i, line in enumerate((text or b"").split(b"\n")):
-                    if len(line) >= least:
+                    if line and not line.isspace():
                         doc.append(d)
                         key.append(k)
                         no.append(i)
@@ -180,7 +178,7 @@ def entries(docs: DataFrame, edits: int, least: int) -> DataFrame:
             for text in C.texts(b):
                 for line in (text or b"").split(b"\n"):
                     n = len(line)
-                    if n < least or (name := whole(line)) in seen:
+                    if n < least or line.isspace() or (name := whole(line)) in seen:
                         continue
                     seen.add(name)
                     if n not in plans:
@@ -393,7 +391,7 @@ def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def removed(rows: DataFrame, edits: int = EDITS, least: int = LEAST, first: int = FIRST) -> DataFrame:
     """(doc_id, row_key, line) of the lines to remove. rows: doc_id, row_key, text, see `_plain`."""
-    every = C.cut(lines(rows, least), "lines")
+    every = C.cut(lines(rows), "lines")
     classes = C.cut(every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("rank"), F.count("*").alias("copies")), "classes")
     places = classes.select("rank.*", "h", "g")
     # lines that share the first half of their hashes come apart here

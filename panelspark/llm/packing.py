@@ -1,6 +1,6 @@
 """Packing documents into sequences by order-preserving dynamic programming.
 
-The documents of a range of ids form one stream of tokens. It is cut into windows
+The documents of a range of ids, or of any other order that is named, form one stream of tokens. It is cut into windows
 of at most `size` tokens. Windows end at document ends, at sentence ends (at least
 `spacing` tokens apart) or, inside sentences longer than that, at forced points.
 The cost of a window is its padding plus what its end costs: nothing at a document's end, a little at a
@@ -169,14 +169,16 @@ class Stream:
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id and text, ranges of ids in partitions, ascending in each."""
+def in_order(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """doc_id and text, ranges of the order in partitions, ascending in each; without an order by doc_id."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    keys = [F.col(f"_o{i}") for i in range(len(order or []))] or [F.col("doc_id")]
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])])
+    return some.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "doc_id", F.xxhash64("text")).select("doc_id", "text")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON) -> DataFrame:
-    """Pieces of all documents (doc_id, text); see PIECES. Sequence ids ascend with doc ids."""
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON, order: list[str] | None = None) -> DataFrame:
+    """Pieces of all documents (doc_id, text); see PIECES. Sequence ids ascend with the order, which is that of doc ids unless columns are named."""
 
     held = docs.sparkSession.sparkContext.broadcast(tokens.Held(path))
 
@@ -195,7 +197,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spa
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=PIECES)
 
-    return in_order(docs).mapInArrow(run, ", ".join(f"{f.name} long" for f in PIECES))
+    return in_order(docs, order).mapInArrow(run, ", ".join(f"{f.name} long" for f in PIECES))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

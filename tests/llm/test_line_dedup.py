@@ -56,10 +56,10 @@ def brute(rows, edits, least):
         key = xxhash.xxh64((t or "").encode(), seed=42).intdigest()
         key -= (1 << 64) * (key >> 63)
         every.append([((d if d is not None else D.NO_ID, key, i), x.encode()) for i, x in enumerate(t.split("\n"))] if t is not None else [])
-    flat = sorted({x for doc in every for x in doc if len(x[1]) >= least})
+    flat = sorted({x for doc in every for x in doc if x[1] and not x[1].isspace()})
     gone = set()
     for i, (p, x) in enumerate(flat):
-        if any(q < p and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for q, y in flat[:i]):
+        if any(q < p and (x == y or (min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits)) for q, y in flat[:i]):
             gone.add(p)
     return [(d, None if t is None else "\n".join(x.decode() for p, x in doc if p not in gone)) for (d, t), doc in zip(rows, every)]
 
@@ -79,6 +79,7 @@ def test_matches_brute_force(spark, monkeypatch, edits, first, block):
             out.append("".join(x))
         rows.append((d, "\n".join(out)))
     rows += [(3, rows[5][1]), (100, None), (101, ""), (102, "\n\n"), (None, base[0] + "\nshort"), (5, rows[5][1])]
+    rows += [(103, "short\n  \nshort\nshorn"), (104, "  \nshort\n\n  ")]  # short lines: equal ones go, blank ones never do
     df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, h string, line int")
     got = D.dedup(df, edits=edits, least=10, first=first).collect()
     key = lambda x: (str(x[0]), str(x[1]))

@@ -54,7 +54,8 @@ def test_best_cuts_are_optimal():
         assert cost(got, places, kinds, size) == brute_force(places, kinds, size)
 
 
-def check(rows, pieces, size=4096):
+def check(rows, pieces, size=4096, place=None):
+    """Every id lies in one piece, sequences are gapless and in the order of ids or of `place`; the share of padding."""
     ids = {}
     for d, t in rows:
         ids.setdefault(d, []).append([*plain(t), 2])
@@ -83,8 +84,9 @@ def check(rows, pieces, size=4096):
         for o, n, d in sorted(sequences[k]):
             assert o == at
             at += n
-            assert d is None or d >= last
-            last = last if d is None else d
+            here = d if place is None or d is None else place[d]
+            assert d is None or here >= last
+            last = last if d is None else here
         assert at <= size
         total += at
         padding += 0 if at & (at - 1) == 0 else size - at
