@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op5_embedding_dedup
+from .importance import op13_importance
 from .language_id import op9_language_id
 from .line_dedup import op7_line_dedup
 from .mixing import OP10_SQL, op10_mixing
@@ -17,6 +18,7 @@ from .simhash import op4_simhash
 from .substring_dedup import op1_substring_dedup
 from .token_files import op6_token_files
 from .topk import OP8_SQL, op8_topk
+from .trie import OP12_SQL, op12_conversation_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_importance": op13_importance,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL, "op10_mixing": OP10_SQL, "op12_conversation_trie": OP12_SQL}
