@@ -18,6 +18,7 @@ from .simhash import op4_simhash
 from .substring_dedup import op1_substring_dedup
 from .token_files import op6_token_files
 from .topk import OP8_SQL, op8_topk
+from .toxicity import op11_toxicity
 from .trie import OP12_SQL, op12_conversation_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_importance": op13_importance,
     "pipeline": corpus_pipeline.run,
