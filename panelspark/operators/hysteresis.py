@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import exit_k
 from .ic import eligible_k
@@ -24,43 +26,71 @@ def buffer_book(df: DataFrame, q: float, epsilon: float, bars: DataFrame) -> Dat
     return dense.withColumn("held", held).filter("held").select("bar", "code", *[c for c in df.columns if c not in ("bar", "code")])
 
 
-def _replace(ranks: np.ndarray, codes: np.ndarray, held: set, k: int, xk: int, trim: str) -> set:
-    """One bar of the replace rule: keep held names within the exit rank, refill to k by rank."""
-    at = {c: r for c, r in zip(codes.tolist(), ranks.tolist(), strict=True)}
-    kept = {c for c in held if at.get(c, xk + 1) <= xk}
-    if trim == "worst_rank" and len(kept) > k:
-        kept = set(sorted(kept, key=lambda c: at[c])[:k])
-    for c in codes[np.argsort(ranks, kind="stable")].tolist():
-        if len(kept) >= k:
+def _refilled(codes: list, held: set, k: int, trim: str) -> set:
+    """One bar of the replace rule. codes: those up to the exit rank, in order; held ones among them stay, the first others fill up to k."""
+    kept = [c for c in codes if c in held]
+    if trim == "worst_rank":
+        kept = kept[:k]
+    new = set(kept)
+    for c in codes:
+        if len(new) >= k:
             break
-        kept.add(c)
-    return kept
+        new.add(c)
+    return new
 
 
-def replace_book(df: DataFrame, q: float | Column, epsilon: float | Column, by: list[str] | None = None, trim: str = "as_published", long_short: bool = False) -> DataFrame:
+def replace_book(df: DataFrame, bars: DataFrame, q: float | Column, epsilon: float | Column, by: list[str] | None = None, trim: str = "as_published", long_short: bool = False) -> DataFrame:
     """(by, bar, code, side) held under the replace rule; with two sides the short one uses ranks from below, and names on both sides belong to neither.
 
-    The rule couples all names of a book, so a book (by: its cell or block) is one group;
-    cells and blocks go in parallel. Groups hold bars x eligible names of one book, ranks and counts only. trim: `as_published`
-    lets a book stay larger than k after k shrinks, `worst_rank` cuts it to k.
+    df(by, bar, code, alpha) of eligible names; bars(bar): all bars in order, a row a week, so broadcast: at a bar at which a book has no names, or none to
+    hold, it is empty and starts anew. trim: `as_published` lets a book stay larger than k after k shrinks, `worst_rank` cuts it to k.
+
+    The rule couples all names of a book, so a book (by: its cell or block) is one ordered stream: only names up to the exit rank, which alone can stay or come in, are
+    shuffled by book and sorted by bar and rank; the names held are carried from batch to batch. Books go in parallel; what is in memory is one bar of one book.
     """
     by = by or []
-    ranked = df.withColumn("_one", F.lit(0))
-    ranked = eligible_k(ranked, q, long_short, by).withColumn("xk", exit_k("n", "k", epsilon)).select(*(by or ["_one"]), "bar", "code", "rk", "n", "k", "xk")
-    keys = by or ["_one"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, long, short = [], set(), set()
-        head = [pdf[c].iloc[0] for c in keys]
-        for bar, g in pdf.sort_values(["bar", "code"], kind="stable").groupby("bar", sort=True):
-            rank, code = g["rk"].to_numpy(), g["code"].to_numpy()
-            n, k, xk = int(g["n"].iloc[0]), int(g["k"].iloc[0]), int(g["xk"].iloc[0])
-            long = _replace(rank, code, long, k, xk, trim) if k else set()
-            short = (_replace(n + 1 - rank, code, short, k, xk, trim) if k else set()) if long_short else set()
+    ranked = eligible_k(df, q, long_short, by).withColumn("xk", exit_k("n", "k", epsilon))
+    below = F.col("n") + 1 - F.col("rk")
+    near = (F.col("rk") <= F.col("xk")) | (below <= F.col("xk")) if long_short else F.col("rk") <= F.col("xk")
+    seq = F.broadcast(bars.select("bar").distinct().withColumn("_seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("bar"))))
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = ranked.filter(near & (F.col("k") > 0)).join(seq, "bar").select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "bar", "_seq", "code", "rk", "n", "k", "xk")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (rows.repartition(parts, *keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "_seq", "rk")
+    size = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, last, sides = None, 0, (set(), set())
+        at, names = None, []
+
+        def closed() -> list[tuple]:
+            """The names of the bar that has been read, and the state after it."""
+            nonlocal book, last, sides
+            key, bar, n, k, xk = at[:size], at[size], *names[0][2:]
+            if key != book or at[size + 1] != last + 1:
+                sides = (set(), set())
+            book, last = key, at[size + 1]
+            long = _refilled([c for c, r, *_ in names if r <= xk], sides[0], k, trim)
+            short = _refilled([c for c, r, *_ in reversed(names) if n + 1 - r <= xk], sides[1], k, trim) if long_short else set()
             both = long & short
-            out += [(*head, bar, c, 1) for c in sorted(long - both)] + [(*head, bar, c, -1) for c in sorted(short - both)]
-        return pd.DataFrame(out, columns=[*keys, "bar", "code", "side"])
+            sides = (long - both, short - both)
+            return [(*key, bar, c, s) for s, held in zip((1, -1), sides, strict=True) for c in sorted(held)]
+
+        for b in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in b.columns]
+            for *head, code, rk, n, k, xk in zip(*columns, strict=True):
+                if tuple(head) != at:
+                    if at is not None:
+                        out += closed()
+                    at, names = tuple(head), []
+                names.append((code, rk, n, k, xk))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], fields)
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*closed(), strict=True), kinds, strict=True)], fields)
 
-    kinds = dict(ranked.dtypes)
-    held = ranked.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "bar", "code"]) + ", side int")
-    return held if by else held.drop("_one")
+    made = rows.select(*keys, "bar", "code", F.lit(0).alias("side")).schema
+    fields, kinds = made.names, [to_arrow_type(f.dataType) for f in made.fields]
+    held = ordered.mapInArrow(run, made)
+    return held.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "bar", "code", "side")

@@ -225,7 +225,7 @@ def ewma(df: DataFrame, value: str, name: str = "ewma", halflife: float = 26.0,
 
 
 def newey_west(df: DataFrame, value: str, name: str = "nw", window: int = 52, lags: int = 4, least: int = 26, by: str = "code", scale: float = 52.0) -> DataFrame:
-    """df's rows with a value and `name`: annualised volatility with Bartlett weights on `lags` autocovariances of the last `window` values; never negative.
+    """df's rows with a value and `name`: annualised volatility with Bartlett weights on `lags` autocovariances (means over the pairs there are) of the last `window` values; never negative.
 
     Autocovariances come from moving sums of products with the lagged value: pairs whose earlier value left the window leave the frame.
     """
@@ -238,5 +238,5 @@ def newey_west(df: DataFrame, value: str, name: str = "nw", window: int = 52, la
         inside = rows(by, "bar", -(window - 1 - k))
         late = F.when(F.col(f"_l{k}").isNotNull(), F.col(value))
         product = F.sum(F.col(value) * F.col(f"_l{k}")).over(inside) - mean * (F.sum(late).over(inside) + F.sum(f"_l{k}").over(inside)) + (n - k) * mean * mean
-        total = total + (1.0 if k == 0 else 2 * (1 - k / (lags + 1))) * product / n
+        total = total + (1.0 if k == 0 else 2 * (1 - k / (lags + 1))) * product / (n - k)
     return x.withColumn(name, F.when(n >= least, F.sqrt(F.greatest(total, F.lit(0.0)) * scale))).drop(*[f"_l{k}" for k in range(lags + 1)])

@@ -11,8 +11,8 @@ from ..operators import book, files, hysteresis, metrics, risk
 from ..plans import panel as P
 from ..plans import store
 from .core import BLOCK_BOOK, BOOK, CAL, ENSEMBLE, MEMBERS, Q, SQL, _stats_sql, block_net, eligible, ensemble_alpha, factors, long_book, net, query  # noqa: F401
-from .models import COMP
-from .sql import sql
+from .models import COMP, replace_steps
+from .sql import KMOVED, KNET, sql
 
 # --- grids of books, keyed by cell -----------------------------------------------------------------------------------
 
@@ -23,8 +23,8 @@ def keyed(source: str) -> list[tuple[str, str]]:
         CAL,
         ("kmem", source),
         ("kbook", "SELECT cell, bar, code, raw / sum(raw) OVER (PARTITION BY cell, bar) AS w FROM (SELECT *, CASE WHEN sizing = 'eqw' THEN 1.0::DOUBLE ELSE 1 / sigma END AS raw FROM (SELECT *, row_number() OVER (PARTITION BY cell, bar ORDER BY alpha DESC, code) AS rk, greatest(1, ceil(q * (count(*) OVER (PARTITION BY cell, bar)))::BIGINT) AS k FROM kmem) WHERE rk <= k)"),
-        ("kmoved", "SELECT x.cell, c.bar, x.code, sum(x.w) AS w, sum(x.prev) AS prev, any_value(c.seq) AS seq FROM (SELECT cell, bar, code, w, 0.0 AS prev FROM kbook UNION ALL SELECT b.cell, c.bar, code, 0.0, w FROM kbook b JOIN calx c ON b.bar = c.prior) x JOIN calx c ON x.bar = c.bar GROUP BY x.cell, c.bar, x.code"),
-        ("knet", "SELECT cc.cell, c.bar, coalesce(gross, 0.0) AS gross, coalesce(turnover, 0.0) AS turnover, coalesce(gross, 0.0) - 0.001::DOUBLE * coalesce(turnover, 0.0) AS net, coalesce(n_held, 0)::BIGINT AS n_held FROM (SELECT DISTINCT cell FROM kbook) cc CROSS JOIN calx c LEFT JOIN (SELECT m.cell, m.bar, sum(w * coalesce(fwd, 0.0)) AS gross, sum(CASE WHEN seq = 1 THEN 0.0 ELSE abs(w - prev) END) AS turnover, sum((w <> 0)::INT) AS n_held FROM kmoved m LEFT JOIN panel p ON m.bar = p.bar AND m.code = p.code GROUP BY m.cell, m.bar) g ON g.cell = cc.cell AND g.bar = c.bar"),
+        KMOVED,
+        KNET,
     ]
 
 
@@ -132,7 +132,7 @@ def block_scores(spark, sf_dir):
 
 def sub_blocks(spark, sf_dir, epsilon):
     """(bar, block, code, w): the best fifth of each block under the replace rule, all alike."""
-    held = hysteresis.replace_book(block_scores(spark, sf_dir), 0.2, epsilon, ["block"], trim="worst_rank" if not epsilon else "as_published")
+    held = hysteresis.replace_book(block_scores(spark, sf_dir), P.panel(spark, sf_dir), 0.2, epsilon, ["block"], trim="worst_rank" if not epsilon else "as_published")
     return held.select("bar", "block", "code", (1.0 / F.count("*").over(Window.partitionBy("bar", "block"))).alias("w"))
 
 
@@ -152,7 +152,10 @@ def alpha_sub_block(spark, sf_dir):
     return sub_blocks(spark, sf_dir, 0.0)
 
 
-@query("alpha_sub_block_memory")
+_BRANKS = "SELECT block AS cell, bar, code, row_number() OVER (PARTITION BY bar, block ORDER BY alpha DESC, code) AS rk, count(*) OVER p AS n, greatest(1, ceil(0.2::DOUBLE * (count(*) OVER p))::BIGINT) AS k, 0.3::DOUBLE AS epsilon FROM bscore WINDOW p AS (PARTITION BY bar, block)"
+
+
+@query("alpha_sub_block_memory", sql("SELECT bar, cell AS block, code, round(1.0 / count(*) OVER (PARTITION BY bar, cell), 6) AS w FROM rheld", *BSCORE[:3], CAL, *replace_steps(_BRANKS), base="factors"))
 def alpha_sub_block_memory(spark, sf_dir):
     return sub_blocks(spark, sf_dir, 0.3)
 

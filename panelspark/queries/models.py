@@ -11,8 +11,8 @@ from ..functions.scalars import div, normcdf, ramp, step
 from ..functions.stats import full, pearson as pearson_, rows
 from ..operators import book, cluster, hysteresis, ic, leverage, metrics, risk, universe, vol
 from ..plans import panel as P
-from .core import BOOK, IC, MEMBERS, Q, SQL, SUMMARY, eligible, factors, ics, long_book, net, query
-from .sql import pearson, ranks, sql
+from .core import _stats_sql, BOOK, IC, MEMBERS, Q, SQL, SUMMARY, eligible, factors, ics, long_book, net, query
+from .sql import KMOVED, KNET, pearson, ranks, sql
 
 # --- hysteresis ------------------------------------------------------------------------------------------------------
 
@@ -30,18 +30,41 @@ def hysteresis_buffer(spark, sf_dir):
     return book.sized(held, "inv_vol", ["bar"]).select("bar", "code", "w")
 
 
+def replace_steps(source: str, trim: bool = False, long_short: bool = False) -> list[tuple[str, str]]:
+    """Steps from (cell, bar, code, rk, n, k, epsilon) to the replace rule's names, rheld(cell, bar, code, side): bar by bar, the held names a list."""
+
+    def after(codes: str, held: str) -> str:
+        kept = f"list_filter({codes}, lambda c: list_contains({held}, c))" + ("[1:k]" if trim else "")
+        return f"CASE WHEN k IS NULL OR k = 0 OR {codes} IS NULL THEN []::BIGINT[] ELSE list_concat({kept}, list_filter({codes}, lambda c: NOT list_contains({held}, c))[1:greatest(0, k - len({kept}))]) END"
+
+    short = after("scodes", "short") if long_short else "[]::BIGINT[]"
+    return [
+        ("rsrc", source),
+        ("rlist", "SELECT cell, bar, k, list(code ORDER BY rk) FILTER (rk <= xk) AS codes, list(code ORDER BY rk DESC) FILTER (n + 1 - rk <= xk) AS scodes FROM (SELECT *, least(n, ceil((1.0::DOUBLE + epsilon) * k::DOUBLE)) AS xk FROM rsrc) GROUP BY cell, bar, k"),
+        ("rcells", "SELECT DISTINCT cell FROM rsrc"),
+        ("rwalk", f"""WITH RECURSIVE w AS (SELECT cell, 0::BIGINT AS seq, NULL::DATE AS bar, []::BIGINT[] AS long, []::BIGINT[] AS short FROM rcells UNION ALL
+           SELECT cell, seq, bar, list_filter(l, lambda c: NOT list_contains(s, c)), list_filter(s, lambda c: NOT list_contains(l, c)) FROM (SELECT w.cell, c.seq, c.bar, {after('codes', 'long')} AS l, {short} AS s
+           FROM w JOIN calx c ON c.seq = w.seq + 1 LEFT JOIN rlist r ON r.cell = w.cell AND r.bar = c.bar)) SELECT * FROM w WHERE seq > 0"""),
+        ("rheld", "SELECT cell, bar, unnest(long) AS code, 1 AS side FROM rwalk UNION ALL SELECT cell, bar, unnest(short), -1 FROM rwalk"),
+    ]
+
+
 def replaced(spark, sf_dir, epsilon=0.3, **kw):
     m = eligible(spark, sf_dir)
-    held = hysteresis.replace_book(m, 0.2, epsilon, **kw)
+    held = hysteresis.replace_book(m, P.panel(spark, sf_dir), 0.2, epsilon, **kw)
     return book.sized(held.join(m, ["bar", "code"]), "inv_vol", ["bar", "side"], F.col("side") * F.lit(0.5 if kw.get("long_short") else 1.0)).select("bar", "code", "side", "w")
 
 
-@query("hysteresis_replace")
+_RSRC = "SELECT 0 AS cell, bar, code, rk, n, k, 0.3::DOUBLE AS epsilon FROM rkd"
+_RW = "SELECT bar, code, side, round({half} * side * (1 / sigma) / sum(1 / sigma) OVER (PARTITION BY bar, side), 6) AS w FROM rheld JOIN mem USING (bar, code)"
+
+
+@query("hysteresis_replace", sql(_RW.format(half="1"), *BOOK[:2], BOOK[3], *replace_steps(_RSRC)))
 def hysteresis_replace(spark, sf_dir):
     return replaced(spark, sf_dir)
 
 
-@query("hysteresis_replace_ls")
+@query("hysteresis_replace_ls", sql(_RW.format(half="0.5"), *BOOK[:2], BOOK[3], *replace_steps("SELECT 0 AS cell, bar, code, rk, n, least(k, n // 2) AS k, 0.3::DOUBLE AS epsilon FROM rkd", long_short=True)))
 def hysteresis_replace_ls(spark, sf_dir):
     return replaced(spark, sf_dir, long_short=True)
 
@@ -52,21 +75,34 @@ def hysteresis_epsilon_zero(spark, sf_dir):
     return replaced(spark, sf_dir, 0.0, trim="worst_rank").select("bar", "code", "w")
 
 
-@query("hysteresis_sweep")
+SWEEP = [
+    MEMBERS,
+    BOOK[3],
+    ("cells_", "SELECT 'q' || lpad(round(q * 100)::INT::VARCHAR, 2, '0') || '_e' || lpad(round(epsilon * 100)::INT::VARCHAR, 2, '0') AS cell, q::DOUBLE AS q, epsilon::DOUBLE AS epsilon FROM (VALUES (0.1), (0.2)) a(q) CROSS JOIN (VALUES (0.0), (0.3)) b(epsilon)"),
+    *replace_steps("SELECT cell, bar, code, epsilon, row_number() OVER (PARTITION BY cell, bar ORDER BY alpha DESC, code) AS rk, count(*) OVER p AS n, greatest(1, ceil(q * (count(*) OVER p))::BIGINT) AS k FROM mem CROSS JOIN cells_ WINDOW p AS (PARTITION BY cell, bar)"),
+    ("kbook", "SELECT cell, bar, code, (1 / sigma) / sum(1 / sigma) OVER (PARTITION BY cell, bar) AS w FROM rheld JOIN mem USING (bar, code)"),
+    KMOVED,
+    KNET,
+    ("st", _stats_sql("cell", "SELECT cell, bar, net FROM knet")),
+    ("swept", "SELECT st.*, q, epsilon, round(turnover, 6) AS turnover FROM st JOIN (SELECT cell, avg(turnover) AS turnover FROM knet GROUP BY cell) USING (cell) JOIN cells_ USING (cell)"),
+]
+
+
+@query("hysteresis_sweep", sql("SELECT * FROM swept", *SWEEP))
 def hysteresis_sweep(spark, sf_dir):
     """Books of all (q, epsilon) cells in one job, keyed by cell: turnover and net performance."""
     m = eligible(spark, sf_dir)
     cells = spark.createDataFrame([(q, e) for q in (0.1, 0.2) for e in (0.0, 0.3)], "q double, epsilon double")
     cells = cells.withColumn("cell", F.format_string("q%02d_e%02d", F.round(F.col("q") * 100).cast("int"), F.round(F.col("epsilon") * 100).cast("int")))
     # the grid of parameters is a fixed handful of rows
-    held = hysteresis.replace_book(m.crossJoin(F.broadcast(cells)), F.col("q"), F.col("epsilon"), ["cell"])
+    held = hysteresis.replace_book(m.crossJoin(F.broadcast(cells)), P.panel(spark, sf_dir), F.col("q"), F.col("epsilon"), ["cell"])
     w = book.sized(held.join(m, ["bar", "code"]), "inv_vol", ["cell", "bar"]).select("cell", "bar", "code", "w")
     series = book.run_book(w, P.panel(spark, sf_dir), ["cell"])
     stats = metrics.window_stats(series, ["cell"])
     return stats.join(series.groupBy("cell").agg(F.avg("turnover").alias("turnover")), "cell").join(F.broadcast(cells), "cell")
 
 
-@query("plateau_selection")
+@query("plateau_selection", sql("SELECT * FROM swept WHERE sharpe >= (SELECT max(sharpe) FROM swept) - 0.05 ORDER BY turnover, epsilon, q LIMIT 1", *SWEEP))
 def plateau_selection(spark, sf_dir):
     return risk.plateau(hysteresis_sweep(spark, sf_dir), "sharpe", 0.05, ["turnover", "epsilon", "q"])
 
@@ -307,7 +343,7 @@ def ewma_vol(spark, sf_dir):
 NW = [
     ("nwp", "SELECT bar, code, p, len(p) AS n, list_avg(p) AS m FROM (SELECT bar, code, list(lr) OVER (PARTITION BY code ORDER BY bar ROWS 51 PRECEDING) AS p FROM panel WHERE lr IS NOT NULL)"),
     ("nwd", "SELECT bar, code, n, list_transform(p, lambda x: x - m) AS d FROM nwp"),
-    ("nwc", "SELECT bar, code, n, " + ", ".join(f"coalesce(list_sum(list_transform(generate_series(1, n - {k}), lambda i: d[i] * d[i + {k}])), 0.0) / n AS c{k}" for k in range(5)) + " FROM nwd"),
+    ("nwc", "SELECT bar, code, n, " + ", ".join(f"coalesce(list_sum(list_transform(generate_series(1, n - {k}), lambda i: d[i] * d[i + {k}])), 0.0) / nullif(n - {k}, 0) AS c{k}" for k in range(5)) + " FROM nwd"),
 ]
 
 

@@ -24,6 +24,10 @@ VIEWS = {
 }
 ORDER = list(VIEWS)
 
+# From kbook(cell, bar, code, w): every name held at a bar or the one before, and each cell's series.
+KMOVED = ("kmoved", "SELECT x.cell, c.bar, x.code, sum(x.w) AS w, sum(x.prev) AS prev, any_value(c.seq) AS seq FROM (SELECT cell, bar, code, w, 0.0 AS prev FROM kbook UNION ALL SELECT b.cell, c.bar, code, 0.0, w FROM kbook b JOIN calx c ON b.bar = c.prior) x JOIN calx c ON x.bar = c.bar GROUP BY x.cell, c.bar, x.code")
+KNET = ("knet", "SELECT cc.cell, c.bar, coalesce(gross, 0.0) AS gross, coalesce(turnover, 0.0) AS turnover, coalesce(gross, 0.0) - 0.001::DOUBLE * coalesce(turnover, 0.0) AS net, coalesce(n_held, 0)::BIGINT AS n_held FROM (SELECT DISTINCT cell FROM kbook) cc CROSS JOIN calx c LEFT JOIN (SELECT m.cell, m.bar, sum(w * coalesce(fwd, 0.0)) AS gross, sum(CASE WHEN seq = 1 THEN 0.0 ELSE abs(w - prev) END) AS turnover, sum((w <> 0)::INT) AS n_held FROM kmoved m LEFT JOIN panel p ON m.bar = p.bar AND m.code = p.code GROUP BY m.cell, m.bar) g ON g.cell = cc.cell AND g.bar = c.bar")
+
 
 def sql(final: str, *steps: tuple[str, str], base: str = "members") -> str:
     """WITH the views up to `base`, the windows, and the steps: the final select."""

@@ -31,7 +31,7 @@ def test_newey_west(spark):
 
     def plain(v):
         d, n = v - v.mean(), len(v)
-        return max(d @ d / n + 2 * sum((1 - k / 5) * (d[k:] @ d[:-k]) / n for k in range(1, 5)), 0.0)
+        return max(d @ d / n + 2 * sum((1 - k / 5) * (d[k:] @ d[:-k]) / (n - k) for k in range(1, 5)), 0.0)
 
     want = [np.sqrt(plain(x.to_numpy()[max(0, i - 51) : i + 1]) * 52) if i >= 25 else np.nan for i in range(len(x))]
     np.testing.assert_allclose(got, want, rtol=1e-9)
