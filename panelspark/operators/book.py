@@ -44,39 +44,46 @@ def static_weights(df: DataFrame, q: float = 0.2, long_short: bool = False, sizi
 
 
 def changes(w: DataFrame, bars: DataFrame, by: list[str] | None = None, first: str = "free") -> DataFrame:
-    """(by, bar, code, w, prev, dw) for every name held at a bar or the one before.
+    """(by, bar, code, w, prev, seq, dw, and w's other columns) for every name held at a bar or the one before.
 
-    w holds non-zero weights; bars(by, bar, prior, seq) the book's bars. A weight missing at the bar before counts as zero, an exit
-    gives a row of weight zero. The first bar's change is zero (`free`) or all of it (`paid`).
+    w holds non-zero weights, one row for a name and bar of a book; bars(bar, prior, seq) the bars of all books, a row a week. A weight missing at the bar before counts as zero, an exit
+    gives a row of weight zero. The first bar's change is zero (`free`) or all of it (`paid`). One window by name: the row before is the bar before's unless their
+    numbers leave a gap, and a row before a gap has an exit after it.
     """
     by = by or []
-    now = w.select(*by, "bar", "code", "w")
-    following = bars.select(*by, F.col("prior").alias("_p"), F.col("bar").alias("_b"))
-    cond = [F.col(f"n.{c}") == F.col(f"f.{c}") for c in by] + [F.col("n.bar") == F.col("f._p")]
-    earlier = now.alias("n").join(following.alias("f"), cond).select(*[F.col(f"n.{c}").alias(c) for c in by], F.col("f._b").alias("bar"), "n.code", F.col("n.w").alias("prev"))
-    # one row for each name and bar without a join of the two sides
-    both = now.withColumn("prev", F.lit(0.0)).unionByName(earlier.withColumn("w", F.lit(0.0))).groupBy(*by, "bar", "code").agg(F.sum("w").alias("w"), F.sum("prev").alias("prev"))
-    both = both.join(bars.select(*by, "bar", "seq"), [*by, "bar"])
+    after = Window.orderBy("seq")
+    days = F.broadcast(bars.select("bar", "seq", F.lead("bar").over(after).alias("_next")))
+    order = Window.partitionBy(*by, "code").orderBy("seq")
+    at = w.join(days, "bar")
+    seq = F.col("seq")
+    prev = F.when(F.lag("seq").over(order) == seq - 1, F.lag("w").over(order)).otherwise(0.0)
+    gone = F.col("_next").isNotNull() & ~F.coalesce(F.lead("seq").over(order) == seq + 1, F.lit(False))
+    at = at.withColumn("prev", prev).withColumn("_gone", gone)
+    now = F.struct("bar", "w", "prev", "seq")
+    exit_ = F.struct(F.col("_next").alias("bar"), F.lit(0.0).alias("w"), F.col("w").alias("prev"), (seq + 1).alias("seq"))
+    both = at.withColumn("_x", F.explode(F.when(F.col("_gone"), F.array(now, exit_)).otherwise(F.array(now))))
+    rest = [c for c in w.columns if c not in (*by, "bar", "code", "w")]
+    out = both.select(*by, "_x.bar", "code", "_x.w", "_x.prev", "_x.seq", *rest)
     dw = F.when((F.col("seq") == 1) & F.lit(first == "free"), 0.0).otherwise(F.col("w") - F.col("prev"))
-    return both.withColumn("dw", dw)
+    return out.withColumn("dw", dw)
 
 
-def calendar(bars: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, bar, prior, seq) of distinct bars in order."""
-    by = by or []
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("bar")
-    return bars.select(*by, "bar").distinct().withColumn("prior", F.lag("bar").over(w)).withColumn("seq", F.row_number().over(w))
+def calendar(bars: DataFrame) -> DataFrame:
+    """(bar, prior, seq) of distinct bars in order."""
+    w = Window.partitionBy(F.lit(0)).orderBy("bar")
+    return bars.select("bar").distinct().withColumn("prior", F.lag("bar").over(w)).withColumn("seq", F.row_number().over(w))
 
 
 def run_book(w: DataFrame, panel: DataFrame, by: list[str] | None = None, cost: float = COST) -> DataFrame:
     """(by, bar, gross, turnover, net, n_held): weights earn the return to the next bar; a missing one counts as zero. Costs are on the sum of absolute changes."""
     by = by or []
-    bars = calendar(panel.select("bar") if not by else w.select(*by).distinct().crossJoin(F.broadcast(panel.select("bar").distinct())), by)
-    moved = changes(w, bars, by)
-    earned = moved.join(panel.select("bar", "code", "fwd"), ["bar", "code"], "left")
-    g = earned.groupBy(*by, "bar").agg(F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.sum(F.abs("dw")).alias("turnover"), F.sum((F.col("w") != 0).cast("int")).alias("n_held"))
+    bars = calendar(panel.select("bar"))
+    held = w.select(*by, "bar", "code", "w").join(panel.select("bar", "code", "fwd"), ["bar", "code"], "left")
+    moved = changes(held, bars, by)
+    g = moved.groupBy(*by, "bar").agg(F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.sum(F.abs("dw")).alias("turnover"), F.sum((F.col("w") != 0).cast("int")).alias("n_held"))
     zero = F.lit(0.0)
-    full = bars.select(*by, "bar").join(g, [*by, "bar"], "left")
+    every = g.select(*by).distinct().crossJoin(F.broadcast(bars.select("bar"))) if by else bars.select("bar")
+    full = every.join(g, [*by, "bar"], "left")
     full = full.withColumn("gross", F.coalesce("gross", zero)).withColumn("turnover", F.coalesce("turnover", zero)).withColumn("n_held", F.coalesce("n_held", F.lit(0)))
     return full.withColumn("net", F.col("gross") - F.lit(cost) * F.col("turnover")).select(*by, "bar", "gross", "turnover", "net", "n_held")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -77,40 +78,101 @@ def risk_shares(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return part / part.sum() if part.sum() else np.zeros_like(w)
 
 
-def budget_weights(returns: DataFrame, shares: dict[int, float], method: str = "erc", weeks: int = 52, least: int = 26, group: str = "block") -> DataFrame:
-    """(bar, group, w, rc): weights of the groups at each bar from the returns of the `weeks` bars strictly before, and their parts of the risk.
-
-    returns(bar, group, ret, on). A group needs `least` returns; with fewer complete rows the covariance is the diagonal of their own variances. Groups that are switched
-    off (on = false) get zero and their part stays in cash. Each bar is solved alone, in parallel, from a bounded list of rows.
+def risk_budgets(cov: np.ndarray, shares: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """`risk_budget` for many share vectors, the rows of shares, on one covariance: all go through the Newton steps together."""
+    scale = np.sqrt(np.diag(cov))
+    out = np.zeros_like(shares, dtype=float)
+    some = shares > 0
+    for active in np.unique(some, axis=0):
+        rows = np.flatnonzero((some == active).all(axis=1))
+        p, c = shares[np.ix_(rows, active)], (cov / np.outer(scale, scale))[np.ix_(active, active)]
+        y, every = np.sqrt(p), np.arange(p.shape[1])
+        for _ in range(200):
+            hessian = np.repeat(c[None], len(y), axis=0)
+            hessian[:, every, every] += p / y**2
+            step = np.linalg.solve(hessian, (y @ c - p / y)[..., None])[..., 0]
+            size = np.ones((len(y), 1))
+            while (low := (y - size * step <= 0).any(axis=1)).any():
+                size[low] /= 2
+            y = y - size * step
+            if np.abs(step).max() < tolerance:
+                break
+        w = y / scale[active]
+        out[np.ix_(rows, active)] = w / w.sum(axis=1, keepdims=True)
+    return out
+
+
+def naive_budgets(cov: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """`naive_budget` for the rows of shares."""
+    w = np.sqrt(shares) / np.sqrt(np.diag(cov))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+METHODS = {"erc": risk_budgets, "naive": naive_budgets}
+
+
+def budget_grid(returns: DataFrame, policies: dict[str, dict], methods: tuple[str, ...] = ("erc",), weeks: int = 52, least: int = 26, group: str = "block", by: list[str] | None = None) -> DataFrame:
+    """(by, bar, policy, method, group, w, rc, on): weights of the groups under every policy and method at each bar, from the returns of the `weeks` bars strictly before.
+
+    returns(by, bar, group, ret, on), by: the cells whose groups these are; policies: name -> group -> share. A bar of a cell has one covariance, on which all policies are
+    solved in one call. A group needs `least` returns; with fewer complete rows the covariance is the diagonal of the groups' own variances. A policy without
+    a share in the groups that are there holds nothing. `on` (true where returns has none) is passed through: a group that is off is to be held as cash,
+    so both variants come from one solution. Bars are solved in parallel, from a bounded list of rows each.
     """
-    names = sorted(shares)
-    packed = returns.groupBy("bar").agg(F.map_from_entries(F.collect_list(F.struct(F.col(group), F.struct("ret", F.coalesce("on", F.lit(True)).alias("on"))))).alias("m"))
-    row = packed.select("bar", F.array(*[F.col("m")[F.lit(g)]["ret"] for g in names]).alias("r"), F.array(*[F.coalesce(F.col("m")[F.lit(g)]["on"], F.lit(True)) for g in names]).alias("on"))
+    by = by or []
+    names = sorted(next(iter(policies.values())))
+    target = np.array([[p[g] for g in names] for p in policies.values()], dtype=float)
+    tags = [(p, m) for m in methods for p in policies]
+    on = F.coalesce(F.col("on"), F.lit(True)) if "on" in returns.columns else F.lit(True)
+    packed = returns.withColumn("on", on).groupBy(*by, "bar").agg(F.map_from_entries(F.collect_list(F.struct(F.col(group), F.struct("ret", "on").alias("v")))).alias("m"))
+    row = packed.select(*by, "bar", F.array(*[F.col("m")[F.lit(g)]["ret"] for g in names]).alias("r"), F.array(*[F.coalesce(F.col("m")[F.lit(g)]["on"], F.lit(True)) for g in names]).alias("on"))
     # one short list of groups for each bar; a year of them for each solution
-    past = row.withColumn("past", F.collect_list("r").over(Window.partitionBy(F.lit(0)).orderBy("bar").rowsBetween(-weeks, -1))).repartition("bar")
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("bar").rowsBetween(-weeks, -1)
+    past = row.withColumn("past", F.collect_list("r").over(w)).repartition(*by, "bar").select(*by, "bar", "on", "past")
+    kinds = dict(returns.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target = np.array([shares[g] for g in names])
         for pdf in batches:
-            out = []
-            for bar, on, past in zip(pdf["bar"], pdf["on"], pdf["past"], strict=True):
+            out: list[tuple] = []
+            for *key, on, past in zip(*[pdf[c] for c in (*by, "bar", "on", "past")], strict=True):
                 x = np.array([list(p) for p in past], dtype=float).reshape(-1, len(names))
                 able = np.isfinite(x).sum(axis=0) >= least
-                w, rc = np.zeros(len(names)), np.zeros(len(names))
-                if able.any():
+                w, rc = np.zeros((len(methods), *target.shape)), np.zeros((len(methods), *target.shape))
+                held = np.flatnonzero(target[:, able].sum(axis=1) > 0)
+                if able.any() and len(held):
                     y = x[:, able]
                     whole = y[np.isfinite(y).all(axis=1)]
                     cov = shrunk_covariance(whole) if len(whole) >= least else np.diag(np.nanstd(y, axis=0, ddof=1) ** 2)
-                    p = target[able] / target[able].sum()
                     if (np.diag(cov) > 0).all():
-                        w[able] = (risk_budget if method == "erc" else naive_budget)(cov, p)
-                        rc[able] = risk_shares(w[able], cov)
-                w = np.where(np.array(list(on), bool), w, 0.0)
-                out += [(bar, g, float(a), float(b)) for g, a, b in zip(names, w, rc, strict=True)]
-            yield pd.DataFrame(out, columns=["bar", group, "w", "rc"])
+                        p = target[np.ix_(held, able)]
+                        p = p / p.sum(axis=1, keepdims=True)
+                        for i, m in enumerate(methods):
+                            v = METHODS[m](cov, p)
+                            part = v * (v @ cov)
+                            w[np.ix_([i], held, able)] = v
+                            rc[np.ix_([i], held, able)] = part / part.sum(axis=1, keepdims=True)
+                w, rc = w.reshape(-1, len(names)), rc.reshape(-1, len(names))
+                out += [(*key, *tag, g, float(w[i, j]), float(rc[i, j]), bool(on[j])) for i, tag in enumerate(tags) for j, g in enumerate(names)]
+            yield pd.DataFrame(out, columns=[*by, "bar", "policy", "method", group, "w", "rc", "on"])
 
-    kinds = dict(returns.dtypes)
-    return past.select("bar", "on", "past").mapInPandas(run, f"bar {kinds['bar']}, {group} {kinds[group]}, w double, rc double")
+    keys = "".join(f"{c} {kinds[c]}, " for c in [*by, "bar"])
+    return past.mapInPandas(run, f"{keys}policy string, method string, {group} {kinds[group]}, w double, rc double, on boolean")
+
+
+def budget_weights(returns: DataFrame, shares: dict[int, float], method: str = "erc", weeks: int = 52, least: int = 26, group: str = "block") -> DataFrame:
+    """(bar, group, w, rc) of one policy, see `budget_grid`; groups that are switched off (on = false) get zero and their part stays in cash."""
+    g = budget_grid(returns, {"": shares}, (method,), weeks, least, group)
+    return g.select("bar", group, F.when(F.col("on"), F.col("w")).otherwise(0.0).alias("w"), "rc")
+
+
+def share_grid(base: dict, step: float = 0.1) -> dict[str, dict]:
+    """Every combination of base moved by -step, 0 or step in each group, cut at zero and scaled to one; by a tag of the moves. The base itself isn't among them."""
+    out = {}
+    for moves in product((-1, 0, 1), repeat=len(base)):
+        raw = {g: max(0.0, v + m * step) for (g, v), m in zip(base.items(), moves, strict=True)}
+        if any(moves) and sum(raw.values()) > 0:
+            out["grid" + "".join(f"_{g}{m * step * 100:+.0f}" for g, m in zip(base, moves, strict=True))] = {g: v / sum(raw.values()) for g, v in raw.items()}
+    return out
 
 
 def to_names(group_w: DataFrame, within: DataFrame, group: str = "block") -> DataFrame:

@@ -52,7 +52,11 @@ def _vwap() -> Column:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, code, close, amount, qty) of days with trades; amount in whole cents, so that sums are exact in any order."""
+    """(date, code, close, amount, qty) of days with trades; amount in whole cents, so that sums are exact in any order. Stored, a row for each code and day."""
+    return stored(spark, sf_dir, "daily", ("lineitem",), lambda: _daily(spark, sf_dir))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     g = li.groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("code"))
     return g.agg(_vwap().alias("close"), F.sum(_cents("l_extendedprice")).alias("amount"), F.sum("l_quantity").alias("qty"))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[tuple, tuple] = {}
 
@@ -26,13 +27,26 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read back: what several later steps read is worked out once, and lost executors don't repeat it."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    return tuple(sorted(map(tuple, files.collect())))
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
-    """build()'s rows, written at first use and read back; written anew if the files of the tables it comes from are others."""
-    files = tuple(sorted(f for t in tables for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles()))
-    key = (spark.sparkContext.applicationId, shared(spark), name, files)
-    if key not in _written:
+    """build()'s rows, written at first use and read back; written anew if the files of the tables it comes from are others, or are longer or later."""
+    key = (spark.sparkContext.applicationId, shared(spark), name, sf_dir)
+    state = tuple(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+    if key not in _written or _written[key][0] != state:
         df, path = build(), fresh(spark, name)
         df.write.parquet(path)
-        _written[key] = path, df.schema
-    path, schema = _written[key]
+        _written[key] = state, path, df.schema
+    _, path, schema = _written[key]
     return spark.read.schema(schema).parquet(path)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div, normcdf, ramp, step
@@ -201,8 +199,9 @@ def two_layer_stats(spark, sf_dir):
 def budget_sensitivity(spark, sf_dir):
     """Mean group weights under the base policy, an equal one, and each axis moved by ten points."""
     sets = {"base": SHARES, "equal": dict.fromkeys(SHARES, 0.2)} | {f"g{g}{'+' if d > 0 else '-'}": risk.axis_shares(SHARES, g, d) for g in (0, 1) for d in (0.1, -0.1)}
-    parts = [group_budget(spark, sf_dir, shares=s).groupBy("block").agg(F.avg("w").alias("mean_w"), F.avg("rc").alias("mean_rc")).withColumn("policy", F.lit(n)) for n, s in sets.items()]
-    return reduce(DataFrame.unionByName, parts)
+    g = risk.budget_grid(risk.trend_gate(risk.composites(eligible(spark, sf_dir))), sets)
+    held = F.when(F.col("on"), F.col("w")).otherwise(0.0)
+    return g.groupBy("block", "policy").agg(F.avg(held).alias("mean_w"), F.avg("rc").alias("mean_rc"))
 
 
 # --- clusters --------------------------------------------------------------------------------------------------------
