@@ -9,6 +9,7 @@ from ..functions.scalars import div, normcdf, ramp, step
 from ..functions.stats import full, pearson as pearson_, rows
 from ..operators import book, cluster, hysteresis, ic, leverage, metrics, risk, universe, vol
 from ..plans import panel as P
+from ..plans import store
 from .core import _stats_sql, BOOK, IC, MEMBERS, Q, SQL, SUMMARY, eligible, factors, ics, long_book, net, query
 from .sql import KMOVED, KNET, pearson, ranks, sql
 
@@ -207,9 +208,12 @@ def budget_sensitivity(spark, sf_dir):
 # --- clusters --------------------------------------------------------------------------------------------------------
 
 
+def cluster_rows(spark, sf_dir):
+    return P.panel(spark, sf_dir).filter("member").select("bar", "code", "block", "ret", F.col("amt").alias("adv"), "sigma")
+
+
 def clustered(spark, sf_dir):
-    p = P.panel(spark, sf_dir).filter("member").select("bar", "code", "block", "ret", F.col("amt").alias("adv"))
-    return cluster.refresh(p)
+    return cluster.refresh(cluster_rows(spark, sf_dir))
 
 
 @query("annual_clusters")
@@ -217,6 +221,28 @@ def annual_clusters(spark, sf_dir):
     return clustered(spark, sf_dir)
 
 
+@query("cluster_k_choice")
+def cluster_k_choice(spark, sf_dir):
+    """Every number of clusters of each block and year: how far the representatives' book is from that of all names, and the one that is close enough."""
+    return cluster.k_choice(cluster_rows(spark, sf_dir))
+
+
+@query("rep_tracking_error")
+def rep_tracking_error(spark, sf_dir):
+    """Blocks by representatives, as many as are close enough, against blocks held whole: tracking error, Sharpe ratios and drawdowns by window."""
+    hold, c = block_books(spark, sf_dir), store.cut(cluster.refresh(cluster_rows(spark, sf_dir), ratio=0.2), "clusters")
+    rep = cluster.inherited(hold, c).join(P.instruments(spark, sf_dir).select("code", "block"), "code")
+    t = P.in_windows(store.cut(cluster.tracking(hold, rep, P.panel(spark, sf_dir)), "tracking"))
+    year = F.sqrt(F.lit(52.0))
+    d = F.stddev_samp("diff") * year
+    g = t.groupBy("block", "window").agg(d.alias("te"), (F.avg("diff") * 1e4).alias("diff_bp"))
+    both = t.unpivot(["block", "window", "bar"], ["hold", "rep"], "book", "net")
+    s = metrics.window_stats(both, ["block", "window", "book"]).groupBy("block", "window").agg(F.max("n_bars").alias("n_bars"), *[F.max(F.when(F.col("book") == b, F.col(c))).alias(f"{n}_{b}") for c, n in (("sharpe", "sharpe"), ("max_dd", "dd")) for b in ("hold", "rep")])
+    k = c.groupBy("block", "year").agg(F.count("*").alias("n"), F.max("k").alias("k")).groupBy("block").agg(F.avg("n").alias("mean_n"), F.avg("k").alias("mean_k"))
+    out = g.join(s, ["block", "window"]).join(F.broadcast(k), "block")
+    return out.withColumn("d_sharpe", F.col("sharpe_rep") - F.col("sharpe_hold")).withColumn("d_dd", F.col("dd_rep") - F.col("dd_hold"))
+
+
 @query("representative_book")
 def representative_book(spark, sf_dir):
     return cluster.reps_only(eligible(spark, sf_dir), clustered(spark, sf_dir))
