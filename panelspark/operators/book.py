@@ -163,3 +163,51 @@ def group_mixed(sub: DataFrame, groups: DataFrame, ever: DataFrame) -> DataFrame
     n = ever.groupBy("block").agg(F.count_distinct("code").alias("nb"))
     g = groups.join(n, "block").withColumn("ng", F.sum("nb").over(Window.partitionBy("grp")))
     return sub.join(F.broadcast(g), "block").select("bar", "code", (F.col("w") * F.col("share") * F.col("nb") / F.col("ng")).alias("w"))
+
+
+def picked(scored: DataFrame, eligible: DataFrame, q: float, group: str = "block", cell: str = "factor") -> DataFrame:
+    """(cell, bar, code, group, k): each cell's best names of each group, a share q of those that are eligible in it. scored(cell, bar, code, group, score), eligible(bar, code, group)."""
+    n = eligible.groupBy("bar", group).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(cell, "bar", group).orderBy(F.desc("score"), "code"))
+    ranked = scored.withColumn("_r", rank).join(n, ["bar", group]).withColumn("k", F.ceil(F.lit(q) * F.col("_n").cast("double")).cast("long"))
+    return ranked.filter("_r <= k").select(cell, "bar", "code", group, "k")
+
+
+def popularity_verdict(picks: DataFrame, eligible: DataFrame, null: str, group: str = "block", cell: str = "factor", like: float = 0.7, near: float = 0.2, apart: float = 0.5, rotates: float = 0.15) -> DataFrame:
+    """(cell, group, eff_n, null_n, top_presence, turnover, overlap, verdict) of every cell but `null`; null_n is the eff_n of `null`.
+
+    presence of a name: bars at which it is picked over bars at which it is eligible; eff_n: effective number of names by presence; turnover: names that come or go over twice k, at
+    every bar of the group, the first counting zero; overlap: mean Jaccard index with the picks of the cell `null`. INV_VOL_LIKE from an overlap of `like` on with an effective number
+    within `near` of the null's, ROTATIONAL up to `apart` when it turns over, else MIXED.
+    """
+    keys = [cell, group]
+    cells = picks.select(cell).distinct()
+    held = picks.groupBy(cell, "code").agg(F.count("*").alias("_h"))
+    could = eligible.groupBy(group, "code").agg(F.count("*").alias("_m"))
+    # cells are a short list
+    p = F.coalesce("_h", F.lit(0)) / F.col("_m")
+    presence = could.crossJoin(F.broadcast(cells)).join(held, [cell, "code"], "left").withColumn("p", p)
+    effective = presence.groupBy(*keys).agg(div(F.sum("p") * F.sum("p"), F.sum(F.col("p") * F.col("p"))).alias("eff_n"), F.max("p").alias("top_presence"))
+
+    bars = eligible.groupBy("bar", group).agg(F.count("*").alias("_n")).withColumn("_seq", F.row_number().over(Window.partitionBy(group).orderBy("bar")))
+    at = picks.join(bars.select("bar", group, "_seq"), ["bar", group])
+    order = Window.partitionBy(*keys, "code").orderBy("_seq")
+    comes = F.when(F.lag("_seq").over(order) == F.col("_seq") - 1, 0).otherwise(1)
+    goes = F.when(F.lead("_seq").over(order) == F.col("_seq") + 1, 0).otherwise(1)
+    steps = at.withColumn("_in", comes).withColumn("_out", goes)
+    moved = steps.select(*keys, F.col("_seq"), F.col("_in").alias("d")).union(steps.select(*keys, F.col("_seq") + 1, "_out")).groupBy(*keys, "_seq").agg(F.sum("d").alias("d"))
+    every = picks.select(*keys).distinct().join(bars, group).join(moved, [*keys, "_seq"], "left")
+    ks = picks.groupBy("bar", group).agg(F.max("k").alias("k"))
+    every = every.join(ks, ["bar", group], "left")
+    turn = F.when(F.col("_seq") == 1, 0.0).otherwise(F.coalesce("d", F.lit(0))) / (2.0 * F.col("k"))
+    turnover = every.groupBy(*keys).agg(F.avg(turn).alias("turnover"))
+
+    base = picks.filter(F.col(cell) == null).select("bar", "code", F.lit(1).alias("_z"))
+    sizes = picks.filter(F.col(cell) == null).groupBy("bar", group).agg(F.count("*").alias("_nz"))
+    both = picks.filter(F.col(cell) != null).join(base, ["bar", "code"], "left").groupBy(*keys, "bar").agg(F.count("*").alias("_a"), F.sum(F.coalesce("_z", F.lit(0))).alias("_b"))
+    overlap = both.join(sizes, ["bar", group]).groupBy(*keys).agg(F.avg(F.col("_b") / (F.col("_a") + F.col("_nz") - F.col("_b"))).alias("overlap"))
+    nulls = effective.filter(F.col(cell) == null).select(group, F.col("eff_n").alias("null_n"))
+    alike = F.abs(F.col("eff_n") - F.col("null_n")) / F.greatest("null_n", F.lit(1e-9)) <= near
+    verdict = F.when((F.col("overlap") >= like) & alike, "INV_VOL_LIKE").when((F.col("overlap") <= apart) & (F.col("turnover") >= rotates), "ROTATIONAL").otherwise("MIXED")
+    # one row for each group
+    return effective.join(turnover, keys).join(overlap, keys).join(F.broadcast(nulls), group, "left").select(*keys, "eff_n", "null_n", "top_presence", "turnover", "overlap", verdict.alias("verdict"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import book, daily, leverage
+from ..operators import book, daily, ic, leverage, metrics, ridge
 from ..plans import panel as P
+from ..plans import store
 from .books import keyed, keyed_net
-from .core import BOOK, Q, SQL, _stats_sql, eligible, long_book, net, query  # noqa: F401
+from .core import BOOK, Q, SQL, _stats_sql, eligible, ensemble_alpha, factors, long_book, net, query  # noqa: F401
 from .models import NW
 from .sql import sql
 
@@ -89,3 +90,88 @@ def bivariate_hedge(spark, sf_dir):
     both = P.in_windows(net(spark, sf_dir).select("bar", "net").join(wide, "bar").filter("bond is not null and equity is not null"))
     h = leverage.bivariate(both, "net", "bond", "equity", ["window"])
     return h.select("window", "n", *[F.round(c, 4).alias(c) for c in ("beta_bond", "beta_equity")], (F.col("alpha") * 52).alias("alpha_ann"), F.round("r2", 4).alias("r2"), F.round("hedged_sharpe", 4).alias("hedged_sharpe"))
+
+
+# --- ridge over a grid of penalties ----------------------------------------------------------------------------------
+
+RIDGED = [n for n in P.FACTORS if n != "amt"]
+
+
+def ridge_rows(spark, sf_dir):
+    """(bar, code, five factors' row z, y, fwd): y is the next return less the bar's mean."""
+    f = factors(spark, sf_dir).filter(F.col("factor").isin(*RIDGED))
+    z = f.withColumn("z", ic.row_z(f)).groupBy("bar", "code").pivot("factor", RIDGED).agg(F.first("z"))
+    y = P.panel(spark, sf_dir).filter("member").select("bar", "code", "fwd")
+    return store.cut(z.join(y, ["bar", "code"]).withColumn("y", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("bar"))), "ridge")
+
+
+def ridged(spark, sf_dir):
+    """(fits, forecasts) of all penalties and folds."""
+    rows = ridge_rows(spark, sf_dir)
+    placed = store.cut(ridge.folds(rows), "folds")
+    summed = ridge.products(rows.dropna(subset=[*RIDGED, "y"]).join(F.broadcast(placed.select("bar", "trains")), "bar"), RIDGED, "y")
+    fitted = store.cut(ridge.fits(summed, placed.filter("fold is not null")), "fits")
+    return placed, fitted, store.cut(ridge.forecasts(rows, placed, fitted, RIDGED), "forecasts")
+
+
+def ridge_ics(found):
+    """(alpha, n_bars and mean IC in sample and after it, chosen): the penalty of the highest mean IC in sample, the smaller one on ties."""
+    per_bar = ic.rank_ic(found, "pred", "fwd", ["alpha", "bar"])
+    inside = F.col("bar") <= P.IS_END
+    g = per_bar.groupBy("alpha").agg(*[F.count(F.when(w, F.col("ic"))).alias(f"{n}_bars") for n, w in (("is", inside), ("oos", ~inside))], *[F.avg(F.when(w, F.col("ic"))).alias(f"{n}_ic") for n, w in (("is", inside), ("oos", ~inside))])
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("is_ic", 9).desc_nulls_last(), "alpha"))
+    return g.withColumn("chosen", rank == 1)
+
+
+@query("ridge_grid")
+def ridge_grid(spark, sf_dir):
+    """Out-of-fold forecasts of every penalty: mean IC by period, and the one that is taken."""
+    return ridge_ics(ridged(spark, sf_dir)[2])
+
+
+@query("ridge_stability")
+def ridge_stability(spark, sf_dir):
+    """Of the penalty that is taken: do the last five folds that end in sample agree on the factors' signs."""
+    placed, fitted, found = ridged(spark, sf_dir)
+    taken = ridge_ics(found).filter("chosen").select("alpha")
+    ended = placed.filter("fold is not null").groupBy("fold").agg(F.max("bar").alias("last")).filter(F.col("last") <= P.IS_END).select("fold")
+    return ridge.stability(fitted.join(F.broadcast(taken), "alpha", "left_semi").join(F.broadcast(ended), "fold", "left_semi"), RIDGED)
+
+
+@query("ridge_blend")
+def ridge_blend(spark, sf_dir):
+    """The forecasts of the penalty that is taken, half and half by rank with the ensemble's score: performance of the book of each and of the blend."""
+    _, _, found = ridged(spark, sf_dir)
+    scored = found.join(F.broadcast(ridge_ics(found).filter("chosen").select("alpha")), "alpha", "left_semi").select("bar", "code", F.col("pred").alias("alpha"))
+    e = ensemble_alpha(spark, sf_dir).filter("alpha is not null").join(scored.select("bar").distinct(), "bar", "left_semi")
+    rivals = {"ridge": scored, "ensemble": e, "blend": ic.rank_blend(e, scored)}
+    sigma = eligible(spark, sf_dir).select("bar", "code", "sigma")
+    parts = [df.filter("alpha is not null").join(sigma, ["bar", "code"]).select(F.lit(n).alias("cell"), "bar", "code", "alpha", "sigma", F.lit(0.2).alias("q"), F.lit("inv_vol").alias("sizing")) for n, df in rivals.items()]
+    series = store.cut(keyed_net(spark, sf_dir, parts[0].union(parts[1]).union(parts[2])), "series")
+    return metrics.window_stats(P.in_windows(series), ["cell", "window"]).filter("n_bars >= 2")
+
+
+# --- popularity ------------------------------------------------------------------------------------------------------
+
+POPULAR = [
+    ("elig", "SELECT bar, code, block, sigma FROM members WHERE bar <= DATE '1998-12-31'"),
+    ("pscore", "SELECT f.factor, e.bar, e.code, e.block, f.value AS score FROM elig e JOIN factors f ON e.bar = f.bar AND e.code = f.code WHERE f.value IS NOT NULL AND f.factor <> 'lowvol' UNION ALL SELECT 'null', bar, code, block, -sigma FROM elig"),
+    ("nb", "SELECT bar, block, count(*) AS nb FROM elig GROUP BY bar, block"),
+    ("pick", "SELECT * FROM (SELECT p.*, nb, ceil(0.2::DOUBLE * nb)::BIGINT AS k, row_number() OVER (PARTITION BY factor, p.bar, p.block ORDER BY score DESC, code) AS rk FROM pscore p JOIN nb ON nb.bar = p.bar AND nb.block = p.block) WHERE rk <= k"),
+    ("pres", "SELECT c.factor, e.block, e.code, coalesce(n, 0) / e.m AS p FROM (SELECT DISTINCT factor FROM pick) c CROSS JOIN (SELECT block, code, count(*)::DOUBLE AS m FROM elig GROUP BY block, code) e LEFT JOIN (SELECT factor, code, count(*) AS n FROM pick GROUP BY factor, code) k ON k.factor = c.factor AND k.code = e.code"),
+    ("effn", "SELECT factor, block, sum(p) * sum(p) / nullif(sum(p * p), 0) AS eff_n, max(p) AS top_presence FROM pres GROUP BY factor, block"),
+    ("bix", "SELECT block, bar, nb, lag(bar) OVER (PARTITION BY block ORDER BY bar) AS prior FROM nb"),
+    ("moved_", "SELECT factor, block, bar, sum(d) AS d FROM (SELECT factor, block, bar, code, abs(sum(x)) AS d FROM (SELECT factor, block, bar, code, 1 AS x FROM pick UNION ALL SELECT p.factor, p.block, b.bar, p.code, -1 FROM pick p JOIN bix b ON b.block = p.block AND b.prior = p.bar) GROUP BY ALL) GROUP BY factor, block, bar"),
+    ("churn_", "SELECT f.factor, b.block, avg(CASE WHEN prior IS NULL THEN 0.0 ELSE coalesce(d, 0) END / (2.0 * ceil(0.2::DOUBLE * nb))) AS turnover FROM (SELECT DISTINCT factor, block FROM pick) f JOIN bix b ON b.block = f.block LEFT JOIN moved_ m ON m.factor = f.factor AND m.block = f.block AND m.bar = b.bar GROUP BY f.factor, b.block"),
+    ("over", "SELECT factor, block, avg(j) AS overlap FROM (SELECT a.factor, a.block, a.bar, sum(a.both_)::DOUBLE / (any_value(a.n) + any_value(m.n) - sum(a.both_)) AS j FROM (SELECT p.factor, p.block, p.bar, (z.code IS NOT NULL)::INT AS both_, count(*) OVER (PARTITION BY p.factor, p.block, p.bar) AS n FROM pick p LEFT JOIN pick z ON z.factor = 'null' AND z.bar = p.bar AND z.code = p.code WHERE p.factor <> 'null') a JOIN (SELECT bar, block, count(*) AS n FROM pick WHERE factor = 'null' GROUP BY bar, block) m ON m.bar = a.bar AND m.block = a.block GROUP BY a.factor, a.block, a.bar) GROUP BY factor, block"),
+]
+
+
+@query("popularity_verdict", sql("SELECT f.factor, f.block, round(eff_n, 4) AS eff_n, round(top_presence, 6) AS top_presence, round(turnover, 6) AS turnover, round(overlap, 6) AS overlap, round(null_n, 4) AS null_n, CASE WHEN overlap >= 0.7 AND abs(eff_n - null_n) / greatest(null_n, 1e-9) <= 0.2 THEN 'INV_VOL_LIKE' WHEN overlap <= 0.5 AND turnover >= 0.15 THEN 'ROTATIONAL' ELSE 'MIXED' END AS verdict FROM effn f JOIN churn_ c ON c.factor = f.factor AND c.block = f.block JOIN over o ON o.factor = f.factor AND o.block = f.block LEFT JOIN (SELECT block, eff_n AS null_n FROM effn WHERE factor = 'null') z ON z.block = f.block WHERE f.factor <> 'null'", *POPULAR, base="factors"))
+def popularity_verdict(spark, sf_dir):
+    """Which names each factor picks within each block in sample: how many there are in effect, how they turn over, and whether they are those of the lowest volatility."""
+    m = eligible(spark, sf_dir).filter(F.col("bar") <= P.IS_END).select("bar", "code", "block", "sigma")
+    f = factors(spark, sf_dir).filter("value is not null and factor <> 'lowvol'").select("factor", "bar", "code", F.col("value").alias("score"))
+    scored = m.drop("sigma").join(f, ["bar", "code"]).select("factor", "bar", "code", "block", "score").union(m.select(F.lit("null").alias("factor"), "bar", "code", "block", (-F.col("sigma")).alias("score")))
+    out = book.popularity_verdict(store.cut(book.picked(scored, m, 0.2), "picks"), m, "null")
+    return out.select("factor", "block", F.round("eff_n", 4).alias("eff_n"), F.round("null_n", 4).alias("null_n"), "top_presence", "turnover", "overlap", "verdict")
