@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import book, daily, ic, leverage, metrics, ridge
+from ..functions.scalars import probit_sql
+from ..operators import book, daily, hysteresis, ic, leverage, metrics, ridge
 from ..plans import panel as P
 from ..plans import store
-from .books import keyed, keyed_net
-from .core import BOOK, Q, SQL, _stats_sql, eligible, ensemble_alpha, factors, long_book, net, query  # noqa: F401
-from .models import NW
-from .sql import sql
+from .books import SCREEN, SCREENED, keyed, keyed_net, screen_cell
+from .core import BLOCK_DEDUP, BOOK, CAL, EZ, Q, SQL, _stats_sql, block_dedup, by_strength, eligible, ensemble_alpha, factors, long_book, net, query, walk_sql  # noqa: F401
+from .models import NW, replace_steps
+from .sql import KMOVED, KNET, pearson, ranks, sql
 
 # --- day by day ------------------------------------------------------------------------------------------------------
 
@@ -175,3 +176,153 @@ def popularity_verdict(spark, sf_dir):
     scored = m.drop("sigma").join(f, ["bar", "code"]).select("factor", "bar", "code", "block", "score").union(m.select(F.lit("null").alias("factor"), "bar", "code", "block", (-F.col("sigma")).alias("score")))
     out = book.popularity_verdict(store.cut(book.picked(scored, m, 0.2), "picks"), m, "null")
     return out.select("factor", "block", F.round("eff_n", 4).alias("eff_n"), F.round("null_n", 4).alias("null_n"), "top_presence", "turnover", "overlap", "verdict")
+
+
+# --- screens driven by their own result ------------------------------------------------------------------------------
+
+_SCREEN_ST = ("st", _stats_sql('cell, "window"', 'SELECT cell, bar, net, win AS "window" FROM knet JOIN windows ON bar BETWEEN lo AND hi'))
+TO_BOOK = [
+    *SCREEN,
+    _SCREEN_ST,
+    ("scr", SCREENED),
+    ("passing", "SELECT * FROM scr WHERE is_sharpe >= 0.5 AND oos_sharpe >= 0.2 AND oos_sharpe / nullif(is_sharpe, 0) >= 0.3"),
+    ("g2", f"SELECT cell, bar, code, {probit_sql('u')} AS g FROM (SELECT cell, bar, code, CASE WHEN count(alpha) OVER (PARTITION BY cell, bar) >= 3 THEN ({ranks('alpha', 'cell, bar')} - 0.5) / count(alpha) OVER (PARTITION BY cell, bar) END AS u FROM kmem JOIN passing USING (cell))"),
+    ("strength", "SELECT 0 AS block, cell AS factor, full_sharpe AS z FROM passing"),
+    ("rhos", f"SELECT 0 AS block, a.cell AS f1, b.cell AS f2, coalesce({pearson('a.g', 'b.g')}, 0.0) AS rho FROM g2 a JOIN g2 b ON a.bar = b.bar AND a.code = b.code AND a.cell < b.cell WHERE a.g IS NOT NULL AND b.g IS NOT NULL GROUP BY 2, 3"),
+    *walk_sql(0.3),
+    ("ensx", "SELECT bar, code, round(avg(z), 9) AS alpha FROM (SELECT cell, bar, code, (alpha - avg(alpha) OVER w) / nullif(stddev_samp(alpha) OVER w, 0) AS z FROM kmem WINDOW w AS (PARTITION BY cell, bar)) JOIN walk ON cell = factor AND kept WHERE z IS NOT NULL GROUP BY bar, code"),
+    ("mem", "SELECT e.bar, e.code, block, e.alpha, sigma, fwd FROM ensx e JOIN members m ON m.bar = e.bar AND m.code = e.code"),
+    *BOOK[1:3],
+    *BOOK[4:],
+    ("stx", _stats_sql('"window"', 'SELECT bar, net, win AS "window" FROM net JOIN windows ON bar BETWEEN lo AND hi')),
+]
+
+
+def passing_cells(spark, sf_dir):
+    """(cell, full_sharpe) of the factors and polarities that pass the screen, from the series of a costed book of each."""
+    return store.cut(screen_cell(spark, sf_dir).filter("passed").select("cell", "full_sharpe"), "passing")
+
+
+@query("screen_to_book", sql('SELECT stx.*, (SELECT count(*) FROM passing) AS n_passed, (SELECT count(*) FROM walk WHERE kept) AS n_kept FROM stx', *TO_BOOK, base="factors"))
+def screen_to_book(spark, sf_dir):
+    """From the screen to a book: what passes, less what correlates with a better one, as the mean of row z, held by the best fifth. What is kept is a table that is joined on."""
+    kept = passing_cells(spark, sf_dir)
+    f = factors(spark, sf_dir).filter("value is not null").crossJoin(F.broadcast(spark.createDataFrame([(1,), (-1,)], "pol int")))
+    f = f.withColumn("factor", F.concat("factor", F.when(F.col("pol") == 1, "+").otherwise("-"))).withColumn("value", F.col("value") * F.col("pol"))
+    # a row for each factor and polarity at most
+    some = store.cut(f.join(F.broadcast(kept.select(F.col("cell").alias("factor"))), "factor", "left_semi"), "passing-values")
+    ranked = ic.gaussian_rank(some, "value", ["factor", "bar"]).select("factor", "bar", "code", F.col("g").alias("value"))
+    rho = ic.correlations(ranked, 2).withColumn("one", F.lit(0))
+    order = by_strength(kept.select(F.lit(0).alias("one"), F.col("cell").alias("factor"), F.col("full_sharpe").alias("z")), ["one"])
+    taken = store.cut(ic.dedup(order, rho, 0.3, ["one"]).filter("kept").select("factor"), "kept")
+    e = ic.ensemble(some, taken.withColumn("sign", F.lit(1.0))).withColumn("alpha", F.round("alpha", 9))
+    m = eligible(spark, sf_dir).drop("alpha").join(e.filter("alpha is not null"), ["bar", "code"])
+    series = book.run_book(book.static_weights(m), P.panel(spark, sf_dir))
+    n = kept.agg(F.count("*").alias("n_passed")).crossJoin(taken.agg(F.count("*").alias("n_kept")))
+    # one row of counts
+    return metrics.window_stats(P.in_windows(series), ["window"]).filter("n_bars >= 2").crossJoin(F.broadcast(n))
+
+
+# --- books within blocks ---------------------------------------------------------------------------------------------
+
+STRONG = 0.5
+_HELD = "greatest(1, ceil(0.2::DOUBLE * (count(*) OVER p))::BIGINT)"
+_INSIDE = f"bar <= DATE '{P.IS_END}'"
+
+
+def _null_books(df, block="block"):
+    """(cell, bar, code, w): every name of each block, alike and by inverse volatility."""
+    both = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([("eqw",), ("inv_vol",)], "sizing string")))
+    return _sized(both.withColumn("cell", F.concat_ws("|", block, F.lit("null"), "sizing")))
+
+
+def _sized(df):
+    """(cell, bar, code, w) of df(cell, bar, code, sigma, sizing)."""
+    raw = F.when(F.col("sizing") == "eqw", 1.0).otherwise(1 / F.col("sigma"))
+    return df.withColumn("_r", raw).withColumn("w", F.col("_r") / F.sum("_r").over(Window.partitionBy("cell", "bar"))).select("cell", "bar", "code", "w")
+
+
+def _against_nulls(spark, sf_dir, books, names):
+    """(cell parts, performance in sample, differences from the block's null books, passes) of books(cell, bar, code, w); cells begin with their block."""
+    m = factors(spark, sf_dir).filter("factor = 'lowvol'").select("bar", "code", "block", "sigma")
+    series = store.cut(book.run_book(books.unionByName(_null_books(m)), P.panel(spark, sf_dir), ["cell"]).filter(F.col("bar") <= P.IS_END), "within")
+    s = metrics.window_stats(series, ["cell"]).join(series.groupBy("cell").agg(F.avg("turnover").alias("turnover")), "cell")
+    part = F.split("cell", r"\|")
+    s = store.cut(s.withColumn("block", part[0].cast("long")), "within-stats")
+    null = part[1] == "null"
+    hurdles = s.filter(null).groupBy("block").agg(*[F.max(F.when(part[2] == z, F.col(c))).alias(f"_{c}_{z}") for z, c in (("eqw", "sharpe"), ("inv_vol", "sharpe"), ("eqw", "cagr"))])
+    # one row for each block
+    j = s.filter(~null).join(F.broadcast(hurdles), "block")
+    better = (F.col("sharpe") > F.greatest("_sharpe_eqw", "_sharpe_inv_vol")) & (F.col("cagr") >= F.col("_cagr_eqw"))
+    return j.select("block", *[part[i + 1].alias(n) for i, n in enumerate(names)], "sharpe", "cagr", "max_dd", "ann_vol", "turnover", (F.col("sharpe") - F.col("_sharpe_eqw")).alias("d_sharpe_eqw"), (F.col("sharpe") - F.col("_sharpe_inv_vol")).alias("d_sharpe_inv_vol"), (F.col("cagr") - F.col("_cagr_eqw")).alias("d_cagr_eqw"), better.alias("passes"))
+
+
+def kept_within(spark, sf_dir):
+    """(block, factor, z): what each block's dedup keeps, with its strength in sample; and (block, factor, bar, code, sigma, score): standard scores of those, better is higher."""
+    f = factors(spark, sf_dir)
+    z = ic.ic_summary(ic.rank_ic(f.filter(F.col("bar") <= P.IS_END), by=["factor", "block", "bar"]), ["block", "factor"]).select("block", "factor", "z")
+    kept = store.cut(block_dedup(spark, sf_dir).filter("kept and factor <> 'amt'").select("block", "factor").join(z, ["block", "factor"]), "kept-within")
+    scored = ic.expanding_z(f.join(F.broadcast(kept), ["block", "factor"]).withColumnRenamed("z", "_strength"), "value")
+    sign = F.when(F.col("_strength") < 0, -1.0).otherwise(1.0)
+    return kept, store.cut(scored.filter("z is not null").select("block", "factor", "bar", "code", "sigma", (F.round(F.col("z") * sign, 7) + 0.0).alias("score")), "scores-within")
+
+
+WITHIN = [
+    *BLOCK_DEDUP,
+    ("keptw", "SELECT w.block, w.factor, s.z FROM walk w JOIN strength s ON s.block = w.block AND s.factor = w.factor WHERE kept AND w.factor <> 'amt'"),
+    EZ,
+    ("ws", "SELECT e.block, e.factor, bar, code, sigma, round(e.z * CASE WHEN k.z < 0 THEN -1.0 ELSE 1.0 END, 7) + 0.0 AS score FROM ez e JOIN keptw k ON k.block = e.block AND k.factor = e.factor WHERE e.z IS NOT NULL"),
+    CAL,
+]
+_SIZED = "SELECT cell || '|' || sizing AS cell, bar, code, raw / sum(raw) OVER (PARTITION BY cell, sizing, bar) AS w FROM (SELECT cell, sizing, bar, code, CASE WHEN sizing = 'eqw' THEN 1.0::DOUBLE ELSE 1 / sigma END AS raw FROM ({source}) CROSS JOIN (VALUES ('eqw'), ('inv_vol')) z(sizing))"
+_NULLS = "SELECT block::VARCHAR || '|null' AS cell, bar, code, sigma FROM factors WHERE factor = 'lowvol'"
+
+
+def _against_sql(names: list[str]) -> list[tuple[str, str]]:
+    """Steps from rheld to the rows, `judged`."""
+    parts = ", ".join(f"split_part(cell, '|', {i + 2}) AS {n}" for i, n in enumerate(names))
+    return [
+        ("kbook", _SIZED.format(source="SELECT cell, r.bar, r.code, sigma FROM rheld r JOIN (SELECT bar, code, sigma FROM factors WHERE factor = 'lowvol') f ON f.bar = r.bar AND f.code = r.code") + " UNION ALL " + _SIZED.format(source=_NULLS)),
+        KMOVED,
+        KNET,
+        ("st", _stats_sql("cell", f"SELECT cell, bar, net FROM knet WHERE {_INSIDE}")),
+        ("stt", f"SELECT st.*, split_part(st.cell, '|', 1)::BIGINT AS block, round(turnover, 6) AS turnover FROM st JOIN (SELECT cell, avg(turnover) AS turnover FROM knet WHERE {_INSIDE} GROUP BY cell) t ON t.cell = st.cell"),
+        ("hurd", "SELECT block, max(CASE WHEN cell LIKE '%|eqw' THEN sharpe END) AS se, max(CASE WHEN cell LIKE '%|inv_vol' THEN sharpe END) AS si, max(CASE WHEN cell LIKE '%|eqw' THEN cagr END) AS ce FROM stt WHERE cell LIKE '%|null|%' GROUP BY block"),
+        ("judged", f"SELECT stt.block, {parts}, sharpe, cagr, max_dd, ann_vol, turnover, round(sharpe - se, 5) + 0.0 AS d_sharpe_eqw, round(sharpe - si, 5) + 0.0 AS d_sharpe_inv_vol, round(cagr - ce, 5) + 0.0 AS d_cagr_eqw, sharpe > greatest(se, si) AND cagr >= ce AS passes FROM stt JOIN hurd USING (block) WHERE cell NOT LIKE '%|null|%'"),
+    ]
+
+
+def _coarse(df):
+    return df.select(*[F.round(c, 5).alias(c) if c.startswith("d_") else F.col(c) for c in df.columns])
+
+
+@query("block_solo_vs_null", sql("SELECT * FROM judged", *WITHIN, *replace_steps(f"SELECT block::VARCHAR || '|' || factor AS cell, bar, code, row_number() OVER (PARTITION BY block, factor, bar ORDER BY score DESC, code) AS rk, count(*) OVER p AS n, {_HELD} AS k, 0.2::DOUBLE AS epsilon FROM ws WINDOW p AS (PARTITION BY block, factor, bar)"), *_against_sql(["factor", "sizing"]), base="factors"))
+def block_solo_vs_null(spark, sf_dir):
+    """Each kept factor alone within its block under the replace rule, in both sizings, against holding the block: it passes with a higher Sharpe ratio than either null book and no less growth than the plain one."""
+    _, scored = kept_within(spark, sf_dir)
+    cell = F.concat_ws("|", "block", "factor")
+    held = hysteresis.replace_book(scored.select(cell.alias("cell"), "bar", "code", F.col("score").alias("alpha")), P.panel(spark, sf_dir), 0.2, 0.2, ["cell"])
+    sigma = P.panel(spark, sf_dir).select("bar", "code", "sigma")
+    both = held.join(sigma, ["bar", "code"]).crossJoin(F.broadcast(spark.createDataFrame([("eqw",), ("inv_vol",)], "sizing string")))
+    return _coarse(_against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["factor", "sizing"]))
+
+
+PREFIXES = (1, 2, 3)
+_ENS_K = " UNION ALL ".join(f"SELECT block, bar, code, '{k}' AS k, avg(z) AS alpha FROM rz WHERE pos <= {k} AND size > {k} GROUP BY block, bar, code" for k in PREFIXES)
+
+
+@query("block_ensemble_sweep", sql("SELECT * FROM judged", *WITHIN, ("pool", f"SELECT block, factor, row_number() OVER (PARTITION BY block ORDER BY round(abs(z), 9) DESC, factor) AS pos, count(*) OVER (PARTITION BY block) AS size FROM keptw WHERE abs(z) >= {STRONG}"), ("rz", "SELECT w.block, w.factor, bar, code, pos, size, (score - avg(score) OVER g) / nullif(stddev_samp(score) OVER g, 0) AS z FROM ws w JOIN pool p ON p.block = w.block AND p.factor = w.factor WINDOW g AS (PARTITION BY w.block, w.factor, bar)"), ("pens", f"SELECT block, bar, code, k, round(alpha, 7) + 0.0 AS alpha FROM ({_ENS_K} UNION ALL SELECT block, bar, code, 'all', avg(z) FROM rz GROUP BY block, bar, code) WHERE alpha IS NOT NULL"), *replace_steps(f"SELECT block::VARCHAR || '|' || kk || '|' || eps AS cell, bar, code, row_number() OVER (PARTITION BY block, kk, eps, bar ORDER BY alpha DESC, code) AS rk, count(*) OVER p AS n, {_HELD} AS k, eps::DOUBLE AS epsilon FROM (SELECT block, bar, code, k AS kk, alpha FROM pens) CROSS JOIN (VALUES ('0.0'), ('0.2')) e(eps) WINDOW p AS (PARTITION BY block, kk, eps, bar)"), *_against_sql(["k", "epsilon", "sizing"]), base="factors"))
+def block_ensemble_sweep(spark, sf_dir):
+    """The strongest one, two, three and all of a block's kept factors, as means of their row z, in both bands and sizings, against holding the block. All prefixes are means of one pass."""
+    kept, scored = kept_within(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.round(F.abs("z"), 9).desc(), "factor"))
+    pool = kept.filter(F.abs("z") >= STRONG).withColumn("pos", rank).withColumn("size", F.count("*").over(Window.partitionBy("block"))).drop("z")
+    z = scored.join(F.broadcast(pool), ["block", "factor"])
+    z = z.withColumn("z", ic.row_z(z, "score", ["block", "factor", "bar"]))
+    means = z.groupBy("block", "bar", "code").agg(*[F.avg(F.when((F.col("pos") <= k) & (F.col("size") > k), F.col("z"))).alias(str(k)) for k in PREFIXES], F.avg("z").alias("all"))
+    long = means.unpivot(["block", "bar", "code"], [*map(str, PREFIXES), "all"], "k", "alpha").withColumn("alpha", F.round("alpha", 7) + 0.0).filter("alpha is not null")
+    bands = F.broadcast(spark.createDataFrame([(0.0,), (0.2,)], "epsilon double"))
+    cells = long.crossJoin(bands).withColumn("cell", F.concat_ws("|", "block", "k", F.format_string("%.1f", "epsilon"))).select("cell", "bar", "code", "alpha", "epsilon")
+    held = hysteresis.replace_book(cells, P.panel(spark, sf_dir), 0.2, F.col("epsilon"), ["cell"])
+    both = held.join(P.panel(spark, sf_dir).select("bar", "code", "sigma"), ["bar", "code"]).crossJoin(F.broadcast(spark.createDataFrame([("eqw",), ("inv_vol",)], "sizing string")))
+    return _coarse(_against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["k", "epsilon", "sizing"]))
