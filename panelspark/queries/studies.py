@@ -248,6 +248,7 @@ def _against_nulls(spark, sf_dir, books, names):
     series = store.cut(book.run_book(books.unionByName(_null_books(m)), P.panel(spark, sf_dir), ["cell"]).filter(F.col("bar") <= P.IS_END), "within")
     s = metrics.window_stats(series, ["cell"]).join(series.groupBy("cell").agg(F.avg("turnover").alias("turnover")), "cell")
     part = F.split("cell", r"\|")
+    s = s.withColumns({c: F.round(c, 6) for c in ("sharpe", "cagr")})
     s = store.cut(s.withColumn("block", part[0].cast("long")), "within-stats")
     null = part[1] == "null"
     hurdles = s.filter(null).groupBy("block").agg(*[F.max(F.when(part[2] == z, F.col(c))).alias(f"_{c}_{z}") for z, c in (("eqw", "sharpe"), ("inv_vol", "sharpe"), ("eqw", "cagr"))])
@@ -288,14 +289,10 @@ def _against_sql(names: list[str]) -> list[tuple[str, str]]:
         ("st", _stats_sql("cell", f"SELECT cell, bar, net FROM knet WHERE {_INSIDE}")),
         ("stt", f"SELECT st.*, split_part(st.cell, '|', 1)::BIGINT AS block, round(turnover, 6) AS turnover FROM st JOIN (SELECT cell, avg(turnover) AS turnover FROM knet WHERE {_INSIDE} GROUP BY cell) t ON t.cell = st.cell"),
         ("hurd", "SELECT block, max(CASE WHEN cell LIKE '%|eqw' THEN sharpe END) AS se, max(CASE WHEN cell LIKE '%|inv_vol' THEN sharpe END) AS si, max(CASE WHEN cell LIKE '%|eqw' THEN cagr END) AS ce FROM stt WHERE cell LIKE '%|null|%' GROUP BY block"),
-        ("judged", f"SELECT stt.block, {parts}, sharpe, cagr, max_dd, ann_vol, turnover, round(sharpe - se, 5) + 0.0 AS d_sharpe_eqw, round(sharpe - si, 5) + 0.0 AS d_sharpe_inv_vol, round(cagr - ce, 5) + 0.0 AS d_cagr_eqw, sharpe > greatest(se, si) AND cagr >= ce AS passes FROM stt JOIN hurd USING (block) WHERE cell NOT LIKE '%|null|%'"),
+        ("judged", f"SELECT stt.block, {parts}, sharpe, cagr, max_dd, ann_vol, turnover, round(sharpe - se, 6) + 0.0 AS d_sharpe_eqw, round(sharpe - si, 6) + 0.0 AS d_sharpe_inv_vol, round(cagr - ce, 6) + 0.0 AS d_cagr_eqw, sharpe > greatest(se, si) AND cagr >= ce AS passes FROM stt JOIN hurd USING (block) WHERE cell NOT LIKE '%|null|%'"),
     ]
 
 
-def _coarse(df):
-    return df.select(*[F.round(c, 5).alias(c) if c.startswith("d_") else F.col(c) for c in df.columns])
-
-
 @query("block_solo_vs_null", sql("SELECT * FROM judged", *WITHIN, *replace_steps(f"SELECT block::VARCHAR || '|' || factor AS cell, bar, code, row_number() OVER (PARTITION BY block, factor, bar ORDER BY score DESC, code) AS rk, count(*) OVER p AS n, {_HELD} AS k, 0.2::DOUBLE AS epsilon FROM ws WINDOW p AS (PARTITION BY block, factor, bar)"), *_against_sql(["factor", "sizing"]), base="factors"))
 def block_solo_vs_null(spark, sf_dir):
     """Each kept factor alone within its block under the replace rule, in both sizings, against holding the block: it passes with a higher Sharpe ratio than either null book and no less growth than the plain one."""
@@ -304,7 +301,7 @@ def block_solo_vs_null(spark, sf_dir):
     held = hysteresis.replace_book(scored.select(cell.alias("cell"), "bar", "code", F.col("score").alias("alpha")), P.panel(spark, sf_dir), 0.2, 0.2, ["cell"])
     sigma = P.panel(spark, sf_dir).select("bar", "code", "sigma")
     both = held.join(sigma, ["bar", "code"]).crossJoin(F.broadcast(spark.createDataFrame([("eqw",), ("inv_vol",)], "sizing string")))
-    return _coarse(_against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["factor", "sizing"]))
+    return _against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["factor", "sizing"])
 
 
 PREFIXES = (1, 2, 3)
@@ -325,4 +322,4 @@ def block_ensemble_sweep(spark, sf_dir):
     cells = long.crossJoin(bands).withColumn("cell", F.concat_ws("|", "block", "k", F.format_string("%.1f", "epsilon"))).select("cell", "bar", "code", "alpha", "epsilon")
     held = hysteresis.replace_book(cells, P.panel(spark, sf_dir), 0.2, F.col("epsilon"), ["cell"])
     both = held.join(P.panel(spark, sf_dir).select("bar", "code", "sigma"), ["bar", "code"]).crossJoin(F.broadcast(spark.createDataFrame([("eqw",), ("inv_vol",)], "sizing string")))
-    return _coarse(_against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["k", "epsilon", "sizing"]))
+    return _against_nulls(spark, sf_dir, _sized(both.withColumn("cell", F.concat_ws("|", "cell", "sizing"))), ["k", "epsilon", "sizing"])
