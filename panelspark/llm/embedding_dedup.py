@@ -8,10 +8,12 @@ smallest id stands for it. For the others a neighbour graph is refined:
   with a new neighbour take part again. Rounds end when they find few new links;
 * an audit compares a bounded sample of vectors with all of their label. While recall is
   below `recall`, further trees and rounds follow.
-Neighbours at or over the threshold are links, and links give components. A vector all of whose k neighbours
-are links is saturated: it is compared with all of its label, block by block, where one link for each two components is kept, and
-these join components that no list connects. Counts come from comparing enlarged components in blocks, so no group gives its pairs and
-no partner is capped. If the last audit is still below `recall`, all vectors are compared so, which is exact.
+Neighbours at or over the threshold are links, and links give components. A vector all of whose k neighbours are links is
+saturated: its list is enlarged to twice its length and its neighbours, and those whose neighbour it is, are compared with each other again, until it has room or
+`LIST_MOST` places. Components of more vectors than that can't lie in lists of this length (they would be all pairs), so their lists don't grow: what is saturated
+in the end is compared with all of its label, block by block, where one link for each two components is kept, and these join components that no list
+connects. Counts of such components come from comparing them in blocks, so no group gives its pairs and no partner is capped. If the last audit is still
+below `recall`, all vectors are compared so, which is exact.
 
 Edge cases: vectors that are null, zero, empty, or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of other lengths never link; rows with
@@ -32,6 +34,8 @@ from .topk import finite
 
 THRESHOLD, K, TREES, LEAF, SEED = 0.93, 10, 8, 48, 7
 RECALL, AUDIT, ROUNDS, TRIES = 0.97, 200, 4, 4
+#: Places of the longest list.
+LIST_MOST = 160
 BITS = 24
 _PAIRS = "node long, nbr long, sim double"
 
@@ -73,11 +77,14 @@ def classes(vectors: DataFrame) -> DataFrame:
     return kept.groupBy("label", "dims", "vec").agg(F.min("node").alias("node"), F.count("*").alias("size"))
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each node; pairs(node, nbr, sim, born)."""
+def nearest(pairs: DataFrame, k: int, caps: DataFrame | None = None) -> DataFrame:
+    """The k nearest of each node, or as many as caps(node, cap) says; pairs(node, nbr, sim, born)."""
     best = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
     once = pairs.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
-    return once.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    ranked = once.withColumn("r", F.row_number().over(best))
+    if caps is None:
+        return ranked.filter(F.col("r") <= k).drop("r")
+    return ranked.join(caps, "node", "left").filter(F.col("r") <= F.coalesce("cap", F.lit(k))).drop("r", "cap")
 
 
 def leaves(points: DataFrame, trees: int, k: int, seed: int) -> DataFrame:
@@ -154,6 +161,50 @@ def refined(graph: DataFrame, points: DataFrame, k: int, born: int) -> DataFrame
     return groups.mapInArrow(compare, _PAIRS)
 
 
+def enlarged(graph: DataFrame, points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(node, nbr, sim) of links of the nodes in asked(node), found by comparing their neighbours with each other. graph(node, nbr), lists of k at most."""
+    back = Window.partitionBy("nbr").orderBy(F.desc("sim"), "node")
+    turned = graph.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= k).select(F.col("nbr").alias("center"), "node")
+    own = asked.select(F.col("node").alias("center"), "node")
+    members = graph.select(F.col("node").alias("center"), F.col("nbr").alias("node")).union(turned).join(asked.withColumnRenamed("node", "center"), "center", "left_semi").union(own).distinct()
+    known = points.select("node", "vec").join(asked.withColumn("asks", F.lit(True)), "node", "left")
+    groups = members.join(known, "node").groupBy("center").agg(F.collect_list(F.struct("node", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))).alias("m")).select("m")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for group in b.column(0):
+                node, x, more = _vectors(group, ("asks",))
+                mine = np.flatnonzero(more["asks"])
+                sim = x[mine] @ x.T
+                sim[np.arange(len(mine)), mine] = -2
+                i, j = np.nonzero(sim >= THRESHOLD)
+                out.append((node[mine[i]], node[j], sim[i, j]))
+            if out:
+                yield _pairs(*map(np.concatenate, zip(*out, strict=True)))
+
+    return groups.mapInArrow(compare, _PAIRS)
+
+
+def grown(graph: DataFrame, points: DataFrame, k: int, born: int) -> tuple[DataFrame, DataFrame]:
+    """The graph with longer lists for saturated nodes, and (node, cap) of these. Only nodes of components of at most LIST_MOST nodes ask: all their links fit in a list."""
+    links = graph.filter(F.col("sim") >= THRESHOLD)
+    roots = C.components(links.select(F.col("node").alias("a"), F.col("nbr").alias("b")))
+    small = C.cut(roots.join(roots.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") <= LIST_MOST), "root").select("node"), "small")
+    caps = points.sparkSession.createDataFrame([], "node long, cap int")
+    size = k
+    while size < LIST_MOST:
+        full = graph.filter(F.col("sim") >= THRESHOLD).groupBy("node").agg(F.count("*").alias("n")).join(caps, "node", "left").filter(F.col("n") >= F.coalesce("cap", F.lit(k))).select("node")
+        asked = C.cut(full.join(small, "node", "left_semi"), "saturated")
+        if asked.isEmpty():
+            break
+        size = min(2 * size, LIST_MOST)
+        caps = C.cut(caps.join(asked, "node", "left_anti").union(asked.select("node", F.lit(size))), "caps")
+        more = enlarged(graph, points, asked, size).withColumn("born", F.lit(born))
+        graph = C.cut(nearest(graph.union(more), k, caps), "graph")
+    return graph, caps
+
+
 def block_counts(points: DataFrame, block: int = 512) -> DataFrame:
     """(node, linked): how many vectors, copies counted, each links with in its own group. points(grp, node, vec, size)."""
     sizes = points.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
@@ -250,19 +301,20 @@ def groups(vectors: DataFrame, k: int = K, trees: int = TREES, recall: float = R
                 if links - before <= 0.001 * links:
                     break
             found = graph
+            graph, caps = grown(graph, points, k, born + ROUNDS)
         linked = graph.filter(F.col("sim") >= THRESHOLD)
         edges = linked.select(F.col("node").alias("a"), F.col("nbr").alias("b"))
         roots = C.components(edges)
-        full = points.select("node") if exact else linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node")
+        full = points.select("node") if exact else linked.groupBy("node").agg(F.count("*").alias("n")).join(caps, "node", "left").filter(F.col("n") >= F.coalesce("cap", F.lit(k))).select("node")
         rooted = points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         across = C.cut(bridges(rooted, full), "bridges")
         if not across.isEmpty():
             roots = C.components(edges.union(across))
         wide = roots.join(full, "node", "left_semi").select("root").distinct()
-        enlarged = block_counts(points.join(roots.join(wide, "root", "left_semi"), "node").select(F.col("root").alias("grp"), "node", "vec", "size"))
+        in_blocks = block_counts(points.join(roots.join(wide, "root", "left_semi"), "node").select(F.col("root").alias("grp"), "node", "vec", "size"))
         both = linked.select("node", "nbr").union(linked.select("nbr", "node")).distinct()
         listed = both.join(points.select(F.col("node").alias("nbr"), "size"), "nbr").groupBy("node").agg(F.sum("size").alias("listed"))
-        counts = points.select("node").join(listed, "node", "left").join(enlarged, "node", "left").select("node", F.coalesce("linked", "listed", F.lit(0).cast("long")).alias("linked"))
+        counts = points.select("node").join(listed, "node", "left").join(in_blocks, "node", "left").select("node", F.coalesce("linked", "listed", F.lit(0).cast("long")).alias("linked"))
         counts = C.cut(counts, "counts")
         if exact or audit(points, counts) >= recall:
             break

@@ -174,7 +174,8 @@ def in_order(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"_o{i}") for i in range(len(order or []))] or [F.col("doc_id")]
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])])
-    return some.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "doc_id", F.xxhash64("text")).select("doc_id", "text")
+    ties = [F.col("doc_id")] if order else []
+    return some.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *ties, F.xxhash64("text")).select("doc_id", "text")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON, order: list[str] | None = None) -> DataFrame:
