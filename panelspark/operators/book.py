@@ -51,7 +51,7 @@ def changes(w: DataFrame, bars: DataFrame, by: list[str] | None = None, first: s
     numbers leave a gap, and a row before a gap has an exit after it.
     """
     by = by or []
-    after = Window.orderBy("seq")
+    after = Window.partitionBy(F.lit(0)).orderBy("seq")
     days = F.broadcast(bars.select("bar", "seq", F.lead("bar").over(after).alias("_next")))
     order = Window.partitionBy(*by, "code").orderBy("seq")
     at = w.join(days, "bar")
@@ -211,3 +211,30 @@ def popularity_verdict(picks: DataFrame, eligible: DataFrame, null: str, group:
     verdict = F.when((F.col("overlap") >= like) & alike, "INV_VOL_LIKE").when((F.col("overlap") <= apart) & (F.col("turnover") >= rotates), "ROTATIONAL").otherwise("MIXED")
     # one row for each group
     return effective.join(turnover, keys).join(overlap, keys).join(F.broadcast(nulls), group, "left").select(*keys, "eff_n", "null_n", "top_presence", "turnover", "overlap", verdict.alias("verdict"))
+
+
+def marginal_churn(w: DataFrame, ranked: DataFrame, bars: DataFrame, band: int = 2) -> DataFrame:
+    """(bar, code, event, distance, marginal): entries and exits with how far the name's rank at the bar is from the last place held, inside positive; a name that is no longer eligible has none.
+
+    w(bar, code, w), ranked(bar, code, rk, k) of eligible names. marginal: within `band` places.
+    """
+    log = churn(w, bars).select("bar", "code", "event").join(ranked.select("bar", "code", "rk", "k"), ["bar", "code"], "left")
+    d = F.col("k") - F.col("rk")
+    return log.select("bar", "code", "event", d.cast("int").alias("distance"), F.coalesce(F.abs(d) <= band, F.lit(False)).alias("marginal"))
+
+
+def top_turnover(series: DataFrame, refreshes: DataFrame, top: int = 5, cost: float = COST) -> DataFrame:
+    """(bar, turnover, share, drag_bp, refresh): the bars that trade most, their part of all turnover, what they cost, and whether a book is made anew there. A report of `top` rows."""
+    marked = series.join(F.broadcast(refreshes.select(F.col("refresh").alias("bar"), F.lit(True).alias("refresh"))), "bar", "left")
+    total = series.agg(F.sum("turnover").alias("_t"))
+    best = marked.orderBy(F.desc(F.round("turnover", 9)), "bar").limit(top)
+    # one row of totals
+    return best.crossJoin(F.broadcast(total)).select("bar", "turnover", div("turnover", "_t").alias("share"), (F.col("turnover") * cost * 1e4).alias("drag_bp"), F.coalesce("refresh", F.lit(False)).alias("refresh"))
+
+
+def transition_costs(share: DataFrame, series: DataFrame, cost: float = COST) -> DataFrame:
+    """(moved, n, mean_step, mean_turnover, cost_bp): bars at which the share of a blend moves against those at which it stays: turnover, and its cost in basis points a year. share(bar, share), a row a bar."""
+    w = Window.partitionBy(F.lit(0)).orderBy("bar")
+    step = F.abs(F.col("share") - F.lag("share").over(w))
+    s = share.withColumn("step", F.coalesce(step, F.lit(0.0))).join(series, "bar")
+    return s.groupBy((F.col("step") > 0).alias("moved")).agg(F.count("*").alias("n"), F.avg("step").alias("mean_step"), F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * cost * 52 * 1e4).alias("cost_bp"))

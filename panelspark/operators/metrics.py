@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +78,11 @@ def runs(df: DataFrame, state: str, by: list[str]) -> DataFrame:
     changed = F.coalesce(~F.col(state).eqNullSafe(F.lag(state).over(w)), F.lit(True)) | (F.row_number().over(w) == 1)
     marked = df.withColumn("_c", changed.cast("int")).withColumn("run", F.sum("_c").over(w))
     return marked.groupBy(*by, "run", state).agg(F.min("bar").alias("start"), F.max("bar").alias("end"), F.count("*").alias("length"))
+
+
+def without(df: DataFrame, strips: list[tuple[str, str, str]]) -> DataFrame:
+    """df with `strip`: once as it is (`none`), once without each of (name, from, to), once without all of them (`all`). The ranges are a short list."""
+    inside = {n: F.col("bar").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))) for n, a, b in strips}
+    every = reduce(or_, inside.values())
+    kept = F.array(F.lit("none"), *[F.when(~c, n) for n, c in inside.items()], F.when(~every, "all"))
+    return df.withColumn("strip", F.explode(F.array_compact(kept)))

@@ -74,7 +74,9 @@ def fits(summed: DataFrame, tests: DataFrame, alphas: tuple[float, ...] = ALPHAS
             m[i] += v
         value, vector = np.linalg.eigh(m[:-1, :-1])
         turned = vector.T @ m[:-1, -1]
-        return pd.DataFrame([(*key, a, n, (vector @ (turned / (value + a))).tolist()) for a in alphas], columns=["fold", "alpha", "n", "beta"])
+        # without a penalty directions that the rows don't have get nothing
+        least_value = 1e-12 * max(value.max(), 0.0)
+        return pd.DataFrame([(*key, a, n, (vector @ np.where(value + a > least_value, turned / np.maximum(value + a, least_value or 1.0), 0.0)).tolist()) for a in alphas], columns=["fold", "alpha", "n", "beta"])
 
     return met.groupBy("fold").applyInPandas(solve, "fold int, alpha double, n long, beta array<double>")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import div, friday, probit, qlike
 from ..functions.stats import full, pearson, rows, slope
+from . import ridge
 
 
 def realised(daily: DataFrame, least: int = 3) -> DataFrame:
@@ -41,29 +42,19 @@ def har_features(g: DataFrame, value: str = "g") -> DataFrame:
     return out.withColumn("target", F.lead(value).over(w)).withColumn("target_bar", F.lead("bar").over(w))
 
 
-def gram(df: DataFrame, xs: list[str], y: str, by: list[str], weight: Column | None = None) -> DataFrame:
-    """(by, n, m): sums of products of (xs, y), upper triangle in a row-major list, of rows where all are there."""
-    names = [*xs, y]
-    weight = F.lit(1.0) if weight is None else weight
-    some = df.dropna(subset=names)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    return some.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(weight * F.col(a) * F.col(b)) for a, b in pairs]).alias("m"))
-
-
 def unpacked(m, size: int) -> np.ndarray:
     out = np.zeros((size, size))
     out[np.triu_indices(size)] = m
     return out + np.triu(out, 1).T
 
 
-def walk_forward(panel: DataFrame, xs: list[str], y: str, first: int = 52, every: int = 4, ridge: float = 0.0, least: int = 0, purge: int = 0, demean_by: str | None = None) -> DataFrame:
+def walk_forward(panel: DataFrame, xs: list[str], y: str, first: int = 52, every: int = 4, penalty: float = 0.0, least: int = 0, purge: int = 0, demean_by: str | None = None) -> DataFrame:
     """panel with `pred`: linear forecasts whose coefficients are refitted every `every` dates on all dates before (less `purge`), from `first` dates on.
 
-    Spark sums each date's products of features once; their running sums, a matrix of the number of features for each
-    date, are small and make every fit. Fits go back as a table and meet the rows by date. With `demean_by` rows are taken relative to that
-    key's mean over the rows before the date, a fixed effect that doesn't look ahead.
+    Tasks sum the products of features up by the fit that they first enter; each fit adds up the sums that came before it and is solved in a task (`ridge`). Fits
+    go back as a short table and meet the rows by date. With `demean_by` rows are taken relative to that key's mean over the rows before the date, a fixed effect that doesn't look ahead.
     """
-    spark = panel.sparkSession
+    names, target = xs, y
     if demean_by:
         before = Window.partitionBy(demean_by).orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
         panel = panel.withColumn("_level", F.coalesce(F.avg(y).over(before), F.lit(0.0)))
@@ -71,29 +62,15 @@ def walk_forward(panel: DataFrame, xs: list[str], y: str, first: int = 52, every
         for x in xs:
             panel = panel.withColumn(f"_{x}", F.col(x) - F.coalesce(F.avg(x).over(before), F.lit(0.0)))
         names, target = [f"_{x}" for x in xs], "_y"
-    else:
-        names, target = xs, y
-    # one row for each date, of fixed width
-    sums = gram(panel, names, target, ["bar"]).orderBy("bar").collect()
-    size, fits = len(xs) + 1, []
-    total, count, taken = np.zeros((size, size)), 0, 0
-    beta = None
-    for i, row in enumerate(sums):
-        while taken <= i - 1 - purge:
-            total += unpacked(sums[taken]["m"], size)
-            count += sums[taken]["n"]
-            taken += 1
-        if i >= first and (i - first) % every == 0 and count >= least:
-            a = total[:-1, :-1] + ridge * np.eye(size - 1)
-            beta = np.linalg.lstsq(a, total[:-1, -1], rcond=None)[0]
-        if beta is not None:
-            fits.append((row["bar"], [float(b) for b in beta]))
-    table = spark.createDataFrame(fits, f"bar {dict(panel.dtypes)['bar']}, beta array<double>")
-    joined = panel.join(F.broadcast(table), "bar", "left")
+    whole = panel.dropna(subset=[*names, target])
+    placed = ridge.folds(whole, first - purge, every, purge)
+    summed = ridge.products(whole.join(F.broadcast(placed.select("bar", "trains")), "bar"), names, target)
+    # a row for each fit
+    table = F.broadcast(placed.select("bar", "fold").join(ridge.fits(summed, placed.filter("fold is not null"), (penalty,), least).select("fold", "beta"), "fold").drop("fold"))
     forecast = sum((F.col("beta")[i] * F.col(x) for i, x in enumerate(names)), F.lit(0.0))
     if demean_by:
         forecast = forecast + F.col("_level")
-    return joined.withColumn("pred", forecast).drop("beta", "_level", "_y", *[f"_{x}" for x in xs])
+    return panel.join(table, "bar", "left").withColumn("pred", forecast).drop("beta", "_level", "_y", *[f"_{x}" for x in xs])
 
 
 def pooled_forecast(panel: DataFrame, xs: list[str], y: str, group: str = "block", by: str = "code", first: int = 52, every: int = 4, balanced: bool = True, spare: int = 10) -> DataFrame:

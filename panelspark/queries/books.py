@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div
+from ..functions.scalars import div, k_of
 from ..functions.stats import rows
 from ..operators import book, files, hysteresis, metrics, risk
 from ..plans import panel as P
@@ -48,9 +48,12 @@ def sizing_stats(spark, sf_dir):
     return metrics.window_stats(keyed_net(spark, sf_dir, m), ["cell"])
 
 
-@query("cell_tags", sql("SELECT cell, q, sizing FROM params", ("params", SIZINGS), base="windows"))
+@query("cell_tags", sql("SELECT cell, q, sizing, round(avg(greatest(1, ceil(q * n))), 6) AS mean_k, count(*) AS bars FROM params CROSS JOIN (SELECT bar, count(*) AS n FROM mem GROUP BY bar) GROUP BY cell, q, sizing", MEMBERS, ("params", SIZINGS)))
 def cell_tags(spark, sf_dir):
-    return params(spark)
+    """The cells of the grid by their tags, and how many names each holds: a cross join of parameters with the bars."""
+    n = eligible(spark, sf_dir).groupBy("bar").agg(F.count("*").alias("n"))
+    both = n.crossJoin(F.broadcast(params(spark))).withColumn("k", k_of("n", F.col("q")))
+    return both.groupBy("cell", "q", "sizing").agg(F.avg("k").alias("mean_k"), F.count("*").alias("bars"))
 
 
 @query("sizing_grid", sql("SELECT * FROM st JOIN params USING (cell)", *GRID))

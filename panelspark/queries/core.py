@@ -266,9 +266,9 @@ def indexed_membership(spark, sf_dir):
     """
     days = P.daily(spark, sf_dir).select("date").distinct()
     names = catalogue(spark, sf_dir)
-    last = days.agg(F.max("date").alias("last"))
-    dense = names.crossJoin(F.broadcast(last)).select("code", "list_date", "delist_date", F.explode(F.sequence("list_date", "last")).alias("date"))
-    dense = dense.join(days.withColumn("day", F.row_number().over(Window.orderBy("date"))), "date")
+    numbered = days.withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
+    # a row for each trading day is short; names meet those since they were listed
+    dense = names.join(F.broadcast(numbered), F.col("date") >= F.col("list_date"))
     g = gated(spark, sf_dir).select("code", "date", F.struct("floor_ok", "pctl_ok", "adv").alias("state"))
     state = universe.as_of(dense, g, "state", at="date").withColumn("season", in_season("date")).select("code", "date", "day", "season", F.coalesce("state.floor_ok", F.lit(False)).alias("f"), F.coalesce("state.pctl_ok", F.lit(False)).alias("p"), "state.adv")
     passing = state.filter("season and f and p and adv is not null").join(P.instruments(spark, sf_dir).select("code", "idx"), "code")

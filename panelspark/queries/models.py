@@ -406,7 +406,7 @@ def ridge_walk_forward(spark, sf_dir):
     z = f.withColumn("z", ic.row_z(f)).groupBy("bar", "code").pivot("factor", names).agg(F.first("z"))
     y = P.panel(spark, sf_dir).filter("member").select("bar", "code", "fwd")
     j = z.join(y, ["bar", "code"]).withColumn("y", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("bar")))
-    scored = vol.walk_forward(j, names, "y", first=78, every=13, ridge=10.0, least=100, purge=1)
+    scored = vol.walk_forward(j, names, "y", first=78, every=13, penalty=10.0, least=100, purge=1)
     return ic.rank_ic(scored.filter("pred is not null"), "pred", "fwd", ["bar"])
 
 

@@ -62,3 +62,35 @@ def test_stability(spark):
     got = {r.factor: r for r in R.stability(spark.createDataFrame(rows, "fold int, alpha double, n long, beta array<double>"), ["a", "b"]).collect()}
     assert (got["a"].median, got["a"].sign, got["a"].matches, got["a"].of) == (2.0, 1, 4, 5)
     assert (got["b"].sign, got["b"].matches) == (0, 0)
+
+
+def test_walk_forward_with_levels(spark, rows):
+    """Least squares on what is left over a name's mean before the date, refitted as time goes on."""
+    from panelspark.operators import vol
+
+    df = spark.createDataFrame(rows, "bar date, code int, a double, b double, c double, y double")
+    got = {(r.bar, r.code): r.pred for r in vol.walk_forward(df, ["a", "b"], "y", first=10, every=4, purge=1, demean_by="code").collect()}
+    assert len(got) == len(rows)
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+    past, left = {}, []
+    for r in sorted(rows):
+        before = past.setdefault(r[1], ([], [], []))
+        level = [mean(x) for x in before]
+        left.append((r[0], r[1], *(None if v is None else v - m for v, m in zip((r[2], r[3], r[5]), level)), level[2]))
+        for x, v in zip(before, (r[2], r[3], r[5])):
+            if v is not None:
+                x.append(v)
+    bars = sorted({r[0] for r in left if None not in r})
+    beta, checked = None, 0
+    for i, bar in enumerate(bars):
+        if i >= 10 and (i - 10) % 4 == 0:
+            train = [r for r in left if None not in r and r[0] in bars[: i - 1]]
+            beta = np.linalg.lstsq(np.array([r[2:4] for r in train]), np.array([r[4] for r in train]), rcond=None)[0]
+        for r in left:
+            if r[0] == bar:
+                if beta is None or r[2] is None or r[3] is None:
+                    assert got[r[0], r[1]] is None
+                else:
+                    assert got[r[0], r[1]] == pytest.approx(float(np.dot(r[2:4], beta)) + r[5])
+                    checked += 1
+    assert checked > 80
