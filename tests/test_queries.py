@@ -4,12 +4,13 @@ import importlib
 import sys
 
 import pytest
-from panelspark.queries import books, core, models
+from panelspark.queries import books, core, layers, models, reports, studies
 
 from .compare import connect, duck_rows, spark_rows
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = core.Q | models.Q | books.Q, core.SQL | models.SQL | books.SQL
+MODULES = (core, models, books, layers, reports, studies)
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, n).items()} for n in ("Q", "SQL"))
 
 
 @pytest.fixture(scope="module")
