@@ -238,3 +238,42 @@ def transition_costs(share: DataFrame, series: DataFrame, cost: float = COST) ->
     step = F.abs(F.col("share") - F.lag("share").over(w))
     s = share.withColumn("step", F.coalesce(step, F.lit(0.0))).join(series, "bar")
     return s.groupBy((F.col("step") > 0).alias("moved")).agg(F.count("*").alias("n"), F.avg("step").alias("mean_step"), F.avg("turnover").alias("mean_turnover"), (F.avg("turnover") * cost * 52 * 1e4).alias("cost_bp"))
+
+
+def keyed_sides(df: DataFrame, by: str = "cell") -> DataFrame:
+    """df(by, bar, code, alpha, q, two) with `side`: static books of all cells in one plan, the best share q by alpha, and where `two` is true the worst as well."""
+    ranked = eligible_k(df, F.col("q"), F.col("two"), [by])
+    side = F.when(F.col("rk") <= F.col("k"), 1).when(F.col("two") & (F.col("rk") > F.col("n") - F.col("k")), -1)
+    return ranked.withColumn("side", side).filter("side is not null")
+
+
+def keyed_sized(held: DataFrame, by: str = "cell") -> DataFrame:
+    """(by, bar, code, w) of held(by, bar, code, side, alpha, sigma, sizing, two): each cell's own sizing, a side adding up to one, or to a half where there are two."""
+    g = Window.partitionBy(by, "bar", "side")
+    n, low, high = F.count("*").over(g), F.min("alpha").over(g), F.max("alpha").over(g)
+    s = F.col("sizing")
+    raw = F.when(s == "eqw", F.lit(1.0)).when(s == "inv_vol", 1 / F.col("sigma")).when(s == "inv_sqrt_vol", 1 / F.sqrt("sigma"))
+    raw = raw.when(s == "rank_prop", (n - first_rank("alpha", [by, "bar", "side"]) + 1).cast("double"))
+    raw = raw.when(s == "alpha_prop", F.col("alpha") - low + F.greatest((high - low) / n, F.lit(TINY)))
+    total = F.col("side") * F.when(F.col("two"), 0.5).otherwise(1.0)
+    return held.withColumn("_raw", raw).select(by, "bar", "code", (total * div(F.col("_raw"), F.sum("_raw").over(g))).alias("w"))
+
+
+def attributed(w: DataFrame, panel: DataFrame, by: str = "cell", cost: float = COST) -> DataFrame:
+    """(by, bar, gross, selection, sizing, turnover, cost, net, n_held, d_held): each cell's series with turnover by names that come or go and by names that stay.
+
+    Every bar of the panel has a row in every cell; the first deployment is paid. d_held: by how many the number of names held has moved.
+    """
+    bars = calendar(panel.select("bar"))
+    held = w.select(by, "bar", "code", "w").join(panel.select("bar", "code", "fwd"), ["bar", "code"], "left")
+    moved = changes(held, bars, [by], first="paid")
+    both = (F.col("w") != 0) & (F.col("prev") != 0)
+    size, zero = F.abs("dw"), F.lit(0.0)
+    g = moved.groupBy(by, "bar").agg(
+        F.sum(F.col("w") * F.coalesce("fwd", zero)).alias("gross"), F.sum(F.when(both, zero).otherwise(size)).alias("selection"), F.sum(F.when(both, size).otherwise(zero)).alias("sizing"), F.sum((F.col("w") != 0).cast("long")).alias("n_held")
+    )
+    # a row for each cell and week
+    every = g.select(by).distinct().crossJoin(F.broadcast(bars.select("bar"))).join(g, [by, "bar"], "left").na.fill(0.0, ["gross", "selection", "sizing"]).na.fill(0, ["n_held"])
+    every = every.withColumn("turnover", F.col("selection") + F.col("sizing")).withColumn("cost", F.col("turnover") * cost).withColumn("net", F.col("gross") - F.col("cost"))
+    before = F.lag("n_held").over(Window.partitionBy(by).orderBy("bar"))
+    return every.withColumn("d_held", F.coalesce(F.abs(F.col("n_held") - before), F.lit(0)))

@@ -27,8 +27,10 @@ def buffer_book(df: DataFrame, q: float, epsilon: float, bars: DataFrame) -> Dat
 
 
 def _refilled(codes: list, held: set, k: int, trim: str) -> set:
-    """One bar of the replace rule. codes: those up to the exit rank, in order; held ones among them stay, the first others fill up to k."""
+    """One bar of the replace rule. codes: those up to the exit rank, in order; held ones among them stay, the first others fill up to k. `buffer`: all of the first k come in."""
     kept = [c for c in codes if c in held]
+    if trim == "buffer":
+        return {*kept, *codes[:k]}
     if trim == "worst_rank":
         kept = kept[:k]
     new = set(kept)
@@ -43,7 +45,8 @@ def replace_book(df: DataFrame, bars: DataFrame, q: float | Column, epsilon: flo
     """(by, bar, code, side) held under the replace rule; with two sides the short one uses ranks from below, and names on both sides belong to neither.
 
     df(by, bar, code, alpha) of eligible names; bars(bar): all bars in order, a row a week, so broadcast: at a bar at which a book has no names, or none to
-    hold, it is empty and starts anew. trim: `as_published` lets a book stay larger than k after k shrinks, `worst_rank` cuts it to k.
+    hold, it is empty and starts anew. trim: `as_published` lets a book stay larger than k after k shrinks, `worst_rank` cuts it to k, `buffer` is the other rule, under which
+    every name of the first k ranks comes in and the book may be as large as the exit rank; `buffer_book` is faster for long books alone.
 
     The rule couples all names of a book, so a book (by: its cell or block) is one ordered stream: only names up to the exit rank, which alone can stay or come in, are
     shuffled by book and sorted by bar and rank; the names held are carried from batch to batch. Books go in parallel; what is in memory is one bar of one book.

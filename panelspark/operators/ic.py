@@ -152,7 +152,7 @@ def rank_blend(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:
     return ranked(a, weight).unionByName(ranked(b, 1 - weight)).groupBy("bar", "code").agg(F.avg("v").alias("alpha"))
 
 
-def eligible_k(df: DataFrame, q: float | Column, long_short: bool = False, by: list[str] | None = None) -> DataFrame:
+def eligible_k(df: DataFrame, q: float | Column, long_short: Column | bool = False, by: list[str] | None = None) -> DataFrame:
     """df with n, k and rank (first in code on ties) of each bar's names by alpha, within `by`."""
     keys = [*(by or []), "bar"]
     n = F.count("*").over(Window.partitionBy(*keys))

@@ -86,3 +86,18 @@ def without(df: DataFrame, strips: list[tuple[str, str, str]]) -> DataFrame:
     every = reduce(or_, inside.values())
     kept = F.array(F.lit("none"), *[F.when(~c, n) for n, c in inside.items()], F.when(~every, "all"))
     return df.withColumn("strip", F.explode(F.array_compact(kept)))
+
+
+def cost_summary(df: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each of `by`: gross and net performance, what trading costs in basis points a year, and which part of turnover is resizing. df: see book.attributed, of at least two bars each."""
+    root, year = F.sqrt(F.lit(float(WEEKS))), float(WEEKS) * 1e4
+    n = F.count("*")
+    out = [n.alias("n_bars")]
+    for side in ("gross", "net"):
+        mean, total = F.avg(side), F.sum(side)
+        cagr = F.pow(F.greatest(1 + total, F.lit(1e-9)), 1 / F.greatest(n / float(WEEKS), F.lit(1e-3))) - 1
+        out += [F.coalesce(div(mean, F.stddev_samp(side)) * root, F.lit(0.0)).alias(f"{side}_sharpe"), (mean * WEEKS).alias(f"{side}_ann_ret"), cagr.alias(f"{side}_cagr")]
+    means = {"turnover": "turnover", "selection": "selection", "sizing": "sizing", "held": "n_held", "held_change": "d_held"}
+    out += [(F.avg("cost") * year).alias("cost_bp"), *[F.avg(c).alias(a) for a, c in means.items()]]
+    dear = F.when(F.avg("gross") > 0, F.avg("cost") / F.avg("gross"))
+    return df.groupBy(*by).agg(*out, F.coalesce(div(F.avg("sizing"), F.avg("turnover")), F.lit(0.0)).alias("sizing_share"), dear.alias("cost_of_gross")).filter("n_bars >= 2")

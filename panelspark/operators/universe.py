@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import full, rows
@@ -111,3 +113,38 @@ def tagged(df: DataFrame, name: str, kind: str, rules: list[tuple[str, str | Non
     first = reduce(lambda done, i: done.when(hit[i], F.lit(i)), range(1, len(rules)), F.when(hit[0], F.lit(0)))
     names = F.array(*[F.lit(t) for _, _, t in rules])
     return df.withColumn("rule", first.otherwise(F.lit(-1))).withColumn("tag", F.when(F.col("rule") < 0, default).otherwise(F.get(names, F.col("rule"))))
+
+
+class Universe(NamedTuple):
+    """names(code, block), and membership(bar, code) of those that are in at a bar; None where the names are fixed and always in."""
+
+    names: DataFrame
+    membership: DataFrame | None
+
+
+def persist(names: DataFrame, membership: DataFrame, path: str) -> None:
+    """What `load` reads: names(code, block) and the member rows (bar, code)."""
+    names.select("code", "block").write.parquet(f"{path}/names")
+    membership.select("bar", "code").write.parquet(f"{path}/membership")
+
+
+def load(spark: SparkSession, version: str, path: str) -> Universe:
+    """The universe that was persisted, in one of its versions: `static`, the list of names, or `dynamic`, the names that were ever admitted with the bars at which they are in.
+
+    An error where nothing is persisted, the version is unknown, or a member has no block or more than one.
+    """
+    if version not in ("static", "dynamic"):
+        raise ValueError(f"no version {version!r} of the universe: static or dynamic")
+    try:
+        names = spark.read.parquet(f"{path}/names").select("code", "block")
+        if version == "static":
+            return Universe(names, None)
+        membership = spark.read.parquet(f"{path}/membership").select("bar", "code")
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no {version} universe at {path}") from missing
+    admitted = membership.select("code").distinct()
+    tagged = admitted.join(names, "code", "left")
+    wrong = tagged.groupBy("code").agg(F.count("block").alias("n")).filter("n <> 1").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{path}: {wrong[0]['code']} has {wrong[0]['n']} blocks")
+    return Universe(tagged, membership)

@@ -29,11 +29,13 @@ def hysteresis_buffer(spark, sf_dir):
     return book.sized(held, "inv_vol", ["bar"]).select("bar", "code", "w")
 
 
-def replace_steps(source: str, trim: bool = False, long_short: bool = False) -> list[tuple[str, str]]:
+def replace_steps(source: str, trim: bool = False, long_short: bool = False, buffer: bool = False) -> list[tuple[str, str]]:
     """Steps from (cell, bar, code, rk, n, k, epsilon) to the replace rule's names, rheld(cell, bar, code, side): bar by bar, the held names a list."""
 
     def after(codes: str, held: str) -> str:
         kept = f"list_filter({codes}, lambda c: list_contains({held}, c))" + ("[1:k]" if trim else "")
+        if buffer:
+            return f"CASE WHEN k IS NULL OR k = 0 OR {codes} IS NULL THEN []::BIGINT[] ELSE list_concat({kept}, list_filter({codes}[1:k], lambda c: NOT list_contains({held}, c))) END"
         return f"CASE WHEN k IS NULL OR k = 0 OR {codes} IS NULL THEN []::BIGINT[] ELSE list_concat({kept}, list_filter({codes}, lambda c: NOT list_contains({held}, c))[1:greatest(0, k - len({kept}))]) END"
 
     short = after("scodes", "short") if long_short else "[]::BIGINT[]"

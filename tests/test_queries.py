@@ -4,12 +4,12 @@ import importlib
 import sys
 
 import pytest
-from panelspark.queries import books, core, layers, models, reports, studies
+from panelspark.queries import books, core, layers, models, reports, studies, sweeps
 
 from .compare import connect, duck_rows, spark_rows
 
 SMALL = "/root/testdata/sf0.001"
-MODULES = (core, models, books, layers, reports, studies)
+MODULES = (core, models, books, layers, reports, studies, sweeps)
 QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, n).items()} for n in ("Q", "SQL"))
 
 
