@@ -40,7 +40,8 @@ def slope(y: Column | str, x: Column | str, least: int = 2, over: WindowSpec | N
 def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Ranks from 1 within `by`, ties sharing their mean; null for null."""
     order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    tied = Window.partitionBy(*by, value)
+    # ties are the rows of equal order, so one sort serves both
+    tied = order.rangeBetween(Window.currentRow, Window.currentRow)
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(tied) - 1) / 2.0))
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,15 +98,61 @@ def half_split(ics: DataFrame, by: list[str], least_z: float = 1.5) -> DataFrame
 
 
 def correlations(df: DataFrame, least: int = 100, value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """(by, f1, f2, rho, n) for f1 < f2: correlation over the cells that both have.
+    """(by, f1, f2, rho, n) for f1 < f2: correlation over the cells that both have, finite values only; a factor has at most one value in a cell.
 
-    Cells meet once: the values of a cell go into one row, whose pairs number the factors squared, not the rows.
+    Cells meet once: the values of a cell go into one row. Tasks add up products of whole batches of cells, so a task gives a row for each pair of factors, not one for each pair and
+    cell. What is in a task's memory is the square of the number of factors (hundreds) for each group of `by`, and one batch.
     """
-    # factor lists are short (hundreds) and the same for every cell
     by = by or []
-    wide = df.filter(F.col(value).isNotNull()).groupBy(*by, "bar", "code").agg(F.array_sort(F.collect_list(F.struct("factor", F.col(value).alias("v")))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["factor"] > a["factor"]), lambda b: F.struct(a["factor"].alias("f1"), b["factor"].alias("f2"), a["v"].alias("x"), b["v"].alias("y")))))
-    return wide.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").groupBy(*by, "f1", "f2").agg(F.coalesce(pearson("x", "y", least), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
+    wide = df.filter(F.col(value).isNotNull()).groupBy(*by, "bar", "code").agg(F.collect_list("factor").alias("f"), F.collect_list(value).alias("v"))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    summed = wide.select(group.alias("g"), "f", F.col("v").cast("array<double>").alias("v")).mapInArrow(_products, "g string, f1 string, f2 string, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = summed.groupBy("g", "f1", "f2").agg(*[F.sum(c).alias(c) for c in _SUMS]).filter("n > 0")
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    ok = (n >= least) & (vx > 1e-12 * n * F.col("sxx")) & (vy > 1e-12 * n * F.col("syy"))
+    rho = F.when(ok, div(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(F.abs(vx)) * F.sqrt(F.abs(vy))))
+    keys = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in by)
+    out = total.withColumn("_k", F.from_json("g", keys)) if by else total
+    return out.select(*[F.col("_k")[c].alias(c) for c in by], "f1", "f2", F.coalesce(rho, F.lit(0.0)).alias("rho"), n.cast("long").alias("n"))
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (g, f, v), a cell each with its factors and their values, to sums of products over the cells that have both factors of a pair, for each g."""
+    names: dict[str, int] = {}
+    sums: dict[str, np.ndarray] = {}
+    for b in batches:
+        cells, f, v = b.column(0).dictionary_encode(), b.column(1), b.column(2)
+        coded = f.flatten().dictionary_encode()
+        place = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int64)
+        size = len(names)
+        row = np.repeat(np.arange(len(b)), np.diff(f.offsets.to_numpy()))
+        x, m = np.zeros((len(b), size)), np.zeros((len(b), size))
+        values = v.flatten().to_numpy()
+        # products with zeros would spread what isn't finite
+        fine = np.isfinite(values)
+        at = row[fine], place[coded.indices.to_numpy()][fine]
+        x[at], m[at] = values[fine], 1.0
+        of = cells.indices.to_numpy()
+        for i, g in enumerate(cells.dictionary.to_pylist()):
+            xs, ms = (x, m) if len(cells.dictionary) == 1 else (x[of == i], m[of == i])
+            # [i, j]: over the cells with both, the number, sum and sum of squares of i, and of products
+            found = np.stack([ms.T @ ms, xs.T @ ms, (xs * xs).T @ ms, xs.T @ xs])
+            old = sums.get(g)
+            if old is not None:
+                found[:, : old.shape[1], : old.shape[1]] += old
+            sums[g] = found
+    order = np.array(sorted(names, key=names.__getitem__), object)
+    for g, (n, s, q, p) in sums.items():
+        have = order[: len(n)]
+        i, j = np.nonzero(n)
+        keep = have[i] < have[j]
+        i, j = i[keep], j[keep]
+        parts = [n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array([g] * len(i), pa.string()), pa.array(have[i], pa.string()), pa.array(have[j], pa.string()), *[pa.array(c, pa.float64()) for c in parts]], ["g", "f1", "f2", *_SUMS])
 
 
 def dedup(ranked: DataFrame, rho: DataFrame, threshold: float, by: list[str]) -> DataFrame:

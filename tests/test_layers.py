@@ -6,11 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from panelspark.operators import book, daily, leverage, risk
+from panelspark.operators import book, cluster, daily, leverage, risk
 from panelspark.plans import panel as P
 from panelspark.queries import layers
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def covariance(rng, n):
@@ -133,3 +133,48 @@ def test_bivariate_equals_least_squares(spark):
     assert r.r2 == pytest.approx(1 - ((y - design @ coef) ** 2).sum() / ((y - y.mean()) ** 2).sum())
     assert r.hedged_sharpe == pytest.approx(left.mean() / left.std(ddof=1) * math.sqrt(52))
     assert got["few"].beta_x is None and got["line"].beta_x is None
+
+
+def test_built_books_are_a_replay(spark):
+    names, w = layers.built(spark, MEDIUM)
+    facts = {r.code: (r.block, r.idx) for r in P.instruments(spark, MEDIUM).collect()}
+    held = defaultdict(dict)
+    for r in names.collect():
+        held[r.source, r.bar][r.code] = r.w
+    years = defaultdict(dict)
+    for r in cluster.refresh(layers.cluster_rows(spark, MEDIUM), ratio=0.2).collect():
+        years[r.year][r.code] = r.rep
+    moved = 0
+    for (source, bar), whole in held.items():
+        if source == "whole":
+            year = max((y for y in years if y <= bar.year), default=min(years))
+            want = defaultdict(float)
+            for c, x in whole.items():
+                rep = c if facts[c][0] in layers.SCORED else years[year].get(c)
+                if rep in whole:
+                    want[rep] += x
+                    moved += rep != c
+            assert held["reps", bar] == pytest.approx(dict(want))
+    assert moved
+    fwd = {(r.bar, r.code): r.fwd or 0.0 for r in P.panel(spark, MEDIUM).select("bar", "code", "fwd").collect()}
+    books = defaultdict(lambda: defaultdict(dict))
+    for r in w.collect():
+        books[r.cell][r.bar][r.code] = r.w
+    assert set(books) == {f"{p}|{s}" for p in ("base", "equal") for s in ("whole", "reps")}
+    got = {(f"{r.policy}|{r.source}", r.bar): r for r in layers.built_books(spark, MEDIUM).collect()}
+    for cell, bars in books.items():
+        before = {}
+        for bar in sorted({b for b, _ in fwd}):
+            now = bars.get(bar, {})
+            turn = [0.0, 0.0]
+            for c in now.keys() | before.keys():
+                turn[facts[c][0] in layers.BONDS] += abs(now.get(c, 0) - before.get(c, 0))
+            before = now
+            if (cell, bar) not in got:
+                assert not now and not any(turn)
+                continue
+            r, gross = got[cell, bar], sum(x * fwd[bar, c] for c, x in now.items())
+            cost = (turn[1] * 2 + turn[0] * 10) / 1e4
+            exposure = sum(x * (1 + facts[c][1] % 7) for c, x in now.items() if facts[c][0] in layers.BONDS)
+            assert (r.before_cost, r.turn_bond, r.turn_other, r.after_cost, r.exposure) == pytest.approx((gross, turn[1], turn[0], gross - cost, exposure), abs=2e-6)
+            assert r.cash == pytest.approx(max(0, 1 - sum(now.values())), abs=2e-6)
