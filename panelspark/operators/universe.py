@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import full, rows
+from ..plans import store
 
 
 def trailing_median(daily: DataFrame, value: str = "amount", days: int = 60, least: int = 30) -> DataFrame:
@@ -69,25 +71,47 @@ def representatives(df: DataFrame, beat: float = 1.25, order: str = "bar", step:
 
     The incumbent stays until a challenger has `beat` times its volume or it is no longer eligible; then the largest
     takes over, ties to the lower code; a bar without eligible names, seen by a gap of more than `step` (days between dates,
-    or a difference of numbers), resets. One group is all eligible rows of one index.
+    or a difference of numbers), resets. Only names that are the largest at some bar can ever be chosen, and every bar's largest is among them, so all others stay out. An index is one
+    ordered stream of those; what is in memory is one bar of one index.
     """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, last = [], None, None
-        for bar, g in pdf.sort_values([order, "code"], kind="stable").groupby(order, sort=True):
-            if last is not None and getattr(bar - last, "days", bar - last) > step:
+    some = store.cut(df.select(order, "idx", "code", F.coalesce(F.col("adv").cast("double"), F.lit(0.0)).alias("adv")), "eligible")
+    largest = some.groupBy("idx", order).agg(F.max_by("code", F.struct("adv", -F.col("code"))).alias("code"))
+    rows = some.join(largest.select("idx", "code").distinct(), ["idx", "code"], "left_semi")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "idx").sortWithinPartitions("idx", order, "code")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = last = at = None
+        volume: dict = {}
+
+        def closed() -> tuple:
+            """The bar that has been read, and the name held from it on."""
+            nonlocal held, last
+            idx, bar = at
+            if last is not None and (last[0] != idx or getattr(bar - last[1], "days", bar - last[1]) > step):
                 held = None
-            last = bar
-            volume = dict(zip(g["code"], g["adv"].fillna(0.0), strict=True))
+            last = at
             best = max(volume, key=lambda c: (volume[c], -c))
             if held not in volume or volume[best] >= beat * volume[held]:
                 held = best
-            out.append((bar, g["idx"].iloc[0], held))
-        return pd.DataFrame(out, columns=[order, "idx", "code"])
+            return bar, idx, held
+
+        for pdf in batches:
+            out = []
+            for bar, idx, code, adv in zip(pdf[order].tolist(), pdf["idx"].tolist(), pdf["code"].tolist(), pdf["adv"].tolist(), strict=True):
+                if (idx, bar) != at:
+                    if at is not None:
+                        out.append(closed())
+                    at, volume = (idx, bar), {}
+                volume[code] = adv
+            yield pd.DataFrame(out, columns=[order, "idx", "code"])
+        if at is not None:
+            yield pd.DataFrame([closed()], columns=[order, "idx", "code"])
 
     kinds = dict(df.dtypes)
-    return df.select(order, "idx", "code", "adv").groupBy("idx").applyInPandas(run, f"{order} {kinds[order]}, idx {kinds['idx']}, code {kinds['code']}")
+    return ordered.select(order, "idx", "code", "adv").mapInPandas(run, f"{order} {kinds[order]}, idx {kinds['idx']}, code {kinds['code']}")
 
 
 def next_bar(df: DataFrame, flag: str, by: str = "code", order: str = "bar") -> Column:
