@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div, friday, probit, qlike
-from ..functions.stats import full, pearson, rows, slope
+from ..functions.scalars import div, friday, normcdf, probit, qlike
+from ..functions.stats import full, pearson, rows, slope, trailing
+from ..plans import store
 from . import ridge
 
 
@@ -28,10 +29,31 @@ def coverage(rv: DataFrame, least: int = 52) -> DataFrame:
 def causal_rank(rv: DataFrame, window: int = 52) -> DataFrame:
     """rv with `g`: normal score of the mid-rank of log volatility among the `window` observations strictly before."""
     x = rv.withColumn("lv", F.round(F.ln(F.greatest("rv", F.lit(1e-6))), 12))
-    past = F.collect_list("lv").over(rows("code", "bar", -window, -1))
-    less, same = F.size(F.filter("past", lambda v: v < F.col("lv"))), F.size(F.filter("past", lambda v: v == F.col("lv")))
-    u = F.when(F.size("past") == window, (less + 0.5 * same + 0.5) / (window + 1.0))
-    return x.withColumn("past", past).withColumn("u", u).withColumn("g", probit("u")).drop("past")
+
+    def share(past: np.ndarray, there: np.ndarray, own: np.ndarray) -> np.ndarray:
+        less, same = (past < own[:, None]).sum(axis=1), (past == own[:, None]).sum(axis=1)
+        return np.where(there.all(axis=1), (less + 0.5 * same + 0.5) / (window + 1.0), np.nan)
+
+    return trailing(x, "lv", "code", "bar", -window, -1, "u", share).withColumn("g", probit("u"))
+
+
+def unranked(df: DataFrame, pred: str, value: str = "lv", window: int = 52, name: str = "sigma") -> DataFrame:
+    """df's rows with a forecast and `name`: `ranked_back` among the last `window` values up to the row, without a list for each row."""
+
+    def quantile(past: np.ndarray, there: np.ndarray, own: np.ndarray, p: np.ndarray) -> np.ndarray:
+        out = np.full(len(own), np.nan)
+        asked = np.flatnonzero(~np.isnan(p))
+        past, there = past[asked], there[asked]
+        n = there.sum(axis=1)
+        s = np.sort(np.where(there, past, np.inf), axis=1)
+        u = np.maximum(np.minimum(p[asked], n / (n + 1.0)), 1 / (n + 1.0))
+        at, row = u * (n - 1.0), np.arange(len(asked))
+        lo, hi = (np.maximum(f(at), 0).astype(np.int64) for f in (np.floor, np.ceil))
+        out[asked] = np.where(n > 0, s[row, lo] + (at - lo) * (s[row, hi] - s[row, lo]), np.nan)
+        return out
+
+    found = trailing(df.withColumn("_p", normcdf(pred)), value, "code", "bar", -(window - 1), 0, "_q", quantile, "_p")
+    return found.filter(F.col(pred).isNotNull()).withColumn(name, F.exp("_q")).drop("_p", "_q")
 
 
 def har_features(g: DataFrame, value: str = "g") -> DataFrame:
@@ -62,8 +84,10 @@ def walk_forward(panel: DataFrame, xs: list[str], y: str, first: int = 52, every
         for x in xs:
             panel = panel.withColumn(f"_{x}", F.col(x) - F.coalesce(F.avg(x).over(before), F.lit(0.0)))
         names, target = [f"_{x}" for x in xs], "_y"
+    # read for the dates, the products and the forecasts
+    panel = store.cut(panel, "walked")
     whole = panel.dropna(subset=[*names, target])
-    placed = ridge.folds(whole, first - purge, every, purge)
+    placed = store.cut(ridge.folds(whole, first - purge, every, purge), "folds")
     summed = ridge.products(whole.join(F.broadcast(placed.select("bar", "trains")), "bar"), names, target)
     # a row for each fit
     table = F.broadcast(placed.select("bar", "fold").join(ridge.fits(summed, placed.filter("fold is not null"), (penalty,), least).select("fold", "beta"), "fold").drop("fold"))
@@ -82,7 +106,7 @@ def pooled_forecast(panel: DataFrame, xs: list[str], y: str, group: str = "block
     as there are xs, and the effect is the mean that is left over. A `by` without earlier rows has the effect zero.
     The sums are a row for each `by` and fit, about the panel's rows over `every`.
     """
-    some = panel.dropna(subset=[*xs, y])
+    some = store.cut(panel.dropna(subset=[*xs, y]), "complete")
     dates = some.groupBy(group, "bar").agg(F.count("*").alias("_n")).join(some.groupBy(group).agg(F.countDistinct(by).alias("_m")), group)
     dates = dates.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy("bar")) - 1).withColumn("_past", F.coalesce(F.sum("_n").over(rows(group, "bar", None, -1)), F.lit(0)))
     start = F.min(F.when((F.col("_i") >= first) & (F.col("_past") >= F.col("_m") + len(xs) + spare), F.col("_i"))).over(Window.partitionBy(group))
@@ -90,16 +114,20 @@ def pooled_forecast(panel: DataFrame, xs: list[str], y: str, group: str = "block
     refit = F.when((F.col("_i") >= F.col("_s")) & ((F.col("_i") - F.col("_s")) % every == 0), F.col("bar"))
     later = Window.partitionBy(group).orderBy(F.col("bar").desc()).rowsBetween(Window.unboundedPreceding, -1)
     dates = dates.withColumn("_refit", refit).withColumn("_fit", F.last("_refit", ignorenulls=True).over(rows(group, "bar", None, 0))).withColumn("_enters", F.last("_refit", ignorenulls=True).over(later))
-    placed = some.join(dates.select(group, "bar", "_fit", "_enters"), [group, "bar"])
+    # a row for each group and date
+    dates = store.cut(dates, "dates")
+    placed = some.join(F.broadcast(dates.select(group, "bar", "_fit", "_enters")), [group, "bar"])
 
     names = [*xs, y]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     parts = {"_c": F.count("*").cast("double")} | {f"_s{i}": F.sum(v) for i, v in enumerate(names)} | {f"_p{i}_{j}": F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs}
     step = placed.filter("_enters is not null").groupBy(group, by, F.col("_enters").alias("_at")).agg(*[v.alias(k) for k, v in parts.items()])
     fits = dates.filter("_refit is not null").select(group, F.col("_refit").alias("_at"))
-    every_fit = step.groupBy(group, by).agg(F.min("_at").alias("_lo")).join(fits, group).filter("_at >= _lo").drop("_lo")
+    step = store.cut(step, "steps")
+    every_fit = step.groupBy(group, by).agg(F.min("_at").alias("_lo")).join(F.broadcast(fits), group).filter("_at >= _lo").drop("_lo")
     upto = rows([group, by], "_at", None, 0)
     sums = every_fit.join(step, [group, by, "_at"], "left").select(group, by, "_at", *[F.sum(k).over(upto).alias(k) for k in parts])
+    sums = store.cut(sums, "sums")
 
     weight = 1 / F.col("_c") if balanced else F.lit(1.0)
     centred = [F.sum(weight * (F.col(f"_p{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_c"))) for i, j in pairs]
@@ -119,14 +147,12 @@ def pooled_forecast(panel: DataFrame, xs: list[str], y: str, group: str = "block
         return sum((F.get("_beta", F.lit(i)) * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))
 
     effect = F.coalesce(F.col(f"_m{len(xs)}") - dot([f"_m{i}" for i in range(len(xs))]), F.lit(0.0))
-    out = placed.drop("_enters").join(betas, [group, "_fit"]).join(means, [group, by, "_fit"], "left").withColumn("pred", effect + dot(xs))
+    out = placed.drop("_enters").join(F.broadcast(betas), [group, "_fit"]).join(means, [group, by, "_fit"], "left").withColumn("pred", effect + dot(xs))
     return out.select(*panel.columns, "pred")
 
 
 def ranked_back(pred: Column, past: Column) -> Column:
     """The volatility whose normal score among `past` (log values) is pred: the share Phi(pred), kept off the ends, as a linear quantile."""
-    from ..functions.scalars import normcdf
-
     n = F.size(past).cast("double")
     u = F.greatest(F.least(normcdf(pred), n / (n + 1)), 1 / (n + 1))
     s = F.sort_array(past)
