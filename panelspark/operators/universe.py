@@ -6,17 +6,25 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import full, rows
+from ..functions.stats import full, rows, trailing
 from ..plans import store
 
 
 def trailing_median(daily: DataFrame, value: str = "amount", days: int = 60, least: int = 30) -> DataFrame:
     """daily with `adv`: the median of the last `days` rows of each code, null with fewer than `least` values."""
-    return daily.withColumn("adv", full(F.percentile(value, F.lit(0.5)), value, rows("code", "date", -(days - 1)), least))
+
+    def median(window: np.ndarray, there: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n = there.sum(axis=1)
+        x = np.sort(np.where(there, window, np.inf), axis=1)
+        row, last = np.arange(len(x)), np.maximum(n - 1, 0)
+        return np.where(n >= max(least, 1), x[row, last // 2] * 0.5 + x[row, (last + 1) // 2] * 0.5, np.nan)
+
+    return trailing(daily, value, "code", "date", -(days - 1), 0, "adv", median)
 
 
 def trailing_mean(daily: DataFrame, value: str = "amount", days: int = 63, least: int = 21) -> DataFrame:
@@ -50,9 +58,21 @@ def hysteresis_floor(df: DataFrame, value: str, enter: float, stay: float, by: s
 
 def percentile_gate(df: DataFrame, value: str = "adv", enter: float = 0.2, stay: float = 0.15, least: int = 5, order: str = "date") -> DataFrame:
     """df(code, date, value, floor_ok) with `pctl_ok`: above the `enter` quantile of those that pass the floor, then above `stay`; with fewer than `least` of them the floor alone decides."""
-    pool = df.filter(F.col("floor_ok") & F.col(value).isNotNull())
-    cuts = pool.groupBy(order).agg(F.percentile(value, F.array(F.lit(enter), F.lit(stay))).alias("cuts"), F.count("*").alias("pool"))
-    j = df.join(cuts, order, "left")
+    df = store.cut(df, "floors")
+    # quantiles from the places next to them in order, so that a day's values are sorted, not held
+    each = Window.partitionBy(order)
+    pool = df.filter(F.col("floor_ok") & F.col(value).isNotNull()).select(order, F.col(value).cast("double").alias("_v"))
+    pool = pool.withColumn("_i", F.row_number().over(each.orderBy("_v")) - 1).withColumn("pool", F.count("*").over(each))
+
+    def quantile(q: float) -> Column:
+        p = F.lit(q) * (F.col("pool") - 1)
+        low, high = (F.max(F.when(F.col("_i") == f(p), F.col("_v"))) for f in (F.floor, F.ceil))
+        p = F.lit(q) * (F.max("pool") - 1)
+        return F.when(F.floor(p) == F.ceil(p), low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    cuts = pool.groupBy(order).agg(F.array(quantile(enter), quantile(stay)).alias("cuts"), F.max("pool").alias("pool"))
+    # a row for each day
+    j = df.join(F.broadcast(cuts), order, "left")
     small = F.coalesce(F.col("pool") < least, F.lit(True))
     v, ok = F.col(value), F.coalesce(F.col("floor_ok"), F.lit(False))
     event_in = ok & (small | (v >= F.col("cuts")[0]))
