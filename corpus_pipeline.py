@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 of their five-word shingles."""
+    """One row, that of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 of their five-word shingles. Candidates by SimHash, then by MinHash for what its 3 bits don't reach."""
     return near_dedup.dedup(docs)
 
 

@@ -1,10 +1,12 @@
 """Near-dedup of whole documents at a Jaccard similarity of their word shingles.
 
-Rows with equal sets of shingles are one class. Candidates come from MinHash: `BANDS` bands of
+Rows with equal sets of shingles are one class. The first candidates come from SimHash, by the covering masks of
+`simhash.links`: classes whose fingerprints over the same shingles are equal or differ in at most `simhash.RADIUS` bits. A pair at a similarity of 0.8
+differs by more bits than that, as a rule, so what SimHash leaves apart meets by MinHash: `BANDS` bands of
 `WIDTH` minima, so that a pair at similarity s shares a band but for a chance of (1 - s**WIDTH)**BANDS, 3.3e-6
-at 0.8 and less above. Every link is then checked with the exact Jaccard similarity (of 64-bit shingle hashes), in integers.
+at 0.8 and less above. Every link, of either, is checked with the exact Jaccard similarity (of 64-bit shingle hashes), in integers.
 
-Links give components, so not all pairs are needed: in the first rounds each class of a bucket is compared with one
+Links give components, so not all pairs are needed: in the first rounds of MinHash each class of a bucket is compared with one
 pivot of it, first the smallest, then a random one. Most classes of a dense group are in one component then. The others of a
 bucket, those outside its commonest component, meet all classes of the bucket, block against block, each pair of classes in the first bucket they
 share. There the similarity is exact again, and what comes out is a spanning forest of the links. So no bucket is capped, none is one task, and rows grow with
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import simhash
 
-SHINGLE, SIMILARITY, SEED = 5, Fraction(4, 5), 42
+SHINGLE, SIMILARITY, SEED = 5, Fraction(4, 5), simhash.SEED
 BANDS, WIDTH, PIVOTS = 24, 4, 2
 #: Bytes of shingles in a block, of which a class counts as LEAST_BYTES at least; shingles compared at once.
 BLOCK_BYTES, LEAST_BYTES, COLUMNS = 1 << 22, 1 << 14, 4096
@@ -39,11 +41,7 @@ _ODD |= np.uint64(1)
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text, A-Z in lower case; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) <= shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
+    return np.unique(simhash.hashes(text, shingle))
 
 
 def bands(items: np.ndarray) -> list[int]:
@@ -61,15 +59,17 @@ def _node(items: np.ndarray) -> int:
 
 
 def prints(keyed: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row_key, node, n, bands) of every row: its class, how many shingles it has and its keys."""
+    """(doc_id, row_key, node, n, bands, fp) of every row: its class, how many shingles it has, its keys and its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
-            sets = [shingles(t, shingle) for t in C.texts(b)]
-            made = [pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "row_key", "node", "n", "bands"])
+            found = [simhash.hashes(t, shingle) for t in C.texts(b)]
+            sets = [np.unique(h) for h in found]
+            fp = np.array([simhash.majority(h) for h in found], np.uint64).view(np.int64)
+            made = [pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64())), pa.array(fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "row_key", "node", "n", "bands", "fp"])
 
-    return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text").mapInArrow(run, "doc_id long, row_key long, node long, n long, bands array<long>")
+    return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text").mapInArrow(run, "doc_id long, row_key long, node long, n long, bands array<long>, fp long")
 
 
 def sets_of(keyed: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
@@ -98,6 +98,16 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame
     return both.filter(F.col("inter") * q >= (F.size("ia") + F.size("ib") - F.col("inter")) * p).select("a", "b")
 
 
+def simhash_pairs(rows: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """(a, b) with a < b: classes of rows(node, n, fp) with equal fingerprints, each with the smallest of them, and a spanning forest of the fingerprints that differ in at most `radius` bits."""
+    of = rows.filter("n > 0").select("fp", "node").distinct()
+    # a row for each fingerprint, whatever the number of its classes
+    heads = C.cut(of.groupBy("fp").agg(F.min("node").alias("node")), "heads")
+    same = of.join(heads.select("fp", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b")
+    met = same.union(simhash.links(heads, radius)).filter("a <> b")
+    return C.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash")
+
+
 def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """How many items each set of one shares with each of two."""
     out = np.zeros((len(one), len(two)), np.int64)
@@ -182,10 +192,10 @@ def linked_in_blocks(at: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(met: DataFrame, sets: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame | None:
-    """(node, root) of the classes that link; None if none share a bucket. met(band, key, node, n)."""
+def components(met: DataFrame, sets: DataFrame, similarity: Fraction = SIMILARITY, edges: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of the classes that link; None if none do. met(band, key, node, n); edges(a, b): links found before, of which components are taken first."""
     keys = C.cut(met.groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("k")).select("node", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.coalesce(F.element_at(F.map_from_entries("k"), i), F.xxhash64("node", i))).alias("bands")), "keys")
-    edges = roots = None
+    roots = None if edges is None else C.components(edges)
     for step in range(PIVOTS + 1):
         at = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = at.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
@@ -214,8 +224,12 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: Fraction = SIMILA
     keys = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
     met = C.cut(keys.join(shared, ["band", "key"]), "met")
-    firsts = classes.join(met.select("node").distinct(), "node", "left_semi").select("node", "first.d", "first.k")
-    roots = components(met, C.cut(sets_of(keyed, firsts, shingle), "sets"), similarity)
+    near = simhash_pairs(rows)
+    asked = met.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    firsts = classes.join(asked, "node", "left_semi").select("node", "first.d", "first.k")
+    sets = C.cut(sets_of(keyed, firsts, shingle), "sets")
+    links = C.cut(linked(near, sets, similarity), "links")
+    roots = components(met, sets, similarity, None if links.isEmpty() else links)
     of = rows.select("doc_id", "row_key", "node")
     of = of.withColumn("root", F.col("node")) if roots is None else of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ranked = C.cut(of.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("r")), "ranked")

@@ -30,20 +30,27 @@ from . import common as C
 SHINGLE, RADIUS, SEED, BUCKET = 3, 3, 42, 1024
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of a text, A-Z in lower case; no words: 0."""
+def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included, A-Z in lower case; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)).view(np.uint8).reshape(-1, 8)
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) <= shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes: the bits that over half of them have; none: 0."""
+    split = h.view(np.uint8).reshape(-1, 8)
     bits = np.zeros(64, np.int64)
     for low in range(0, len(h), 1 << 15):
-        bits += np.unpackbits(h[low : low + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(grams), bitorder="little").tobytes(), "little")
+        bits += np.unpackbits(split[low : low + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of a text, A-Z in lower case; no words: 0."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -76,3 +76,29 @@ def test_a_chain_and_a_dense_group_in_one_bucket(spark):
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert [r.doc_id for r in got] == [0]
     assert 5 * len(shingles(rows[0][1]) & shingles(rows[-1][1])) < 4 * len(shingles(rows[0][1]) | shingles(rows[-1][1]))
+
+
+def test_simhash_finds_candidates_that_are_checked(spark, monkeypatch):
+    """Fingerprints within 3 bits link where the similarity is 0.8, with no help of MinHash; below that they don't."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(30):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(600)]
+        rows += [(1000 * k + i, " ".join([*words[:i], "x", *words[i + 1 :]] if i else words), "en", "a", 1) for i in (0, 5, 300)]
+    # equal fingerprints (a phrase and its repeats outweigh the rest), little in common
+    loud = "one two three four five " * 100
+    rows += [(10**6 + i, loud + " ".join(f"y{i}-{j}" for j in range(40)), "en", "a", 1) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    printed = N.prints(df.withColumn("row_key", N.F.xxhash64(*df.columns)), N.SHINGLE)
+    at = {r.node: (r.fp & (1 << 64) - 1, r.doc_id) for r in printed.collect()}
+    pairs = [(r.a, r.b) for r in N.simhash_pairs(printed).collect()]
+    assert all(a < b and (at[a][0] ^ at[b][0]).bit_count() <= 3 for a, b in pairs)
+    reached = {frozenset((at[a][1], at[b][1])) for a, b in pairs}
+    loudest = [p for p in reached if min(p) >= 10**6]
+    near_pairs = [p for p in reached if min(p) < 10**6]
+    assert loudest and len(near_pairs) >= 10 and all(len({d // 1000 for d in p}) == 1 for p in near_pairs)
+    # no class shares a bucket by MinHash
+    monkeypatch.setattr(N, "prints", lambda keyed, k, of=N.prints: of(keyed, k).withColumn("bands", N.F.array().cast("array<long>")))
+    left = {r.doc_id for r in N.dedup(df).collect()}
+    gone = {max(p) for p in near_pairs}
+    assert not gone & left and {10**6 + i for i in range(4)} <= left
