@@ -17,16 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_SCORE = 0.5
+#: Chunks that a Python worker of the packing stage remembers: memory against time.
+KEPT_CHUNKS = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a score of at least LEAST_SCORE; the labels learned from are their own."""
+    common.small_batches(spark)
     found = language_id.predict(docs, language_id.learn(docs))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones have; those that lose all they had go."""
+    common.small_batches(spark)
     found = line_dedup.dedup(docs)
     kept = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
@@ -34,21 +38,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 of their five-word shingles. Candidates by SimHash, then by MinHash for what its 3 bits don't reach."""
+    common.small_batches(spark)
     return near_dedup.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: sources at their target weights, the others going on by theirs where one has run out."""
+    common.small_batches(spark)
     return mixing.ordered(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences in the order of the mix, which is the order of the files that it wrote and of the rows in them; by doc_id where docs comes from no files."""
+    common.small_batches(spark)
     try:
         placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
-        return packing.pack(docs, tokens.public_path())
-    return packing.pack(placed, tokens.public_path(), order=["file", "row"])
+        return packing.pack(docs, tokens.public_path(), kept=KEPT_CHUNKS)
+    return packing.pack(placed, tokens.public_path(), order=["file", "row"], kept=KEPT_CHUNKS)
 
 
 STAGES = [

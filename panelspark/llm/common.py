@@ -18,12 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT_BATCH_BYTES = 4_000_000
+#: Bytes of the Arrow batches that Spark sends to Python, which are bounded by rows alone otherwise (10,000).
+ARROW_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold about ARROW_BYTES (one row at least): a JVM holds those of all its tasks outside its heap, in buffers that double, and each Python worker its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.panelspark.shared", None)

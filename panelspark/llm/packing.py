@@ -178,10 +178,10 @@ def in_order(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     return some.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *ties, F.xxhash64("text")).select("doc_id", "text")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON, order: list[str] | None = None) -> DataFrame:
-    """Pieces of all documents (doc_id, text); see PIECES. Sequence ids ascend with the order, which is that of doc ids unless columns are named."""
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, spacing: int = SPACING, horizon: int = HORIZON, order: list[str] | None = None, kept: int = tokens.KEPT_CHUNKS) -> DataFrame:
+    """Pieces of all documents (doc_id, text); see PIECES. Sequence ids ascend with the order, which is that of doc ids unless columns are named. kept: chunks that a Python worker remembers (tokens.Encoder)."""
 
-    held = docs.sparkSession.sparkContext.broadcast(tokens.Held(path))
+    held = docs.sparkSession.sparkContext.broadcast(tokens.Held(path, kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held.value.get()

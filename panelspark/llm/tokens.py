@@ -136,16 +136,16 @@ class Held:
     Sent as a broadcast, it is one for each Python worker, and the worker drops it with the first task that doesn't use the broadcast.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
+        self.path, self.kept = path, kept
         self.made: Encoder | None = None
 
     def __reduce__(self):
-        return Held, (self.path,)
+        return Held, (self.path, self.kept)
 
     def get(self) -> Encoder:
         if self.made is None:
-            self.made = Encoder(self.path)
+            self.made = Encoder(self.path, self.kept)
         return self.made
 
 
